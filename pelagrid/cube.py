@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .axis import Axis
 from .operators import limits, reduce, select
 
 if TYPE_CHECKING:
@@ -30,16 +31,16 @@ class Cube:
     frame      one row per cell: a column per dimension and per variable
     dims       dimension names, in order
     data_vars  variable names
-    axes       per dimension, a one-column frame of the coordinate values of the
-               source, narrowed only by selections on that dimension. Positions
-               count along this axis, so a hole in the data moves nothing.
+    axes       per dimension, the coordinate values of the source, narrowed only
+               by selections on that dimension. Positions count along this axis,
+               so a hole in the data moves nothing.
     year       partition column equal to year(time), where the source has one
     """
 
     frame: DataFrame
     dims: tuple[str, ...]
     data_vars: tuple[str, ...]
-    axes: Mapping[str, DataFrame]
+    axes: Mapping[str, Axis]
     year: str | None = None
 
     @classmethod
@@ -48,7 +49,7 @@ class Cube:
         frame: DataFrame,
         dims: Sequence[str],
         data_vars: Sequence[str] | None = None,
-        axes: Mapping[str, DataFrame] | None = None,
+        axes: Mapping[str, Axis] | None = None,
         year: str | None = None,
     ) -> Cube:
         """Cube over a frame; axes not given are read off the frame's columns."""
@@ -61,7 +62,7 @@ class Cube:
             raise KeyError(f"no column {missing} among {frame.columns}")
         kept = frame.select(*dims, *names, *([year] if year else []))
         given = dict(axes or {})
-        return cls(kept, dims, tuple(names), {d: given.get(d, frame.select(d)) for d in dims}, year)
+        return cls(kept, dims, tuple(names), {d: given.get(d) or Axis(frame.select(d)) for d in dims}, year)
 
     # -- shape ---------------------------------------------------------------
 
@@ -71,7 +72,7 @@ class Cube:
     def axis(self, dim: str) -> DataFrame:
         """The coordinate values of one dimension, each once, in order."""
         select.require_dims(self, dim)
-        return self.axes[dim].distinct().orderBy(dim)
+        return self.axes[dim].values.orderBy(dim)
 
     def positions(self, dim: str) -> DataFrame:
         """The axis with 0-based positions, as columns `dim` and `position`."""
@@ -80,9 +81,9 @@ class Cube:
     def info(self) -> DataFrame:
         """One row per dimension and variable: kind, name, dtype, and axis length."""
         rows = [
-            self.axes[d].agg(F.countDistinct(d).alias("size")).select(
+            self.axes[d].size().select(
                 F.lit("dim").alias("kind"), F.lit(d).alias("name"),
-                F.lit(self.dtype(d).simpleString()).alias("dtype"), "size")
+                F.lit(self.dtype(d).simpleString()).alias("dtype"), F.col("n").alias("size"))
             for d in self.dims
         ]
         if self.data_vars:
@@ -116,7 +117,7 @@ class Cube:
             self.frame.withColumnsRenamed(dict(names)),
             tuple(new[d] for d in self.dims),
             tuple(new[v] for v in self.data_vars),
-            {new[d]: self.axes[d].withColumnRenamed(d, new[d]) for d in self.dims},
+            {new[d]: self.axes[d].renamed(new[d]) if new[d] != d else self.axes[d] for d in self.dims},
             self.year,
         )
 

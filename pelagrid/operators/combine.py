@@ -9,7 +9,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .select import _one_row_each
+from ..functions.timeparts import TIME_PARTS
+from .select import one_row_each
 
 if TYPE_CHECKING:
     from ..cube import Cube
@@ -48,9 +49,9 @@ def _check_lengths(columns: Mapping[str, tuple[Cube, str]]) -> None:
     checks = {}
     for i, (cube, _) in enumerate(columns.values()):
         (dim,) = cube.dims
-        checks[f"axis{i}"] = cube.axes[dim].agg(F.countDistinct(dim).alias("n"))
+        checks[f"axis{i}"] = cube.axes[dim].size()
         checks[f"cells{i}"] = cube.frame.agg((F.count(dim) - F.countDistinct(dim)).alias("n"))
-    found = _one_row_each(checks)
+    found = one_row_each(checks)
     lengths = {name: found[f"axis{i}"]["n"] for i, name in enumerate(columns)}
     if len(set(lengths.values())) > 1:
         raise ValueError(f"columns of unequal length: {lengths}")
@@ -65,13 +66,19 @@ def profile_series(table: DataFrame, axis_name: str = "depth [m]", series: Seque
     return table.unpivot(f"`{axis_name}`", [f"`{n}`" for n in names], "series", "value")
 
 
-def overlay(base: Cube, layers: Mapping[str, DataFrame], on: str) -> DataFrame:
-    """Layers drawn on the facets of `base`, stacked under a `layer` column.
+def overlay(base: Cube, name: str, layers: Mapping[str, DataFrame], on: str) -> DataFrame:
+    """The cells of `base`, under `name`, with other layers drawn on its facets,
+    stacked under a `layer` column.
 
     Layers pair with facets by label. Their grids may differ, so nothing is
     matched on coordinates; a column a layer lacks is NULL there. A facet the
     base does not have is left out, as there is no panel to draw it on.
     """
-    labels = base.axes[on].distinct()
-    stacked = [f.join(labels, on, "left_semi").withColumn("layer", F.lit(n)) for n, f in layers.items()]
-    return fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    labels = base.axes[on].values
+    if on in TIME_PARTS:
+        # At most twelve labels. Without the hint each layer would be shuffled
+        # by its label, into as few tasks as there are facets.
+        labels = F.broadcast(labels)
+    drawn = [base.frame.withColumn("layer", F.lit(name))]
+    drawn += [f.join(labels, on, "left_semi").withColumn("layer", F.lit(n)) for n, f in layers.items()]
+    return fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), drawn)

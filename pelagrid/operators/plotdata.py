@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import TIME_PARTS
-from ..functions.values import band_of, clip, level_band, round_levels
+from ..functions.values import band_of, clip, level_band
 from .select import require_dims
 
 if TYPE_CHECKING:
@@ -28,8 +28,10 @@ def facet(cube: Cube, var: str, by: str, labels: Sequence) -> DataFrame:
         require_dims(cube, "time")
         key, grouped = TIME_PARTS[by](F.col("time")), "time"
     rest = [d for d in cube.dims if d != grouped]
-    per_label = [F.avg(F.when(key == F.lit(x), F.col(var))).alias(str(x)) for x in labels]
-    return cube.frame.groupBy(*rest).agg(*per_label)
+    keyed = cube.frame.select(*rest, key.alias("facet_key"), F.col(var).alias("facet_value"))
+    value = F.col("facet_value")
+    per_label = [F.avg(F.when(F.col("facet_key") == F.lit(x), value)).alias(str(x)) for x in labels]
+    return keyed.groupBy(*rest).agg(*per_label)
 
 
 def facet_labels(cube: Cube, by: str) -> DataFrame:

@@ -35,7 +35,7 @@ def group_mean(cube: Cube, part: str) -> Cube:
     key = TIME_PARTS[part](F.col("time")).alias(part)
     rest = tuple(d for d in cube.dims if d != "time")
     frame = cube.frame.groupBy(key, *rest).agg(*[F.avg(v).alias(v) for v in cube.data_vars])
-    axes = {part: cube.axes["time"].select(key), **{d: cube.axes[d] for d in rest}}
+    axes = {part: cube.axes["time"].derived(key), **{d: cube.axes[d] for d in rest}}
     return replace(cube, frame=frame, dims=(part, *rest), axes=axes, year=None)
 
 

@@ -12,7 +12,7 @@ from dataclasses import replace
 from functools import reduce as fold
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import typed_literal
@@ -65,14 +65,11 @@ def sel_range(cube: Cube, bounds: Mapping[str, tuple[Any, Any]]) -> Cube:
 
 
 def positions(cube: Cube, dim: str) -> DataFrame:
-    """Axis values with their rank from 0. The window sees each coordinate of one
-    axis once, so it stays as short as the axis however many cells there are."""
     require_dims(cube, dim)
-    order = Window.orderBy(dim)
-    return cube.axes[dim].distinct().select(dim, (F.row_number().over(order) - 1).alias("position"))
+    return cube.axes[dim].positions()
 
 
-def _one_row_each(frames: Mapping[str, DataFrame]) -> dict[str, Any]:
+def one_row_each(frames: Mapping[str, DataFrame]) -> dict[str, Any]:
     """Collect one row per axis, all axes in one job."""
     tagged = [f.select(F.lit(d).alias("axis_name"), F.struct("*").alias(f"of_{d}")) for d, f in frames.items()]
     rows = fold(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged).collect()
@@ -92,7 +89,7 @@ def _span(cube: Cube, dim: str, where: int | slice, size: int | None) -> DataFra
         stop = start + 1
         if start < 0:
             raise IndexError(f"position {where} is outside axis {dim} of length {size}")
-    ordered = cube.axes[dim].distinct().orderBy(dim).offset(start)
+    ordered = cube.axes[dim].values.orderBy(dim).offset(start)
     if stop is not None:
         ordered = ordered.limit(max(stop - start, 0))
     return ordered.agg(F.min(dim).alias("first"), F.max(dim).alias("last"))
@@ -110,9 +107,9 @@ def isel(cube: Cube, where: Mapping[str, int | slice]) -> Cube:
     from_end = [d for d, w in where.items() if _counts_from_end(w)]
     sizes = {}
     if from_end:
-        counted = _one_row_each({d: cube.axes[d].agg(F.countDistinct(d).alias("n")) for d in from_end})
+        counted = one_row_each({d: cube.axes[d].size() for d in from_end})
         sizes = {d: r["n"] for d, r in counted.items()}
-    spans = _one_row_each({d: _span(cube, d, w, sizes.get(d)) for d, w in where.items()})
+    spans = one_row_each({d: _span(cube, d, w, sizes.get(d)) for d, w in where.items()})
     points = []
     for dim, wanted in where.items():
         first, last = spans[dim]["first"], spans[dim]["last"]
@@ -134,7 +131,7 @@ def sel(cube: Cube, where: Mapping[str, Any], strict: bool) -> Cube:
     for dim, label in where.items():
         cube = restrict(cube, dim, label, label)
     if strict and where:
-        found = _one_row_each({d: cube.axes[d].agg(F.count(d).alias("n")) for d in where})
+        found = one_row_each({d: cube.axes[d].size() for d in where})
         absent = {d: where[d] for d in where if not found[d]["n"]}
         if absent:
             raise KeyError(f"not on the axis: {absent}")
@@ -148,8 +145,8 @@ def sel_nearest(cube: Cube, where: Mapping[str, float], drop: bool) -> Cube:
     for dim, wanted in where.items():
         at = F.col(dim).cast("double")
         rank = F.struct(F.abs(at - F.lit(float(wanted))), -at)
-        nearest[dim] = cube.axes[dim].where(F.col(dim).isNotNull()).agg(F.min_by(dim, rank).alias("value"))
-    found = _one_row_each(nearest)
+        nearest[dim] = cube.axes[dim].values.agg(F.min_by(dim, rank).alias("value"))
+    found = one_row_each(nearest)
     for dim in where:
         value = found[dim]["value"]
         if value is None:
@@ -161,8 +158,8 @@ def sel_nearest(cube: Cube, where: Mapping[str, float], drop: bool) -> Cube:
 def squeeze(cube: Cube) -> Cube:
     if not cube.dims:
         return cube
-    ends = _one_row_each({
-        d: cube.axes[d].agg(F.min(d).alias("first"), F.max(d).alias("last")) for d in cube.dims
+    ends = one_row_each({
+        d: cube.axes[d].values.agg(F.min(d).alias("first"), F.max(d).alias("last")) for d in cube.dims
     })
     single = [d for d in cube.dims if ends[d]["first"] is not None and ends[d]["first"] == ends[d]["last"]]
     return without(cube, single) if single else cube

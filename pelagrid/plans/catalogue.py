@@ -133,7 +133,7 @@ def drop_depth(spark, folder):
 
 def time_parts(spark, folder):
     time = F.col("time")
-    return tables.field(spark, folder).axes["time"].distinct().select(
+    return tables.field(spark, folder).axes["time"].values.select(
         time, month_of(time).alias("month"), season_of(time).alias("season"))
 
 
@@ -227,7 +227,7 @@ def plume_layers(spark, folder):
 def overlay_seasons(spark, folder):
     green = season_mean(tables.chl(spark, folder))
     salt = season_mean(tables.field(spark, folder).pick("so").isel(depth=0, longitude=0))
-    layers = combine.overlay(green, {"chl": green.frame, "salt": salt.frame}, on="season")
+    layers = combine.overlay(green, "chl", {"salt": salt.frame}, on="season")
     return layers.withColumn("latitude", F.col("latitude").cast("double"))
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from ..cube import Cube
+from ..functions.values import round_levels
 from ..operators import combine, limits, plotdata
 from ..operators.reduce import season_mean, seasonality
 
@@ -40,7 +41,7 @@ def plume_maps(salinity: Cube, chlorophyll: Cube, so: str = "so", chl: str = "CH
     surface = season_mean(salinity.pick(so).isel(depth=0) if "depth" in salinity.dims else salinity.pick(so))
     green = season_mean(chlorophyll.pick(chl))
     edge = plotdata.labelled(plotdata.isoline(surface, so, level, by=["season"]), level)
-    layers = combine.overlay(green, {"field": green.frame, "edge": edge}, on="season")
+    layers = combine.overlay(green, "field", {"edge": edge}, on="season")
     return PlumeMaps(surface, green, edge, layers)
 
 
@@ -52,7 +53,7 @@ def month_section(cube: Cube, var: str, along: str = "longitude") -> DataFrame:
 def robust_bands(cube: Cube, var: str, bands: int = 6) -> DataFrame:
     """Cells in filled bands between round levels that cover the robust limits."""
     found = limits.robust_limits(cube, var, *ROBUST).first()
-    return plotdata.filled(cube, var, plotdata.round_levels(found["vmin"], found["vmax"], bands))
+    return plotdata.filled(cube, var, round_levels(found["vmin"], found["vmax"], bands))
 
 
 def velocity_profile(flow: Cube, vertical: Cube, time: int | None, patch: tuple[slice, slice], point: tuple[int, int],

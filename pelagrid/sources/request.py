@@ -13,7 +13,9 @@ import os
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..cube import TIME, Cube
 from ..functions.timeparts import in_year_requests, year_bounds
@@ -169,15 +171,11 @@ def take_years(cube: Cube, years: Iterable[int]) -> Cube:
     if not years:
         raise ValueError("no years given")
     cube = cube.sel_time(year_bounds(years[0])[0], year_bounds(years[-1])[1])
-    chosen = in_year_requests(cube.frame[TIME], years)
-    frame = cube.frame.where(chosen)
-    axis = cube.axes[TIME]
-    return replace(cube, frame=frame, axes={**cube.axes, TIME: axis.where(in_year_requests(axis[TIME], years))})
+    chosen = in_year_requests(F.col(TIME), years)
+    return replace(cube, frame=cube.frame.where(chosen), axes={**cube.axes, TIME: cube.axes[TIME].where(chosen)})
 
 
 def _is_stored(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
     try:
         return bool(spark.read.parquet(path).columns)
     except AnalysisException:

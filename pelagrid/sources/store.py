@@ -11,11 +11,13 @@ the cells for them.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..axis import Axis
 from ..cube import TIME, Cube
 from ..functions.values import clean
 
@@ -51,7 +53,7 @@ def from_frame(
     dims: Sequence[str],
     data_vars: Sequence[str] | None = None,
     rename: Mapping[str, str] | None = None,
-    axes: Mapping[str, DataFrame] | None = None,
+    axes: Mapping[str, Axis] | None = None,
 ) -> Cube:
     """Cube over any frame: names aligned, NaN turned into NULL."""
     if rename:
@@ -65,13 +67,13 @@ def from_frame(
         raise KeyError(f"no column {missing} among {frame.columns}")
     cleaned = frame.select(
         *dims, *[clean(F.col(v), frame.schema[v].dataType).alias(v) for v in names], *([year] if year else []))
-    own = {d: frame.select(d) for d in dims}
+    own = {d: Axis(frame.select(d)) for d in dims}
     return Cube.of(cleaned, dims, names, {**own, **dict(axes or {})}, year)
 
 
-def _kept_axis(spark: SparkSession, path: str, dim: str) -> DataFrame | None:
+def _kept_axis(spark: SparkSession, path: str, dim: str) -> Axis | None:
     try:
-        return spark.read.parquet(f"{path.rstrip('/')}/_axes/{dim}").select(dim)
+        return Axis(spark.read.parquet(f"{path.rstrip('/')}/_axes/{dim}").select(dim))
     except AnalysisException as absent:
         if absent.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -136,7 +138,7 @@ def combine(cubes: Sequence[Cube]) -> Cube:
     for c in cubes:
         part = c.frame if year or not c.year else c.frame.drop(c.year)
         frame = part if frame is None else frame.unionByName(part, allowMissingColumns=True)
-        axes = dict(c.axes) if axes is None else {d: axes[d].unionByName(c.axes[d]) for d in axes}
+        axes = dict(c.axes) if axes is None else {d: axes[d].union(c.axes[d]) for d in axes}
     return Cube.of(frame, first.dims, names, axes, year)
 
 
@@ -169,11 +171,15 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
         if years["first"] is None:
             return
         stored = stored.where(F.col(YEAR).between(years["first"], years["last"]))
-    for dim in cube.dims:
+
+    def keep(dim: str) -> None:
         axis = stored.select(dim, *([YEAR] if timed else [])).distinct()
         one_file = axis.repartition(YEAR) if timed else axis.repartition(1)
         _write(one_file, f"{path.rstrip('/')}/_axes/{dim}", timed, False)
 
+    with ThreadPoolExecutor() as pool:
+        list(pool.map(keep, cube.dims))
+
 
 def _write(frame: DataFrame, path: str, by_year: bool, replace_all: bool) -> None:
     mode = "static" if replace_all or not by_year else "dynamic"
