@@ -1,0 +1,70 @@
+"""The shape of the physical plans: what reaches the scan, and what is shuffled."""
+
+import pytest
+
+from pelagrid import facet, isoline, open_cube, overlay, season_mean, seasonality, write_cube
+from pelagrid.plans import tables
+from pelagrid.plans.inspect import count_nodes, plan_text, scans
+
+
+@pytest.fixture(scope="module")
+def field(spark, folder, tmp_path_factory):
+    path = f"{tmp_path_factory.mktemp('plans')}/field"
+    write_cube(tables.field(spark, folder), path)
+    return open_cube(spark, path, ("time", *tables.PLACE))
+
+
+def test_box_and_variable_reach_the_scan(field):
+    (scan,) = scans(field.pick("so").sel_range(latitude=(10, 20), longitude=(0.02, 0.04)).frame)
+    for part in ("GreaterThanOrEqual(latitude,10.0)", "LessThanOrEqual(latitude,20.0)", "GreaterThanOrEqual(longitude,0.02)"):
+        assert part in scan["PushedFilters"]
+    assert "tx" not in scan["ReadSchema"] and "so" in scan["ReadSchema"]
+
+
+def test_position_reaches_the_scan_as_a_value(field):
+    (scan,) = scans(field.isel(depth=2, latitude=slice(3, 5)).frame)
+    assert "EqualTo(depth,3)" in scan["PushedFilters"]
+    assert "GreaterThanOrEqual(latitude,4.0)" in scan["PushedFilters"]
+
+
+def test_time_reaches_the_scan_as_range_and_partition(field):
+    (scan,) = scans(field.sel_time("1997-03-01", "1998-03-01").frame)
+    assert "time" in scan["PushedFilters"] and "1997" in scan["PartitionFilters"] and "1998" in scan["PartitionFilters"]
+
+
+def test_selection_after_a_climatology_moves_below_it(field):
+    (scan,) = scans(season_mean(field.pick("so")).isel(depth=0).frame)
+    assert "EqualTo(depth,1)" in scan["PushedFilters"]
+
+
+def test_climatology_is_one_shuffle_of_partial_means(field):
+    means = seasonality(field).frame
+    assert count_nodes(means, "Exchange") == 1
+    assert "partial_avg(so" in plan_text(means)
+    assert count_nodes(means, "HashAggregate") == 2 and count_nodes(means, "Sort") == 0
+
+
+def test_facets_from_daily_data_are_one_shuffle(field):
+    assert count_nodes(facet(field, "so", "season", ["DJF", "JJA"]), "Exchange") == 1
+
+
+def test_zonal_mean_of_a_climatology_is_two_shuffles(field):
+    assert count_nodes(seasonality(field.pick("so")).mean("longitude").frame, "Exchange") == 2
+
+
+def test_isoline_reads_the_field_once_in_two_windows(field):
+    lines = isoline(season_mean(field.pick("so").isel(depth=0)), "so", 4e6, by=["season"])
+    cells = [s for s in scans(lines) if "so" in s["ReadSchema"]]
+    assert len(cells) == 1
+
+
+def test_overlay_never_shuffles_by_facet_label(field):
+    base = season_mean(field.pick("so"))
+    stacked = overlay(base, "a", {"b": season_mean(field.pick("tx")).frame}, on="season")
+    text = plan_text(stacked)
+    assert "SortMergeJoin" not in text and "BroadcastHashJoin LeftSemi" in text
+
+
+@pytest.mark.parametrize("reduced", [seasonality, season_mean])
+def test_no_python_in_the_plan(field, reduced):
+    assert "Python" not in plan_text(reduced(field).frame)

@@ -1,0 +1,67 @@
+"""Laws that hold on any grid."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from grids import cube, found
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from pelagrid import combine, season_mean, seasonality, take_years
+
+DIMS = ("time", "latitude", "longitude")
+SCHEMA = "time timestamp_ntz, latitude double, longitude double, so double"
+
+cell = st.tuples(
+    st.integers(0, 900).map(lambda d: datetime(2000, 1, 1) + timedelta(days=d)),
+    st.integers(0, 3).map(float), st.integers(0, 3).map(float),
+    st.one_of(st.none(), st.integers(-50, 50).map(float)),
+)
+grids = st.lists(cell, min_size=1, max_size=30)
+few = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+
+
+@few
+@given(grids)
+def test_selection_and_mean_over_another_dimension_commute(spark, cells):
+    grid = cube(spark, SCHEMA, cells, DIMS)
+    assert found(grid.isel(latitude=0).mean("time").frame) == found(grid.mean("time").isel(latitude=0).frame)
+
+
+@few
+@given(grids)
+def test_month_means_weighted_by_days_make_the_season_mean(spark, cells):
+    whole = [c for c in cells if c[3] is not None]
+    if not whole:
+        return
+    grid = cube(spark, SCHEMA, whole, DIMS)
+    seasons = {r[:3]: r[3] for r in found(season_mean(grid).frame)}
+    months = {r[:3]: r[3] for r in found(seasonality(grid).frame)}
+    labels = ["DJF", "MAM", "JJA", "SON"]
+    for (season, lat, lon), mean in seasons.items():
+        days = [c for c in whole if c[1:3] == (lat, lon) and labels[c[0].month % 12 // 3] == season]
+        assert sum(months[c[0].month, lat, lon] for c in days) / len(days) == pytest.approx(mean)
+
+
+@few
+@given(grids)
+def test_a_box_taken_twice_is_the_box(spark, cells):
+    once = cube(spark, SCHEMA, cells, DIMS).sel_range(latitude=(1, 2))
+    assert found(once.frame) == found(once.sel_range(latitude=(1, 2)).frame)
+
+
+@few
+@given(grids)
+def test_years_together_are_the_whole(spark, cells):
+    grid = cube(spark, SCHEMA, cells, DIMS)
+    parts = combine([take_years(grid, [y]) for y in (2000, 2001, 2002)])
+    assert found(parts.frame) == found(take_years(grid, [2000, 2001, 2002]).frame) == found(grid.frame)
+
+
+@few
+@given(grids, st.integers(1, 7))
+def test_means_do_not_depend_on_the_partitions(spark, cells, n):
+    frame = spark.createDataFrame(cells, SCHEMA)
+    split = cube(spark, SCHEMA, cells, DIMS)
+    again = type(split).of(frame.repartition(n), DIMS)
+    assert found(season_mean(split).frame) == found(season_mean(again).frame)
