@@ -101,26 +101,34 @@ def open_many(
     frame = spark.read.option("mergeSchema", "true").parquet(*paths)
     if check:
         source = {new: old for old, new in (rename or {}).items()}.get(along, along)
-        clashes = overlaps(frame, source, slab).limit(3).collect()
-        if clashes:
-            raise ValueError(f"overlapping {along} in {[c['slab'] for c in clashes]}")
+        check_overlap(with_slab(frame, source, slab), source)
     return from_frame(frame, dims, data_vars, rename)
 
 
-def overlaps(frame: DataFrame, along: str, slab: str = "file") -> DataFrame:
-    """Slabs of a file-backed frame that begin before an earlier one has ended.
-    The cells reduce to one row per slab before they are put in order."""
+def with_slab(frame: DataFrame, along: str, slab: str) -> DataFrame:
+    """One column of a file-backed frame, and the file or directory it is from."""
     unit: Column = F.col("_metadata.file_path")
     if slab == "directory":
         unit = F.regexp_replace(unit, "/[^/]*$", "")
     elif slab != "file":
         raise ValueError(f"slab is 'file' or 'directory', not {slab!r}")
-    spans = frame.select(unit.alias("slab"), along).groupBy("slab").agg(
-        F.min(along).alias("first"), F.max(along).alias("last"))
+    return frame.select(unit.alias("slab"), along)
+
+
+def overlaps(slabs: DataFrame, along: str) -> DataFrame:
+    """Slabs that begin before an earlier one has ended. All rows of a slab
+    reduce to one before the slabs are put in order."""
+    spans = slabs.groupBy("slab").agg(F.min(along).alias("first"), F.max(along).alias("last"))
     earlier = Window.orderBy("first", "last", "slab").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("reached", F.max("last").over(earlier)).where("first <= reached")
 
 
+def check_overlap(slabs: DataFrame, along: str) -> None:
+    clashes = overlaps(slabs, along).limit(3).collect()
+    if clashes:
+        raise ValueError(f"overlapping {along} in {[c['slab'] for c in clashes]}")
+
+
 def duplicate_cells(cube: Cube) -> DataFrame:
     """Coordinates held by more than one row, with their count. It groups every
     cell, so it is for data whose slabs may themselves repeat cells."""
