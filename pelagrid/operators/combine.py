@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeparts import TIME_PARTS
-from .select import one_row_each
 
 if TYPE_CHECKING:
     from ..cube import Cube
@@ -22,7 +21,7 @@ def profile_table(columns: Mapping[str, tuple[Cube, str]], axis_name: str = "dep
 
     Levels pair by position, not by label, so the axes need not share values but
     must be equally long: otherwise ValueError, after a job on the axes. A cube
-    with two cells at one level is no profile and raises too.
+    with two cells at one level is no profile; computing the table raises then.
     """
     if not columns:
         raise ValueError("a profile table needs at least one column")
@@ -31,33 +30,25 @@ def profile_table(columns: Mapping[str, tuple[Cube, str]], axis_name: str = "dep
             raise ValueError(f"{name!r} has dimensions {cube.dims}; select or reduce to one first")
         if var not in cube.data_vars:
             raise KeyError(f"no variable {var!r} for {name!r}")
-    _check_lengths(columns)
-    tables = [_by_position(cube, var, name) for name, (cube, var) in columns.items()]
-    first = next(iter(columns.values()))[0]
+    lengths = {name: cube.axes[cube.dims[0]].length for name, (cube, _) in columns.items()}
+    if len(set(lengths.values())) > 1:
+        raise ValueError(f"columns of unequal length: {lengths}")
+    # Columns of one cube are read together.
+    cubes = {id(cube): cube for cube, _ in columns.values()}
+    wanted = {i: {n: v for n, (c, v) in columns.items() if c is cube} for i, cube in cubes.items()}
+    tables = [_by_position(cube, wanted[i]) for i, cube in cubes.items()]
+    first = next(iter(cubes.values()))
     table = first.positions(first.dims[0]).withColumnRenamed(first.dims[0], axis_name)
     joined = fold(lambda left, right: left.join(right, "position"), tables, table)
     return joined.orderBy("position").select(f"`{axis_name}`", *[f"`{name}`" for name in columns])
 
 
-def _by_position(cube: Cube, var: str, name: str) -> DataFrame:
+def _by_position(cube: Cube, names: Mapping[str, str]) -> DataFrame:
     (dim,) = cube.dims
-    cells = cube.frame.select(dim, F.col(var).alias(name))
-    return cube.positions(dim).join(cells, dim, "left").select("position", f"`{name}`")
-
-
-def _check_lengths(columns: Mapping[str, tuple[Cube, str]]) -> None:
-    checks = {}
-    for i, (cube, _) in enumerate(columns.values()):
-        (dim,) = cube.dims
-        checks[f"axis{i}"] = cube.axes[dim].size()
-        checks[f"cells{i}"] = cube.frame.agg((F.count(dim) - F.countDistinct(dim)).alias("n"))
-    found = one_row_each(checks)
-    lengths = {name: found[f"axis{i}"]["n"] for i, name in enumerate(columns)}
-    if len(set(lengths.values())) > 1:
-        raise ValueError(f"columns of unequal length: {lengths}")
-    repeated = [name for i, name in enumerate(columns) if found[f"cells{i}"]["n"]]
-    if repeated:
-        raise ValueError(f"more than one cell per level in {repeated}")
+    twice = F.raise_error(F.lit(f"more than one cell per level in {list(names)}"))
+    one = [F.when(F.count("*") > 1, twice).otherwise(F.max(v)).alias(n) for n, v in names.items()]
+    cells = cube.frame.groupBy(dim).agg(*one)
+    return cube.positions(dim).join(cells, dim, "left").select("position", *[f"`{n}`" for n in names])
 
 
 def profile_series(table: DataFrame, axis_name: str = "depth [m]", series: Sequence[str] | None = None) -> DataFrame:

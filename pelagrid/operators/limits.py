@@ -51,7 +51,8 @@ def robust_limits(
         raise ValueError(f"need 0 <= low < high <= 1, got {low}, {high}")
     if var not in cube.data_vars:
         raise KeyError(f"no variable {var!r}; there are {list(cube.data_vars)}")
-    values = written(cube.frame.select(F.col(var).cast("double").alias("v")).where(F.col("v").isNotNull()))
+    kept = written(cube.frame.select(F.col(var).alias("v")).where(F.col("v").isNotNull()))
+    values = kept.select(F.col("v").cast("double").alias("v"))
     n = values.count()
     if n <= one_task_values:
         both = F.percentile("v", F.array(F.lit(low), F.lit(high)))

@@ -21,6 +21,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
@@ -399,6 +400,7 @@ def open_netcdf(
     if check:
         old = {new: old for old, new in names.items()}.get(along, along)
         if old in sources:
-            check_overlap(sources[old].withColumnRenamed("file", "slab"), old)
+            ends = F.min(old).alias("first"), F.max(old).alias("last")
+            check_overlap(sources[old].groupBy(F.col("file").alias("slab")).agg(*ends), along)
     axes = {names.get(d, d): Axis(f.select(d).withColumnRenamed(d, names.get(d, d))) for d, f in sources.items()}
     return from_frame(cells, list(axes), data_vars, names, axes)

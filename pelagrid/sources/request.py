@@ -172,7 +172,8 @@ def take_years(cube: Cube, years: Iterable[int]) -> Cube:
         raise ValueError("no years given")
     cube = cube.sel_time(year_bounds(years[0])[0], year_bounds(years[-1])[1])
     chosen = in_year_requests(F.col(TIME), years)
-    return replace(cube, frame=cube.frame.where(chosen), axes={**cube.axes, TIME: cube.axes[TIME].where(chosen)})
+    listed = F.col(cube.year).isin(years) if cube.year else F.lit(True)
+    return replace(cube, frame=cube.frame.where(chosen & listed), axes={**cube.axes, TIME: cube.axes[TIME].where(chosen)})
 
 
 def _is_stored(spark: SparkSession, path: str) -> bool:

@@ -101,30 +101,30 @@ def open_many(
     frame = spark.read.option("mergeSchema", "true").parquet(*paths)
     if check:
         source = {new: old for old, new in (rename or {}).items()}.get(along, along)
-        check_overlap(with_slab(frame, source, slab), source)
+        check_overlap(file_spans(frame, source), along, slab)
     return from_frame(frame, dims, data_vars, rename)
 
 
-def with_slab(frame: DataFrame, along: str, slab: str) -> DataFrame:
-    """One column of a file-backed frame, and the file or directory it is from."""
-    unit: Column = F.col("_metadata.file_path")
+def file_spans(frame: DataFrame, along: str) -> DataFrame:
+    """First and last `along` value in each file of a file-backed frame."""
+    file = F.col("_metadata.file_path").alias("slab")
+    return frame.select(file, along).groupBy("slab").agg(F.min(along).alias("first"), F.max(along).alias("last"))
+
+
+def overlaps(spans: DataFrame, slab: str = "file") -> DataFrame:
+    """Slabs that begin before an earlier one has ended, from the spans of files.
+    By now there is one row per file, whatever the number of cells."""
     if slab == "directory":
-        unit = F.regexp_replace(unit, "/[^/]*$", "")
+        folder = F.regexp_replace("slab", "/[^/]*$", "").alias("slab")
+        spans = spans.groupBy(folder).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     elif slab != "file":
         raise ValueError(f"slab is 'file' or 'directory', not {slab!r}")
-    return frame.select(unit.alias("slab"), along)
-
-
-def overlaps(slabs: DataFrame, along: str) -> DataFrame:
-    """Slabs that begin before an earlier one has ended. All rows of a slab
-    reduce to one before the slabs are put in order."""
-    spans = slabs.groupBy("slab").agg(F.min(along).alias("first"), F.max(along).alias("last"))
     earlier = Window.orderBy("first", "last", "slab").rowsBetween(Window.unboundedPreceding, -1)
     return spans.withColumn("reached", F.max("last").over(earlier)).where("first <= reached")
 
 
-def check_overlap(slabs: DataFrame, along: str) -> None:
-    clashes = overlaps(slabs, along).limit(3).collect()
+def check_overlap(spans: DataFrame, along: str, slab: str = "file") -> None:
+    clashes = overlaps(spans, slab).limit(3).collect()
     if clashes:
         raise ValueError(f"overlapping {along} in {[c['slab'] for c in clashes]}")
 
@@ -167,7 +167,9 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     if timed:
         frame = frame.withColumn(YEAR, F.year(TIME))
     order = [*([YEAR] if timed else []), *place, *others, *([TIME] if timed else [])]
-    laid_out = frame.repartitionByRange(files, *order) if files else frame.repartitionByRange(*order)
+    # Rows that share even their coordinates still split, by what they hold.
+    spread = [*order, *([F.xxhash64(*cube.data_vars)] if cube.data_vars else [])]
+    laid_out = frame.repartitionByRange(files, *spread) if files else frame.repartitionByRange(*spread)
     seen = Observation()
     if timed:
         laid_out = laid_out.observe(seen, F.min(YEAR).alias("first"), F.max(YEAR).alias("last"))

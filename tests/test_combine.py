@@ -1,5 +1,6 @@
 import pytest
 from grids import cube, day, found
+from pyspark.errors import PySparkException
 
 from pelagrid import overlay, profile_series, profile_table, season_mean
 
@@ -25,8 +26,8 @@ def test_unequal_lengths_raise(spark):
 
 def test_two_cells_at_a_level_raise(spark):
     u = column(spark, "uo", [(0.5, 1.0), (0.5, 2.0)])
-    with pytest.raises(ValueError, match="more than one cell"):
-        profile_table({"u": (u, "uo")})
+    with pytest.raises(PySparkException, match="more than one cell"):
+        profile_table({"u": (u, "uo")}).collect()
 
 
 def test_profile_needs_one_dimension(spark):

@@ -2,7 +2,7 @@
 
 import pytest
 
-from pelagrid import facet, isoline, open_cube, overlay, season_mean, seasonality, write_cube
+from pelagrid import facet, isoline, open_cube, overlay, season_mean, seasonality, take_years, write_cube
 from pelagrid.plans import tables
 from pelagrid.plans.inspect import count_nodes, plan_text, scans
 
@@ -32,6 +32,11 @@ def test_time_reaches_the_scan_as_range_and_partition(field):
     assert "time" in scan["PushedFilters"] and "1997" in scan["PartitionFilters"] and "1998" in scan["PartitionFilters"]
 
 
+def test_year_requests_name_their_partitions(field):
+    (scan,) = scans(take_years(field, [1996, 1999]).frame)
+    assert "1996,1999" in scan["PartitionFilters"].replace(" ", "") and "LessThanOrEqual(time" in scan["PushedFilters"]
+
+
 def test_selection_after_a_climatology_moves_below_it(field):
     (scan,) = scans(season_mean(field.pick("so")).isel(depth=0).frame)
     assert "EqualTo(depth,1)" in scan["PushedFilters"]
