@@ -23,6 +23,9 @@ class Axis:
     Cubes selected from one another share the source. Its distinct values are
     cached by Spark when first asked for, so that a chain of selections scans the
     coordinate column of a large cube once.
+
+    Positions follow the values upward, or downward where the source counts so;
+    that is noted in the metadata of the column, and stays with it in Parquet.
     """
 
     source: DataFrame
@@ -32,6 +35,19 @@ class Axis:
     def name(self) -> str:
         return self.source.columns[0]
 
+    @classmethod
+    def of(cls, source: DataFrame, descending: bool = False) -> Axis:
+        (name,) = source.columns
+        return cls(source.select(noted(name, descending)))
+
+    @property
+    def descending(self) -> bool:
+        return bool(self.source.schema[self.name].metadata.get("descending"))
+
+    @property
+    def order(self) -> Column:
+        return F.col(self.name).desc() if self.descending else F.col(self.name).asc()
+
     @property
     def values(self) -> DataFrame:
         """Each value once, unordered."""
@@ -62,12 +78,19 @@ class Axis:
         """The values with their rank from 0, as columns `name` and `position`."""
         values = self.values
         if self.length <= one_task_length:
-            rank = F.row_number().over(Window.orderBy(self.name)) - 1
-            return values.select(self.name, rank.alias("position"))
+            rank = F.row_number().over(Window.orderBy(self.order)) - 1
+            return values.select(self.name, rank.cast("bigint").alias("position"))
         schema = T.StructType([*values.schema.fields, T.StructField("position", T.LongType())])
-        ranked = values.orderBy(self.name).rdd.zipWithIndex().map(lambda found: (found[0][0], found[1]))
-        frame = values.sparkSession.createDataFrame(ranked, schema)
-        return frame.withColumn("position", F.col("position").cast("int"))
+        ranked = values.orderBy(self.order).rdd.zipWithIndex().map(lambda found: (found[0][0], found[1]))
+        return values.sparkSession.createDataFrame(ranked, schema)
+
+    def between(self, start: int, stop: int | None) -> DataFrame:
+        """The values at positions start <= p < stop."""
+        if max(start, stop or 0) > ONE_TASK_LENGTH:
+            found = self.positions().where(F.col("position") >= start)
+            return (found if stop is None else found.where(F.col("position") < stop)).select(self.name)
+        found = self.values.orderBy(self.order).offset(start)
+        return found if stop is None else found.limit(max(stop - start, 0))
 
     def _known(self) -> DataFrame:
         values = self.source.distinct()
@@ -77,3 +100,8 @@ class Axis:
         for condition in self.selected:
             values = values.where(condition)
         return values
+
+
+def noted(name: str, descending: bool) -> Column:
+    """The column, with a note if positions count downward along it."""
+    return F.col(name).alias(name, metadata={"descending": True}) if descending else F.col(name)

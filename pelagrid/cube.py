@@ -51,8 +51,10 @@ class Cube:
         data_vars: Sequence[str] | None = None,
         axes: Mapping[str, Axis] | None = None,
         year: str | None = None,
+        descending: Sequence[str] = (),
     ) -> Cube:
-        """Cube over a frame; axes not given are read off the frame's columns."""
+        """Cube over a frame; axes not given are read off the frame's columns.
+        Along `descending` dimensions positions start at the largest value."""
         dims = tuple(dims)
         names = data_vars if data_vars is not None else [
             c for c in frame.columns if c not in dims and c != year
@@ -62,7 +64,7 @@ class Cube:
             raise KeyError(f"no column {missing} among {frame.columns}")
         kept = frame.select(*dims, *names, *([year] if year else []))
         given = dict(axes or {})
-        return cls(kept, dims, tuple(names), {d: given.get(d) or Axis(frame.select(d)) for d in dims}, year)
+        return cls(kept, dims, tuple(names), {d: given.get(d) or Axis.of(frame.select(d), d in descending) for d in dims}, year)
 
     # -- shape ---------------------------------------------------------------
 
@@ -72,7 +74,7 @@ class Cube:
     def axis(self, dim: str) -> DataFrame:
         """The coordinate values of one dimension, each once, in order."""
         select.require_dims(self, dim)
-        return self.axes[dim].values.orderBy(dim)
+        return self.axes[dim].values.orderBy(self.axes[dim].order)
 
     def positions(self, dim: str) -> DataFrame:
         """The axis with 0-based positions, as columns `dim` and `position`."""
@@ -177,7 +179,7 @@ class Cube:
 
     def table(self) -> DataFrame:
         """The cells as a table, ordered by the dimensions."""
-        return self.frame.select(*self.dims, *self.data_vars).orderBy(*self.dims)
+        return self.frame.select(*self.dims, *self.data_vars).orderBy(*[self.axes[d].order for d in self.dims])
 
     def values(self, most: int = 1_000_000) -> pa.Table:
         """The ordered cells as an Arrow table in the driver. For small results:

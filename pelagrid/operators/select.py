@@ -89,10 +89,7 @@ def _span(cube: Cube, dim: str, where: int | slice, size: int | None) -> DataFra
         stop = start + 1
         if start < 0:
             raise IndexError(f"position {where} is outside axis {dim} of length {size}")
-    ordered = cube.axes[dim].values.orderBy(dim).offset(start)
-    if stop is not None:
-        ordered = ordered.limit(max(stop - start, 0))
-    return ordered.agg(F.min(dim).alias("first"), F.max(dim).alias("last"))
+    return cube.axes[dim].between(start, stop).agg(F.min(dim).alias("first"), F.max(dim).alias("last"))
 
 
 def _counts_from_end(where: int | slice) -> bool:
@@ -138,19 +135,22 @@ def sel(cube: Cube, where: Mapping[str, Any], strict: bool) -> Cube:
     return without(cube, tuple(where))
 
 
-def sel_nearest(cube: Cube, where: Mapping[str, float], drop: bool) -> Cube:
-    """Of two values equally near, the larger one is taken."""
+def nearest(cube: Cube, where: Mapping[str, float]) -> dict[str, Any]:
+    """The axis value nearest to each number; of two equally near the larger one."""
     require_dims(cube, *where)
-    nearest = {}
+    asked = {}
     for dim, wanted in where.items():
         at = F.col(dim).cast("double")
         rank = F.struct(F.abs(at - F.lit(float(wanted))), -at)
-        nearest[dim] = cube.axes[dim].values.agg(F.min_by(dim, rank).alias("value"))
-    found = one_row_each(nearest)
-    for dim in where:
-        value = found[dim]["value"]
-        if value is None:
-            raise KeyError(f"axis {dim} is empty")
+        asked[dim] = cube.axes[dim].values.agg(F.min_by(dim, rank).alias("value"))
+    values = {d: row["value"] for d, row in one_row_each(asked).items()}
+    if empty := [d for d, v in values.items() if v is None]:
+        raise KeyError(f"nothing on the axis of {empty}")
+    return values
+
+
+def sel_nearest(cube: Cube, where: Mapping[str, float], drop: bool) -> Cube:
+    for dim, value in nearest(cube, where).items():
         cube = restrict(cube, dim, value, value)
     return without(cube, tuple(where)) if drop else cube
 

@@ -26,7 +26,7 @@ def month(time: str = "time") -> str:
 
 
 def axis(name: str, dim: str, source: str = "field") -> str:
-    return (f"{name} AS (SELECT {dim}, CAST(row_number() OVER (ORDER BY {dim}) - 1 AS INTEGER) AS i "
+    return (f"{name} AS (SELECT {dim}, row_number() OVER (ORDER BY {dim}) - 1 AS i "
             f"FROM (SELECT DISTINCT {dim} FROM {source}))")
 
 
@@ -171,7 +171,7 @@ UNION ALL SELECT 'edge', season, latitude, NULL, NULL, edge, longitude, '4000000
   avg(so) FILTER (WHERE {season('time')} = 'DJF') AS DJF, avg(so) FILTER (WHERE {season('time')} = 'JJA') AS JJA,
   avg(so) FILTER (WHERE {season('time')} = 'MAM') AS MAM, avg(so) FILTER (WHERE {season('time')} = 'SON') AS SON
 FROM field WHERE {TOP} GROUP BY latitude, longitude""",
-    "q_facet_labels": f"""WITH {FIELD} SELECT CAST(row_number() OVER (ORDER BY season) - 1 AS INTEGER) AS panel, season
+    "q_facet_labels": f"""WITH {FIELD} SELECT row_number() OVER (ORDER BY season) - 1 AS panel, season
 FROM (SELECT DISTINCT {season('time')} AS season FROM field)""",
     "q_isoline": f"""WITH {FIELD}, {ISOLINE} SELECT season, edge, latitude, longitude FROM points""",
     "q_bands": f"""WITH {FIELD}, {SECTION}

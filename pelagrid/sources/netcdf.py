@@ -9,11 +9,12 @@ system that driver and executors mount alike.
 from __future__ import annotations
 
 import glob
+import json
 import math
 import os
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 from itertools import product
 from typing import Any
@@ -23,10 +24,7 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition,
-    LessThan, LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..axis import Axis
 from ..cube import TIME, Cube
@@ -222,49 +220,47 @@ def cut(ranges: Sequence[tuple[int, int]], most: int) -> Iterator[tuple[tuple[in
     return product(*pieces)
 
 
-def holds(test: Filter, values: np.ma.MaskedArray) -> np.ndarray | None:
-    """Where a pushed filter is true of an axis; None if it is of another kind."""
-    if isinstance(test, In):
-        return np.isin(values, [np.datetime64(v, "us") if isinstance(v, datetime) else v for v in test.value])
-    compare = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal,
-               LessThan: np.less, LessThanOrEqual: np.less_equal}.get(type(test))
-    if compare is None:
-        return None
-    bound = np.datetime64(test.value, "us") if isinstance(test.value, datetime) else test.value
-    return compare(values, bound)
+def inside(values: np.ma.MaskedArray, low: Any, high: Any) -> np.ndarray:
+    """Where an axis lies in a closed interval, an open end being None; bounds
+    take the axis's own precision, as they do in a cube's selections."""
+    wanted = ~np.ma.getmaskarray(values)
+    for bound, compare in ((low, np.greater_equal), (high, np.less_equal)):
+        if bound is not None:
+            if values.dtype.kind == "M":
+                bound = np.datetime64(bound, "us")
+            elif values.dtype.kind == "f":
+                bound = values.dtype.type(bound)
+            wanted &= compare(np.ma.getdata(values), bound)
+    return wanted
 
 
 @dataclass
 class Reader(DataSourceReader):
+    """Cells of the box spanned by `bounds`, dimension to (low, high)."""
+
     paths: list[str]
     names: tuple[str, ...]
     dims: tuple[str, ...]
     schema: T.StructType
     slab_cells: int
-    tests: list[Filter] = field(default_factory=list)
-
-    def pushFilters(self, filters: list[Filter]) -> list[Filter]:
-        """Filters on dimensions narrow what is read. Spark applies them all again."""
-        self.tests = [f for f in filters if getattr(f, "attribute", ("",))[0] in self.dims]
-        return filters
+    bounds: Mapping[str, tuple[Any, Any]]
 
     def partitions(self) -> list[Slab]:
         return [Slab(p, box) for p in self.paths for box in cut(self._ranges(open_file(p)), self.slab_cells)]
 
     def _ranges(self, found: Mapping[str, Variable]) -> list[tuple[int, int]]:
-        shape = found[self.names[0]].data.shape
         ranges = []
-        for dim, size in zip(self.dims, shape):
-            wanted = np.ones(size, bool)
-            for test in self.tests:
-                if test.attribute == (dim,):
-                    here = holds(test, coordinate(found, dim, size))
-                    wanted &= np.ma.filled(here, False) if here is not None else True
-            where = np.flatnonzero(wanted)
+        for dim, size in zip(self.dims, found[self.names[0]].data.shape):
+            low, high = self.bounds.get(dim, (None, None))
+            where = np.arange(size)
+            if (low, high) != (None, None):
+                where = np.flatnonzero(inside(coordinate(found, dim, size), low, high))
             ranges.append((int(where[0]), int(where[-1]) + 1) if len(where) else (0, 0))
         return ranges
 
-    def read(self, partition: Slab) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Slab | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no slab at all: nothing lies within the bounds
+            return
         found = open_file(partition.path)
         box = tuple(slice(a, b) for a, b in partition.ranges)
         shape = [b - a for a, b in partition.ranges]
@@ -321,7 +317,13 @@ class AxisReader(DataSourceReader):
 class NetCDFSource(DataSource):
     """Options: path (file, directory, glob, or several with commas), variables
     (comma separated; default all on the largest set of dimensions), slab_cells,
-    and axis, to read one coordinate alone."""
+    bounds (JSON, dimension to [low, high], either of them null) and axis, to read
+    one coordinate alone.
+
+    Bounds are an option and not pushed filters: Spark 4.1 keeps what was pushed
+    with the loaded source, and a later query on the same frame without the filter
+    would silently get the narrowed rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -353,7 +355,7 @@ class NetCDFSource(DataSource):
         found = open_file(self._paths()[0])
         names = self._names(found)
         dims = (self.options["axis"],) if "axis" in self.options else found[names[0]].dims
-        fields = [T.StructField(d, self._type(found, d), metadata={"dimension": True}) for d in dims]
+        fields = [T.StructField(d, self._type(found, d), metadata=self._notes(found, d)) for d in dims]
         if "axis" in self.options:
             return T.StructType([*fields, T.StructField("file", T.StringType())])
         return T.StructType([*fields, *[T.StructField(n, found[n].spark_type()) for n in names]])
@@ -362,6 +364,14 @@ class NetCDFSource(DataSource):
         own = dim in found and found[dim].dims == (dim,)
         return found[dim].spark_type() if own else T.IntegerType()
 
+    def _notes(self, found: Mapping[str, Variable], dim: str) -> dict[str, bool]:
+        """That a column is a dimension, and whether its values go down."""
+        down = False
+        if dim in found and found[dim].dims == (dim,) and len(found[dim].data) > 1:
+            first, last = found[dim].decoded((slice(None),))[[0, -1]]
+            down = bool(last < first)
+        return {"dimension": True, "descending": down}
+
     def reader(self, schema: T.StructType) -> DataSourceReader:
         paths = self._paths()
         found = open_file(paths[0])
@@ -369,7 +379,8 @@ class NetCDFSource(DataSource):
         if "axis" in self.options:
             return AxisReader(paths, self.options["axis"], names[0], schema)
         cells = int(self.options.get("slab_cells", SLAB_CELLS))
-        return Reader(paths, names, found[names[0]].dims, schema, cells)
+        bounds = json.loads(self.options.get("bounds", "{}"))
+        return Reader(paths, names, found[names[0]].dims, schema, cells, bounds)
 
 
 # -- cubes ---------------------------------------------------------------------
@@ -381,26 +392,29 @@ def open_netcdf(
     rename: Mapping[str, str] | None = None,
     along: str = TIME,
     check: bool = True,
+    bounds: Mapping[str, tuple[Any, Any]] | None = None,
 ) -> Cube:
     """One file or many, by path or glob, as one lazy cube.
 
     The axes come from the coordinate variables alone. Several files must each
-    cover their own stretch of the `along` axis, or ValueError.
+    cover their own stretch of the `along` axis, or ValueError. Of a large file
+    only the closed intervals in `bounds` are read; selections made on the cube
+    later filter what was read.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(NetCDFSource)
+    names, bounds = dict(rename or {}), dict(bounds or {})
+    back = {new: old for old, new in names.items()}
     options = {"path": path if isinstance(path, str) else ",".join(path)}
     if data_vars is not None:
-        back = {new: old for old, new in (rename or {}).items()}
         options["variables"] = ",".join(back.get(v, v) for v in data_vars)
-    cells = spark.read.format("netcdf").options(**options).load()
-    names = dict(rename or {})
+    box = json.dumps({back.get(d, d): ends for d, ends in bounds.items()})
+    cells = spark.read.format("netcdf").options(**options, bounds=box).load()
     dims = [f.name for f in cells.schema if f.metadata.get("dimension")]
     sources = {d: spark.read.format("netcdf").options(**options, axis=d).load() for d in dims}
     if check:
-        old = {new: old for old, new in names.items()}.get(along, along)
+        old = back.get(along, along)
         if old in sources:
             ends = F.min(old).alias("first"), F.max(old).alias("last")
             check_overlap(sources[old].groupBy(F.col("file").alias("slab")).agg(*ends), along)
     axes = {names.get(d, d): Axis(f.select(d).withColumnRenamed(d, names.get(d, d))) for d, f in sources.items()}
-    return from_frame(cells, list(axes), data_vars, names, axes)
+    return from_frame(cells, list(axes), data_vars, names, axes).sel_range(**bounds)

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..cube import TIME, Cube
 from ..functions.timeparts import in_year_requests, year_bounds
-from . import store
+from ..operators.select import nearest
+from . import netcdf, store
 
 log = logging.getLogger(__name__)
 
@@ -90,22 +91,26 @@ class Request:
         days = [t[:10] for t in (self.start_datetime, self.end_datetime) if t]
         return "_".join([*parts, *days])
 
+    @property
+    def level(self) -> float | None:
+        """The single depth asked for, if it is one."""
+        return self.minimum_depth if self.minimum_depth == self.maximum_depth else None
+
+    def bounds(self) -> dict[str, tuple]:
+        """Closed interval per dimension; a single level is not among them."""
+        ends = {
+            "longitude": (self.minimum_longitude, self.maximum_longitude),
+            "latitude": (self.minimum_latitude, self.maximum_latitude),
+            "depth": (self.minimum_depth, self.maximum_depth) if self.level is None else (None, None),
+            TIME: (self.start_datetime, self.end_datetime),
+        }
+        return {d: e for d, e in ends.items() if e != (None, None)}
+
     def apply(self, cube: Cube) -> Cube:
         if self.variables is not None:
             cube = cube.pick(*self.variables)
-        for dim, low, high in (
-            ("longitude", self.minimum_longitude, self.maximum_longitude),
-            ("latitude", self.minimum_latitude, self.maximum_latitude),
-            ("depth", self.minimum_depth, self.maximum_depth),
-            (TIME, self.start_datetime, self.end_datetime),
-        ):
-            if low is None and high is None:
-                continue
-            if dim == "depth" and low == high:
-                cube = cube.sel_nearest(depth=low)
-            else:
-                cube = cube.sel_range(**{dim: (low, high)})
-        return cube
+        cube = cube.sel_range(**self.bounds())
+        return cube if self.level is None else cube.sel_nearest(depth=self.level)
 
 
 def credentials(spark: SparkSession) -> dict[str, str]:
@@ -120,8 +125,15 @@ def credentials(spark: SparkSession) -> dict[str, str]:
     return found
 
 
-def _open(spark: SparkSession, catalog: Catalog, dataset_id: str) -> Cube:
-    p = catalog.product(dataset_id)
+def _open(spark: SparkSession, catalog: Catalog, wanted: Request) -> Cube:
+    p = catalog.product(wanted.dataset_id)
+    if p.fmt == "netcdf":
+        names = wanted.variables or p.data_vars
+        bounds = wanted.bounds()
+        if wanted.level is not None:
+            axes = netcdf.open_netcdf(spark, p.path, names, p.rename, check=False)
+            bounds["depth"] = (nearest(axes, {"depth": wanted.level})["depth"],) * 2
+        return netcdf.open_netcdf(spark, p.path, names, p.rename, bounds=bounds)
     options = {**p.options, **(credentials(spark) if p.login else {})}
     return store.open_cube(spark, p.path, p.dims, p.data_vars, p.rename or None, p.fmt, options)
 
@@ -129,7 +141,7 @@ def _open(spark: SparkSession, catalog: Catalog, dataset_id: str) -> Cube:
 def open_dataset(spark: SparkSession, catalog: Catalog, **request) -> Cube:
     """The requested part of a data set as a lazy cube."""
     wanted = Request(**request)
-    return wanted.apply(_open(spark, catalog, wanted.dataset_id))
+    return wanted.apply(_open(spark, catalog, wanted))
 
 
 def subset(

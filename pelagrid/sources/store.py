@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..axis import Axis
+from ..axis import Axis, noted
 from ..cube import TIME, Cube
 from ..functions.values import clean
 
@@ -32,12 +32,14 @@ def open_cube(
     rename: Mapping[str, str] | None = None,
     fmt: str = "parquet",
     options: Mapping[str, str] | None = None,
+    descending: Sequence[str] = (),
 ) -> Cube:
     """Cube over one file or directory, lazily.
 
     `dims` and `data_vars` are the names after `rename`; without `data_vars`
     every other column is a variable. A `year` column next to a time dimension is
-    taken as the partition column of a kept cube.
+    taken as the partition column of a kept cube. Positions start at the largest
+    value along `descending` dimensions; a kept cube knows its own.
     """
     frame = spark.read.format(fmt).options(**dict(options or {})).load(path)
     axes = {}
@@ -45,7 +47,7 @@ def open_cube(
         axis = _kept_axis(spark, path, dim) if fmt == "parquet" and not rename else None
         if axis is not None:
             axes[dim] = axis
-    return from_frame(frame, dims, data_vars, rename, axes)
+    return from_frame(frame, dims, data_vars, rename, axes, descending)
 
 
 def from_frame(
@@ -54,6 +56,7 @@ def from_frame(
     data_vars: Sequence[str] | None = None,
     rename: Mapping[str, str] | None = None,
     axes: Mapping[str, Axis] | None = None,
+    descending: Sequence[str] = (),
 ) -> Cube:
     """Cube over any frame: names aligned, NaN turned into NULL."""
     if rename:
@@ -67,7 +70,7 @@ def from_frame(
         raise KeyError(f"no column {missing} among {frame.columns}")
     cleaned = frame.select(
         *dims, *[clean(F.col(v), frame.schema[v].dataType).alias(v) for v in names], *([year] if year else []))
-    own = {d: Axis(frame.select(d)) for d in dims}
+    own = {d: Axis.of(frame.select(d), d in descending) for d in dims}
     return Cube.of(cleaned, dims, names, {**own, **dict(axes or {})}, year)
 
 
@@ -89,6 +92,7 @@ def open_many(
     along: str = TIME,
     slab: str = "file",
     check: bool = True,
+    descending: Sequence[str] = (),
 ) -> Cube:
     """Many files, by path or glob, as one cube.
 
@@ -102,7 +106,7 @@ def open_many(
     if check:
         source = {new: old for old, new in (rename or {}).items()}.get(along, along)
         check_overlap(file_spans(frame, source), along, slab)
-    return from_frame(frame, dims, data_vars, rename)
+    return from_frame(frame, dims, data_vars, rename, descending=descending)
 
 
 def file_spans(frame: DataFrame, along: str) -> DataFrame:
@@ -183,7 +187,8 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
         stored = stored.where(F.col(YEAR).between(years["first"], years["last"]))
 
     def keep(dim: str) -> None:
-        axis = stored.select(dim, *([YEAR] if timed else [])).distinct()
+        column = noted(dim, cube.axes[dim].descending)
+        axis = stored.select(column, *([YEAR] if timed else [])).distinct()
         one_file = axis.repartition(YEAR) if timed else axis.repartition(1)
         _write(one_file, f"{path.rstrip('/')}/_axes/{dim}", timed, False)
 

@@ -81,13 +81,26 @@ def test_slabs_and_selection_change_nothing(spark, tmp_path):
     assert found(box.frame, "time", "so") == sorted(((r.time, r.so) for r in whole), key=str)
 
 
-def test_pushed_filters_narrow_the_slabs(spark, tmp_path):
+def test_bounds_narrow_what_is_read(spark, tmp_path):
     ocean(f"{tmp_path}/a.nc")
-    assert open_netcdf(spark, f"{tmp_path}/a.nc", ["so"]).isel(time=0, depth=0, latitude=0, longitude=2).frame.count() == 1
-    cells = spark.read.format("netcdf").options(variables="so", slab_cells="1").load(f"{tmp_path}/a.nc")
-    assert cells.rdd.getNumPartitions() == 72
-    box = cells.where("time = timestamp_ntz'2000-01-02' and longitude > -60 and latitude <= 0 and depth in (float(0.49402499))")
-    assert box.rdd.getNumPartitions() == 4 and box.count() == 4
+    bounds = {"time": ("2000-01-02", "2000-01-02"), "longitude": (-60, None), "latitude": (None, 0), "depth": (0.494025, 1)}
+    cube = open_netcdf(spark, f"{tmp_path}/a.nc", ["so"], bounds=bounds)
+    whole = open_netcdf(spark, f"{tmp_path}/a.nc", ["so"])
+    assert cube.frame.count() == 4
+    assert found(cube.frame) == found(whole.sel_range(**bounds).frame)
+    assert [r.longitude for r in cube.axis("longitude").collect()] == [-55.0, -45.0]
+    cells = spark.read.format("netcdf").options(
+        variables="so", slab_cells="1", bounds='{"longitude": [-60, null], "latitude": [null, 0]}').load(f"{tmp_path}/a.nc")
+    assert cells.rdd.getNumPartitions() == 3 * 2 * 2 * 2
+    nothing = open_netcdf(spark, f"{tmp_path}/a.nc", ["so"], bounds={"latitude": (50, 60)})
+    assert nothing.frame.count() == 0
+
+
+def test_one_query_does_not_change_the_next(spark, tmp_path):
+    ocean(f"{tmp_path}/a.nc")
+    cube = open_netcdf(spark, f"{tmp_path}/a.nc", ["so"])
+    assert cube.isel(depth=1).frame.count() == 36
+    assert cube.frame.count() == 72
 
 
 def test_many_files_by_glob(spark, tmp_path):
@@ -145,3 +158,11 @@ def test_boxes_fill_the_whole_once(most):
         seen[where] += 1
     assert (seen == 1).all()
     assert list(cut([(0, 3), (0, 0)], 5)) == []
+
+
+def test_latitudes_stored_from_north_to_south(spark, tmp_path):
+    write(f"{tmp_path}/d.nc", {"latitude": 3}, {
+        "latitude": (("latitude",), {}, np.array([30, 20, 10], "f4")), "so": (("latitude", ), {}, np.array([3, 2, 1], "f4"))})
+    cube = open_netcdf(spark, f"{tmp_path}/d.nc", ["so"])
+    assert found(cube.isel(latitude=0).frame) == [(3.0,)]
+    assert cube.values().column("so").to_pylist() == [3.0, 2.0, 1.0]

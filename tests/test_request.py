@@ -3,6 +3,7 @@ import logging
 
 import pytest
 from grids import cube, day, found
+from test_netcdf import ocean
 
 from pelagrid import Catalog, Product, Request, open_cube, open_dataset, subset, take_years, write_cube
 from pelagrid.jobs import acquire
@@ -94,3 +95,14 @@ def test_acquire_from_the_command_line(spark, shelf, tmp_path):
                          "--variables", "so", "--longitude", "-75", "-40", "--latitude", "-10", "30",
                          "--depth", "0.494", "0.494", "--years", "2000", "2001"])
     assert found(open_cube(spark, path, DIMS).mean(*DIMS).frame) == [(-80.0,)]
+
+
+def test_a_product_of_netcdf_files(spark, tmp_path):
+    for first in (0, 366):
+        ocean(f"{tmp_path}/salt_{first}.nc", first)
+    shelf = Catalog({"files": Product(f"{tmp_path}/salt_*.nc", DIMS, fmt="netcdf")})
+    got = open_dataset(spark, shelf, dataset_id="files", variables=["so"], minimum_longitude=-65, maximum_longitude=-50,
+                       minimum_depth=0.5, maximum_depth=0.5, start_datetime="2000-01-03", end_datetime="2001-01-01")
+    assert got.dims == DIMS and got.isel(depth=0).frame.count() == 2 * 3 * 2
+    path = subset(spark, shelf, str(tmp_path), "kept", years=[2001], dataset_id="files", variables=["so"])
+    assert open_cube(spark, path, DIMS).frame.count() == 72

@@ -1,6 +1,8 @@
 import pytest
 from grids import cube, day, found, patch
 
+from pelagrid import from_frame
+
 
 def test_slice_is_half_open_and_position_counts_from_the_last_selection(spark):
     inner = patch(spark).isel(latitude=slice(1, 3), longitude=slice(1, 3))
@@ -149,3 +151,21 @@ def test_chained_selections_scan_the_axis_once(spark):
     grid.isel(latitude=slice(1, 3))
     assert grid.axes["latitude"].source.distinct().storageLevel.useMemory
     assert grid.isel(latitude=slice(1, 3)).axes["latitude"].source is grid.axes["latitude"].source
+
+
+def test_positions_follow_a_descending_axis(spark):
+    cells = [(float(lat), 10.0 * lat) for lat in range(4)]
+    frame = spark.createDataFrame(cells, "lat double, so double")
+    north = from_frame(frame, ("latitude",), rename={"lat": "latitude"}, descending=["latitude"])
+    assert found(north.isel(latitude=0).frame) == [(30.0,)]
+    assert found(north.isel(latitude=-1).frame) == [(0.0,)]
+    assert found(north.isel(latitude=slice(1, 3)).isel(latitude=0).frame) == [(20.0,)]
+    assert [r.latitude for r in north.rename({"latitude": "y"}).rename({"y": "latitude"}).table().collect()] == [3, 2, 1, 0]
+    axis = north.axes["latitude"]
+    assert found(axis.positions(one_task_length=1)) == found(axis.positions()) == [(0.0, 3), (1.0, 2), (2.0, 1), (3.0, 0)]
+
+
+def test_positions_far_along_an_axis(spark, monkeypatch):
+    monkeypatch.setattr("pelagrid.axis.ONE_TASK_LENGTH", 1)
+    assert found(patch(spark).isel(latitude=2, longitude=slice(1, 3)).frame, "so") == [(21.0,), (22.0,)]
+    assert found(patch(spark).isel(latitude=2, longitude=slice(3, None)).frame, "so") == [(23.0,)]

@@ -131,3 +131,13 @@ def test_variables_line_up_by_name(spark, tmp_path):
 def test_duplicate_cells_are_counted(spark):
     twice = combine([days(spark, "2000-01-01"), days(spark, "2000-01-01", "2000-01-02")])
     assert found(duplicate_cells(twice), "copies") == [(2,)] * 4
+
+
+def test_a_kept_axis_remembers_its_direction(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    down = type(days(spark, "2000-01-01")).of(days(spark, "2000-01-01").frame, DIMS, descending=["latitude"])
+    write_cube(down, path)
+    back = open_cube(spark, path, DIMS)
+    assert back.axes["latitude"].descending and not back.axes["longitude"].descending
+    assert [r.latitude for r in back.axis("latitude").collect()] == [20.0, 10.0]
+    assert found(back.isel(latitude=0, longitude=0).frame.select("so")) == [(1.0,)]
