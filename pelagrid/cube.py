@@ -24,7 +24,7 @@ if TYPE_CHECKING:
 TIME = "time"
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, repr=False)
 class Cube:
     """Named variables over shared dimensions.
 
@@ -66,6 +66,14 @@ class Cube:
         given = dict(axes or {})
         return cls(kept, dims, tuple(names), {d: given.get(d) or Axis.of(frame.select(d), d in descending) for d in dims}, year)
 
+    def __str__(self) -> str:
+        """Dimensions and variables with their types; `info` adds axis lengths."""
+        dims = ", ".join(f"{d}: {self.dtype(d).simpleString()}" for d in self.dims)
+        data = ", ".join(f"{v}: {self.dtype(v).simpleString()}" for v in self.data_vars)
+        return f"Cube({dims}) of {data or 'nothing'}"
+
+    __repr__ = __str__
+
     # -- shape ---------------------------------------------------------------
 
     def dtype(self, name: str) -> T.DataType:

@@ -18,7 +18,7 @@ if TYPE_CHECKING:
 
 # Up to this many values one task may hold them all; beyond, brackets are narrowed.
 ONE_TASK_VALUES = 1_000_000
-# percentile_approx is wrong by at most 1/ACCURACY of the rows it has seen.
+# percentile_approx promises ranks within 1/ACCURACY of the rows it has seen.
 ACCURACY = 20_000
 
 
@@ -68,7 +68,8 @@ def robust_limits(
 class Bracket:
     """A closed value interval known to hold the ranks a percentile falls between.
 
-    below and inside count the rows under and in the interval.
+    below and inside count the rows under and in the interval; slack is how far
+    beside the ranks, relative to the rows inside, the next interval may end.
     """
 
     rank: int
@@ -78,11 +79,12 @@ class Bracket:
     inside: int
     low: float = -math.inf
     high: float = math.inf
+    slack: float = 0.0
 
     @classmethod
     def around(cls, q: float, n: int) -> Bracket:
         at = q * (n - 1)
-        return cls(math.floor(at), at - math.floor(at), n, 0, n)
+        return cls(math.floor(at), at - math.floor(at), n, 0, n, slack=2.0 / ACCURACY)
 
     @property
     def next_rank(self) -> int:
@@ -93,9 +95,8 @@ class Bracket:
 
     def probes(self) -> tuple[float, float]:
         """Relative ranks a safe distance outside the wanted ones."""
-        margin = 2.0 / ACCURACY
-        first = (self.rank - self.below) / self.inside - margin
-        last = (self.next_rank - self.below + 1) / self.inside + margin
+        first = (self.rank - self.below) / self.inside - self.slack
+        last = (self.next_rank - self.below + 1) / self.inside + self.slack
         return max(first, 0.0), min(last, 1.0)
 
     def ranked(self, values: DataFrame) -> DataFrame:
@@ -131,10 +132,12 @@ def _narrow(values: DataFrame, brackets: list[Bracket], enough: int) -> list[Bra
         done = set()
         for i, b in tried.items():
             b = replace(b, below=counted[f"below{i}"], inside=counted[f"inside{i}"])
-            held = b.below <= b.rank and b.next_rank < b.below + b.inside
-            if not held or b.inside > brackets[i].inside / 2:
-                done.add(i)
-            if held:
+            if b.below <= b.rank and b.next_rank < b.below + b.inside:
+                if b.inside > brackets[i].inside / 2:
+                    done.add(i)
                 brackets[i] = b
+            else:
+                # The estimate was worse than promised: try a wider interval.
+                brackets[i] = replace(brackets[i], slack=4 * brackets[i].slack)
         open_ -= done
     return brackets

@@ -71,24 +71,26 @@ def isoline(
         line = Window.partitionBy(*by, across).orderBy(f"{along}_at")
         return [F.lead(c).over(line).alias(f"{c}_next_{along}") for c in (f"{along}_at", along, "v")]
 
-    cells = cells.select("*", *ahead("kx", "ky"))
-    cells = cells.select("*", *ahead("ky", "kx"))
-
-    def crossing(along: str, name: str, lat, lon):
-        nxt = F.col(f"v_next_{along}")
+    def crossed(along: str):
         adjacent = F.col(f"{along}_at_next_{along}") == F.col(f"{along}_at") + 1
-        crossed = adjacent & ((F.col("v") < level) != (nxt < level))
-        return F.when(crossed, F.struct(F.lit(name).alias("edge"), lat.alias(y), lon.alias(x)))
+        return F.coalesce(adjacent & ((F.col("v") < level) != (F.col(f"v_next_{along}") < level)), F.lit(False))
 
     def between(along: str):
         here, there = F.col(along).cast("double"), F.col(f"{along}_next_{along}").cast("double")
         part = (F.lit(float(level)) - F.col("v")) / (F.col(f"v_next_{along}") - F.col("v"))
         return here + part * (there - here)
 
+    def point(name: str, lat, lon):
+        return F.struct(F.lit(name).alias("edge"), lat.alias(y), lon.alias(x))
+
+    # Few cells are crossed: the rest is gone before anything is built per edge.
+    cells = cells.select("*", *ahead("kx", "ky")).withColumn("cross_x", crossed("kx"))
+    cells = cells.select("*", *ahead("ky", "kx")).withColumn("cross_y", crossed("ky"))
     lat, lon = F.col("ky").cast("double"), F.col("kx").cast("double")
-    points = F.array_compact(F.array(
-        crossing("kx", x, lat, between("kx")), crossing("ky", y, between("ky"), lon)))
-    return cells.select(*by, F.inline(points))
+    points = F.array(
+        F.when(F.col("cross_x"), point(x, lat, between("kx"))),
+        F.when(F.col("cross_y"), point(y, between("ky"), lon)))
+    return cells.where("cross_x or cross_y").select(*by, F.inline(F.array_compact(points)))
 
 
 def labelled(points: DataFrame, level: float) -> DataFrame:

@@ -11,7 +11,7 @@ import json
 import logging
 import os
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -166,7 +166,12 @@ def subset(
         if not force_download and _is_stored(spark, path):
             log.info("%s is already there", path)
             return path
-        cube = open_dataset(spark, catalog, **{f.name: getattr(wanted, f.name) for f in fields(wanted)})
+        if years is not None:
+            years = sorted(set(years))
+            if years and not (wanted.start_datetime or wanted.end_datetime):
+                ends = year_bounds(years[0])[0], year_bounds(years[-1])[1]
+                wanted = replace(wanted, start_datetime=ends[0], end_datetime=ends[1])
+        cube = wanted.apply(_open(spark, catalog, wanted))
         if years is not None:
             cube = take_years(cube, years)
         store.write_cube(cube, path)

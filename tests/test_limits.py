@@ -1,9 +1,12 @@
 """Percentiles against numpy, on both ways of finding them."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
 from pelagrid import from_frame, robust_limits
+from pelagrid.operators.limits import Bracket
 
 
 def limits(spark, values, **how):
@@ -48,3 +51,14 @@ def test_nothing_but_holes_has_no_limits(spark):
 def test_limits_must_be_in_order(spark):
     with pytest.raises(ValueError):
         limits(spark, SAMPLES["ramp"], low=0.9, high=0.1)
+
+
+@pytest.mark.parametrize("accuracy, slack", [(20, 2.0), (20, 1e-4)])
+@pytest.mark.parametrize("name", ["normal", "hot value"])
+def test_exact_however_rough_the_estimate(spark, monkeypatch, name, accuracy, slack):
+    """A rough estimate, and one that is also trusted too far, so that brackets miss."""
+    monkeypatch.setattr("pelagrid.operators.limits.ACCURACY", accuracy)
+    around = Bracket.around
+    monkeypatch.setattr(Bracket, "around", lambda q, n: replace(around(q, n), slack=slack / accuracy))
+    expected = np.percentile(SAMPLES[name], [2, 98])
+    assert limits(spark, SAMPLES[name], one_task_values=40) == pytest.approx(tuple(expected), rel=1e-12)

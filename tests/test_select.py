@@ -133,6 +133,11 @@ def test_info_lists_axes_and_variables(spark):
         ("dim", "latitude", "double", 4), ("dim", "longitude", "double", 4), ("var", "so", "double", None)]
 
 
+def test_a_cube_prints_its_shape(spark):
+    assert str(patch(spark)) == "Cube(latitude: double, longitude: double) of so: double"
+    assert repr(patch(spark).drop_dims("latitude")) == "Cube(longitude: double) of nothing"
+
+
 def test_values_come_in_axis_order_and_too_many_raise(spark):
     row = patch(spark).isel(latitude=1)
     assert row.values().column("so").to_pylist() == [10.0, 11.0, 12.0, 13.0]
