@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 ONE_TASK_LENGTH = 1_000_000
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Axis:
     """Where the values of a dimension come from, and what was selected of them.
 

@@ -24,7 +24,7 @@ if TYPE_CHECKING:
 TIME = "time"
 
 
-@dataclass(frozen=True, repr=False)
+@dataclass(frozen=True, repr=False, eq=False)
 class Cube:
     """Named variables over shared dimensions.
 
@@ -64,7 +64,8 @@ class Cube:
             raise KeyError(f"no column {missing} among {frame.columns}")
         kept = frame.select(*dims, *names, *([year] if year else []))
         given = dict(axes or {})
-        return cls(kept, dims, tuple(names), {d: given.get(d) or Axis.of(frame.select(d), d in descending) for d in dims}, year)
+        known = {d: given.get(d) or Axis.of(frame.select(d), d in descending) for d in dims}
+        return cls(kept, dims, tuple(names), known, year)
 
     def __str__(self) -> str:
         """Dimensions and variables with their types; `info` adds axis lengths."""

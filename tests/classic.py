@@ -49,7 +49,8 @@ def write(path, dims, variables, records=None, version=1):
         entries = []
         for v, (vdims, attrs, array) in {**fixed, **streamed}.items():
             vsize = size(array) if v in streamed else len(pad(array.tobytes()))
-            entries.append(name(v) + struct.pack(count, len(vdims)) + b"".join(struct.pack(count, order.index(d)) for d in vdims)
+            where = b"".join(struct.pack(count, order.index(d)) for d in vdims)
+            entries.append(name(v) + struct.pack(count, len(vdims)) + where
                            + listed(12, [attribute(k, a) for k, a in attrs.items()])
                            + struct.pack(">i", CODES[array.dtype.str[1:]]) + struct.pack(count, vsize)
                            + struct.pack(offset, begins.get(v, 0)))

@@ -137,7 +137,8 @@ def test_other_formats_say_what_they_need(tmp_path):
 
 @pytest.mark.parametrize("units, value, expected", [
     ("days since 1950-1-1", 1, "1950-01-02"), ("seconds since 1970-01-01 00:00:00", 90, "1970-01-01T00:01:30"),
-    ("minutes since 2000-01-01T12:00:00Z", 0.5, "2000-01-01T12:00:30"), ("hours since 1981-01-01 00:00:00 UTC", 12, "1981-01-01T12:00")])
+    ("minutes since 2000-01-01T12:00:00Z", 0.5, "2000-01-01T12:00:30"),
+    ("hours since 1981-01-01 00:00:00 UTC", 12, "1981-01-01T12:00")])
 def test_time_units(units, value, expected):
     assert instants(np.array([value]), {"units": units})[0] == np.datetime64(expected)
 
@@ -162,7 +163,8 @@ def test_boxes_fill_the_whole_once(most):
 
 def test_latitudes_stored_from_north_to_south(spark, tmp_path):
     write(f"{tmp_path}/d.nc", {"latitude": 3}, {
-        "latitude": (("latitude",), {}, np.array([30, 20, 10], "f4")), "so": (("latitude", ), {}, np.array([3, 2, 1], "f4"))})
+        "latitude": (("latitude",), {}, np.array([30, 20, 10], "f4")),
+        "so": (("latitude",), {}, np.array([3, 2, 1], "f4"))})
     cube = open_netcdf(spark, f"{tmp_path}/d.nc", ["so"])
     assert found(cube.isel(latitude=0).frame) == [(3.0,)]
     assert cube.values().column("so").to_pylist() == [3.0, 2.0, 1.0]

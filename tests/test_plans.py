@@ -16,7 +16,8 @@ def field(spark, folder, tmp_path_factory):
 
 def test_box_and_variable_reach_the_scan(field):
     (scan,) = scans(field.pick("so").sel_range(latitude=(10, 20), longitude=(0.02, 0.04)).frame)
-    for part in ("GreaterThanOrEqual(latitude,10.0)", "LessThanOrEqual(latitude,20.0)", "GreaterThanOrEqual(longitude,0.02)"):
+    for part in ("GreaterThanOrEqual(latitude,10.0)", "LessThanOrEqual(latitude,20.0)",
+                 "GreaterThanOrEqual(longitude,0.02)"):
         assert part in scan["PushedFilters"]
     assert "tx" not in scan["ReadSchema"] and "so" in scan["ReadSchema"]
 
