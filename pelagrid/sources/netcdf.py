@@ -344,7 +344,7 @@ class NetCDFSource(DataSource):
             if unknown := [n for n in names if n not in found]:
                 raise KeyError(f"no variable {unknown}; there are {sorted(found)}")
         else:
-            data = {n: v for n, v in found.items() if v.dims and v.dims != (n,) and v.dtype.kind != "S"}
+            data = {n: v for n, v in found.items() if v.dims and v.dims != (n,) and v.dtype.kind in "iuf"}
             most = max((v.dims for v in data.values()), key=len, default=None)
             names = tuple(n for n, v in data.items() if v.dims == most)
         if not names or any(found[n].dims != found[names[0]].dims for n in names):

@@ -185,15 +185,26 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
         if years["first"] is None:
             return
         stored = stored.where(F.col(YEAR).between(years["first"], years["last"]))
+    _keep_axes(stored, path, cube.dims, timed, [d for d in cube.dims if cube.axes[d].descending])
+
+
+def keep_axes(spark: SparkSession, path: str, dims: Sequence[str], descending: Sequence[str] = ()) -> None:
+    """Write the axes of a Parquet cube anew from its cells: for one stored by
+    other means, or after a store that broke off between cells and axes."""
+    stored = spark.read.parquet(path)
+    _keep_axes(stored, path, dims, TIME in dims and YEAR in stored.columns, descending)
+
+
+def _keep_axes(stored: DataFrame, path: str, dims: Sequence[str], timed: bool, descending: Sequence[str]) -> None:
+    """One job per axis, all at once; each reads a single column."""
 
     def keep(dim: str) -> None:
-        column = noted(dim, cube.axes[dim].descending)
-        axis = stored.select(column, *([YEAR] if timed else [])).distinct()
+        axis = stored.select(noted(dim, dim in descending), *([YEAR] if timed else [])).distinct()
         one_file = axis.repartition(YEAR) if timed else axis.repartition(1)
         _write(one_file, f"{path.rstrip('/')}/_axes/{dim}", timed, False)
 
     with ThreadPoolExecutor() as pool:
-        list(pool.map(keep, cube.dims))
+        list(pool.map(keep, dims))
 
 
 def _write(frame: DataFrame, path: str, by_year: bool, replace_all: bool) -> None:

@@ -1,4 +1,6 @@
+import sys
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -135,6 +137,22 @@ def test_other_formats_say_what_they_need(tmp_path):
         open_file(f"{tmp_path}/four.nc")
 
 
+def test_a_netcdf4_variable_is_taken_as_it_is(tmp_path, monkeypatch):
+    """The package's own interface, stood in for: it is not installed here."""
+
+    class Stored(np.ndarray):
+        dimensions = ("depth",)
+        ncattrs = staticmethod(lambda: ["_FillValue", "scale_factor"])
+        getncattr = staticmethod({"_FillValue": np.int16(-9), "scale_factor": 0.1}.__getitem__)
+
+    values = np.array([10, -9, 30], "i2").view(Stored)
+    dataset = SimpleNamespace(variables={"w": values}, set_auto_maskandscale=lambda on: None)
+    monkeypatch.setitem(sys.modules, "netCDF4", SimpleNamespace(Dataset=lambda path: dataset))
+    (tmp_path / "four.nc").write_bytes(b"\x89HDF\r\n\x1a\n")
+    w = open_file(f"{tmp_path}/four.nc")["w"]
+    assert w.dims == ("depth",) and w.decoded((slice(0, 3),)).tolist() == [pytest.approx(1), None, pytest.approx(3)]
+
+
 @pytest.mark.parametrize("units, value, expected", [
     ("days since 1950-1-1", 1, "1950-01-02"), ("seconds since 1970-01-01 00:00:00", 90, "1970-01-01T00:01:30"),
     ("minutes since 2000-01-01T12:00:00Z", 0.5, "2000-01-01T12:00:30"),

@@ -1,7 +1,7 @@
 import pytest
 from grids import cube, day, found
 
-from pelagrid import combine, duplicate_cells, open_cube, open_many, write_cube
+from pelagrid import combine, duplicate_cells, keep_axes, open_cube, open_many, write_cube
 from pelagrid.plans.inspect import scans
 
 DIMS = ("time", "latitude", "longitude")
@@ -141,3 +141,14 @@ def test_a_kept_axis_remembers_its_direction(spark, tmp_path):
     assert back.axes["latitude"].descending and not back.axes["longitude"].descending
     assert [r.latitude for r in back.axis("latitude").collect()] == [20.0, 10.0]
     assert found(back.isel(latitude=0, longitude=0).frame.select("so")) == [(1.0,)]
+
+
+def test_axes_can_be_kept_for_files_from_elsewhere(spark, tmp_path):
+    path = f"{tmp_path}/found"
+    days(spark, "2000-01-01", "2001-01-01").frame.write.parquet(path)
+    keep_axes(spark, path, DIMS, descending=["longitude"])
+    back = open_cube(spark, path, DIMS)
+    assert "/_axes/time" in back.axes["time"].source.inputFiles()[0]
+    assert found(back.isel(time=1, latitude=0).frame.where("longitude = -4")) == [(-4.0, 1.0)]
+    assert back.axis("longitude").first().longitude == -4.0
+    assert back.frame.count() == 8
