@@ -1,8 +1,9 @@
 """Cubes in files: open one, open many as one, and keep one by year.
 
 A kept cube is Parquet in long form, one row per cell, one partition directory
-per calendar year, sorted inside each file by place and then time so that the
-row-group statistics prune boxes. Its axes are kept beside it, under `_axes`,
+per calendar year, sorted inside each file by depth, latitude, longitude and then
+time, so that the statistics of row groups and pages prune levels and boxes, and
+the days of one cell lie together for the means. Its axes are kept beside it, under `_axes`,
 also by year: replacing a year replaces that year's part of every axis, and
 opening the cube later reads axes of some thousand values instead of scanning
 the cells for them.
@@ -164,7 +165,7 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     and adaptive coalescing decide.
     """
     spark = cube.frame.sparkSession
-    place = [d for d in ("latitude", "longitude", "depth") if d in cube.dims]
+    place = [d for d in ("depth", "latitude", "longitude") if d in cube.dims]
     others = [d for d in cube.dims if d not in (*place, TIME)]
     frame = cube.frame.select(*cube.dims, *cube.data_vars)
     timed = TIME in cube.dims

@@ -1,9 +1,12 @@
 import math
+import warnings
 
+import numpy as np
 import pytest
 from grids import cube, day, found
 
 from pelagrid import season_mean, seasonality
+from pelagrid.plans import tables
 
 DAILY = "time timestamp_ntz, latitude double, so double"
 
@@ -67,3 +70,24 @@ def test_extents_name_both_ends(spark):
     grid = cube(spark, "latitude double, so double", [(0.0, 1.0), (1.0, 3.0), (2.0, None)], ("latitude",))
     assert grid.extents().first().asDict() == {
         "latitude_min": 0.0, "latitude_max": 2.0, "so_min": 1.0, "so_max": 3.0}
+
+
+def test_means_against_numpy_on_whole_tables(spark, folder):
+    """A second, independent computation: arrays over the whole grid."""
+    field = tables.field(spark, folder)
+    raw = field.frame.toPandas()
+    month = raw["time"].dt.month.to_numpy()
+    axes = [np.unique(month), *[np.unique(raw[d]) for d in ("depth", "latitude", "longitude")]]
+    where = tuple(np.searchsorted(a, v) for a, v in zip(axes, (month, raw["depth"], raw["latitude"], raw["longitude"])))
+    total, count = (np.zeros([len(a) for a in axes]) for _ in range(2))
+    np.add.at(total, where, raw["so"].to_numpy())
+    np.add.at(count, where, 1)
+    with np.errstate(invalid="ignore"):
+        clim = total / count
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        zonal = np.nanmean(clim, axis=3)
+    got = seasonality(field.pick("so")).mean("longitude").frame.toPandas()
+    at = tuple(np.searchsorted(a, got[d]) for a, d in zip(axes, ("month", "depth", "latitude")))
+    assert len(got) == np.isfinite(zonal).sum()
+    np.testing.assert_allclose(got["so"], zonal[at], rtol=1e-12)

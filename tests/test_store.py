@@ -1,5 +1,6 @@
 import pytest
 from grids import cube, day, found
+from pyspark.sql import functions as F
 
 from pelagrid import combine, duplicate_cells, keep_axes, open_cube, open_many, write_cube
 from pelagrid.plans.inspect import scans
@@ -152,3 +153,14 @@ def test_axes_can_be_kept_for_files_from_elsewhere(spark, tmp_path):
     assert found(back.isel(time=1, latitude=0).frame.where("longitude = -4")) == [(-4.0, 1.0)]
     assert back.axis("longitude").first().longitude == -4.0
     assert back.frame.count() == 8
+
+
+def test_one_level_lies_in_few_files(spark, tmp_path):
+    path = f"{tmp_path}/levels"
+    cells = [(day("2000-01-01"), float(z), float(la), float(lo), 1.0)
+             for z in range(4) for la in range(20) for lo in range(20)]
+    schema = "time timestamp_ntz, depth float, latitude float, longitude float, so float"
+    write_cube(cube(spark, schema, cells, ("time", "depth", "latitude", "longitude")), path, files=8)
+    files = spark.read.parquet(path).groupBy("_metadata.file_path").agg(
+        F.countDistinct("depth").alias("levels"), (F.max("latitude") - F.min("latitude")).alias("span"))
+    assert files.count() >= 6 and files.where("levels > 2").count() == 0
