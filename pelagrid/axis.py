@@ -84,13 +84,12 @@ class Axis:
         ranked = values.orderBy(self.order).rdd.zipWithIndex().map(lambda found: (found[0][0], found[1]))
         return values.sparkSession.createDataFrame(ranked, schema)
 
-    def between(self, start: int, stop: int | None) -> DataFrame:
+    def between(self, start: int, stop: int) -> DataFrame:
         """The values at positions start <= p < stop."""
-        if max(start, stop or 0) > ONE_TASK_LENGTH:
-            found = self.positions().where(F.col("position") >= start)
-            return (found if stop is None else found.where(F.col("position") < stop)).select(self.name)
-        found = self.values.orderBy(self.order).offset(start)
-        return found if stop is None else found.limit(max(stop - start, 0))
+        if stop > ONE_TASK_LENGTH:
+            at = F.col("position")
+            return self.positions().where((at >= start) & (at < stop)).select(self.name)
+        return self.values.orderBy(self.order).offset(start).limit(max(stop - start, 0))
 
     def _known(self) -> DataFrame:
         values = self.source.distinct()

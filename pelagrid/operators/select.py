@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.values import typed_literal
 
 if TYPE_CHECKING:
+    from ..axis import Axis
     from ..cube import Cube
 
 
@@ -76,50 +77,50 @@ def one_row_each(frames: Mapping[str, DataFrame]) -> dict[str, Any]:
     return {r["axis_name"]: r[f"of_{r['axis_name']}"] for r in rows}
 
 
-def _span(cube: Cube, dim: str, where: int | slice, size: int | None) -> DataFrame:
-    """First and last coordinate of the wanted positions, as a one-row frame."""
-    if isinstance(where, slice):
-        if where.step not in (None, 1):
-            raise ValueError("a slice of positions takes no step")
-        start, stop = where.start or 0, where.stop
-        start = max(start + size, 0) if start < 0 else start
-        stop = max(stop + size, 0) if stop is not None and stop < 0 else stop
-    else:
-        start = where + size if where < 0 else where
-        stop = start + 1
-        if start < 0:
-            raise IndexError(f"position {where} is outside axis {dim} of length {size}")
-    return cube.axes[dim].between(start, stop).agg(F.min(dim).alias("first"), F.max(dim).alias("last"))
+def _bounds(where: int | slice, axis: Axis) -> tuple[int, int | None]:
+    """Positions start <= p < stop of an index counted from either end; None is
+    the end of the axis. Its length is only looked up for a negative number."""
+
+    def at(position: int) -> int:
+        return position if position >= 0 else position + axis.length
+
+    if not isinstance(where, slice):
+        if at(where) < 0:
+            raise IndexError(f"position {where} is outside axis {axis.name}")
+        return at(where), at(where) + 1
+    if where.step not in (None, 1):
+        raise ValueError("a slice of positions takes no step")
+    stop = None if where.stop is None else max(at(where.stop), 0)
+    return max(at(where.start or 0), 0), stop
 
 
-def _counts_from_end(where: int | slice) -> bool:
-    ends = (where.start, where.stop) if isinstance(where, slice) else (where,)
-    return any(e is not None and e < 0 for e in ends)
+def _span(axis: Axis, start: int, stop: int | None) -> DataFrame:
+    """Least and greatest coordinate of the wanted positions, as a one-row frame.
+    With an open end only the value at `start` is looked up."""
+    wanted = axis.between(start, start + 1 if stop is None else stop)
+    low, high = F.min(axis.name), F.max(axis.name)
+    nothing = F.lit(None).cast(axis.source.schema[axis.name].dataType)
+    if stop is None:
+        low, high = (nothing, high) if axis.descending else (low, nothing)
+    return wanted.agg(F.count(axis.name).alias("n"), low.alias("low"), high.alias("high"))
 
 
 def isel(cube: Cube, where: Mapping[str, int | slice]) -> Cube:
     require_dims(cube, *where)
     if not where:
         return cube
-    from_end = [d for d, w in where.items() if _counts_from_end(w)]
-    sizes = {}
-    if from_end:
-        counted = one_row_each({d: cube.axes[d].size() for d in from_end})
-        sizes = {d: r["n"] for d, r in counted.items()}
-    spans = one_row_each({d: _span(cube, d, w, sizes.get(d)) for d, w in where.items()})
-    points = []
-    for dim, wanted in where.items():
-        first, last = spans[dim]["first"], spans[dim]["last"]
-        if not isinstance(wanted, slice):
-            if first is None:
-                raise IndexError(f"position {wanted} is outside axis {dim}")
-            points.append(dim)
-        if first is None:
+    bounds = {d: _bounds(w, cube.axes[d]) for d, w in where.items()}
+    spans = one_row_each({d: _span(cube.axes[d], *b) for d, b in bounds.items()})
+    points = [d for d, w in where.items() if not isinstance(w, slice)]
+    for dim, found in spans.items():
+        if found["n"]:
+            cube = restrict(cube, dim, found["low"], found["high"])
+        elif dim in points:
+            raise IndexError(f"position {where[dim]} is outside axis {dim}")
+        else:
             nothing = F.lit(False)
             axes = {**cube.axes, dim: cube.axes[dim].where(nothing)}
             cube = replace(cube, frame=cube.frame.where(nothing), axes=axes)
-        else:
-            cube = restrict(cube, dim, first, last)
     return without(cube, points)
 
 

@@ -19,6 +19,9 @@ def test_int_and_slice_together(spark):
 
 
 def test_positions_from_the_end(spark):
+    assert found(patch(spark).isel(latitude=0, longitude=slice(None, -3)).frame, "so") == [(0.0,)]
+    assert found(patch(spark).isel(latitude=0, longitude=slice(-9, 1)).frame, "so") == [(0.0,)]
+    assert patch(spark).isel(longitude=slice(None)).frame.count() == 16
     assert found(patch(spark).isel(latitude=-1, longitude=-4).frame) == [(30.0,)]
     assert found(patch(spark).isel(latitude=-1, longitude=slice(-2, None)).frame, "so") == [(32.0,), (33.0,)]
 
@@ -165,6 +168,8 @@ def test_positions_follow_a_descending_axis(spark):
     assert found(north.isel(latitude=0).frame) == [(30.0,)]
     assert found(north.isel(latitude=-1).frame) == [(0.0,)]
     assert found(north.isel(latitude=slice(1, 3)).isel(latitude=0).frame) == [(20.0,)]
+    assert found(north.isel(latitude=slice(2, None)).frame, "so") == [(0.0,), (10.0,)]
+    assert found(north.isel(latitude=slice(-1, None)).frame, "so") == [(0.0,)]
     assert [r.latitude for r in north.rename({"latitude": "y"}).rename({"y": "latitude"}).table().collect()] == [3, 2, 1, 0]
     axis = north.axes["latitude"]
     assert found(axis.positions(one_task_length=1)) == found(axis.positions()) == [(0.0, 3), (1.0, 2), (2.0, 1), (3.0, 0)]
