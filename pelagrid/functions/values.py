@@ -58,13 +58,22 @@ def round_levels(low: float, high: float, bands: int = 6) -> list[float]:
     return [i * step for i in range(first, last + 1)]
 
 
+def carried(value: Column, dtype: T.DataType) -> Column:
+    """A coordinate value as it travels through the driver. An instant with a time
+    zone goes as a number: as a datetime it would take on the driver's zone."""
+    return F.unix_micros(value) if isinstance(dtype, T.TimestampType) else value
+
+
 def typed_literal(value: Any, dtype: T.DataType) -> Column:
     """Coordinate value as a literal that compares with a column of `dtype`
     without casting the column, so the comparison reaches the file scan.
 
     A number meant for a FLOAT axis is narrowed to FLOAT; one meant for an
-    integer axis keeps its fraction, or 0.5 would pass for 0.
+    integer axis keeps its fraction, or 0.5 would pass for 0. An instant that
+    came through `carried` is a count of microseconds.
     """
+    if isinstance(dtype, T.TimestampType) and isinstance(value, int):
+        return F.timestamp_micros(F.lit(value))
     if isinstance(value, (datetime, date)):
         value = value.isoformat()
     if isinstance(dtype, (*FRACTIONAL, *TEMPORAL)):

@@ -15,7 +15,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import typed_literal
+from ..functions.values import carried, typed_literal
 
 if TYPE_CHECKING:
     from ..axis import Axis
@@ -98,8 +98,9 @@ def _span(axis: Axis, start: int, stop: int | None) -> DataFrame:
     """Least and greatest coordinate of the wanted positions, as a one-row frame.
     With an open end only the value at `start` is looked up."""
     wanted = axis.between(start, start + 1 if stop is None else stop)
-    low, high = F.min(axis.name), F.max(axis.name)
-    nothing = F.lit(None).cast(axis.source.schema[axis.name].dataType)
+    dtype = axis.source.schema[axis.name].dataType
+    low, high = carried(F.min(axis.name), dtype), carried(F.max(axis.name), dtype)
+    nothing = F.lit(None).cast(dtype)
     if stop is None:
         low, high = (nothing, high) if axis.descending else (low, nothing)
     return wanted.agg(F.count(axis.name).alias("n"), low.alias("low"), high.alias("high"))
@@ -143,7 +144,8 @@ def nearest(cube: Cube, where: Mapping[str, float]) -> dict[str, Any]:
     for dim, wanted in where.items():
         at = F.col(dim).cast("double")
         rank = F.struct(F.abs(at - F.lit(float(wanted))), -at)
-        asked[dim] = cube.axes[dim].values.agg(F.min_by(dim, rank).alias("value"))
+        value = carried(F.min_by(dim, rank), cube.dtype(dim))
+        asked[dim] = cube.axes[dim].values.agg(value.alias("value"))
     values = {d: row["value"] for d, row in one_row_each(asked).items()}
     if empty := [d for d, v in values.items() if v is None]:
         raise KeyError(f"nothing on the axis of {empty}")

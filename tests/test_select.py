@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from grids import cube, day, found, patch
 
@@ -179,3 +181,26 @@ def test_positions_far_along_an_axis(spark, monkeypatch):
     monkeypatch.setattr("pelagrid.axis.ONE_TASK_LENGTH", 1)
     assert found(patch(spark).isel(latitude=2, longitude=slice(1, 3)).frame, "so") == [(21.0,), (22.0,)]
     assert found(patch(spark).isel(latitude=2, longitude=slice(3, None)).frame, "so") == [(23.0,)]
+
+
+@pytest.fixture
+def elsewhere(monkeypatch):
+    """A driver in another time zone than the session."""
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    yield
+    monkeypatch.undo()
+    time.tzset()
+
+
+def test_instants_with_a_zone_do_not_take_the_drivers_zone(spark, elsewhere):
+    frame = spark.sql("""select timestamp'2001-01-01 00:00:00' + make_dt_interval(0, 6 * id) as time, double(id) as so
+                         from range(4)""")
+    track = from_frame(frame, ("time",))
+    assert frame.schema["time"].dataType.simpleString() == "timestamp"
+    assert found(track.isel(time=1).frame) == [(1.0,)]
+    assert found(track.isel(time=slice(1, 3)).frame, "so") == [(1.0,), (2.0,)]
+    assert found(track.isel(time=slice(3, None)).frame, "so") == [(3.0,)]
+    assert found(track.sel_time("2001-01-01T06:00", "2001-01-01T12:00").frame, "so") == [(1.0,), (2.0,)]
+    seconds = spark.sql("select double(timestamp'2001-01-01 11:00:00') as s").first().s
+    assert found(track.sel_nearest(time=seconds).frame, "so") == [(2.0,)]
