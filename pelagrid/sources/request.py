@@ -156,8 +156,9 @@ def subset(
     """Store the requested part of a data set and return where it lies.
 
     `years` stands for one request per calendar year: they become one job over
-    all years, stored by year. Without `force_download` an existing subset is
-    left as it is. A failure is logged and raised again.
+    all years, stored by year, and replace those years of an existing subset.
+    Otherwise the whole subset is replaced. Without `force_download` an existing
+    one is left as it is. A failure is logged and raised again.
     """
     wanted = Request(**request)
     path = f"{output_directory.rstrip('/')}/{output_filename or wanted.default_name()}"
@@ -174,7 +175,7 @@ def subset(
         cube = wanted.apply(_open(spark, catalog, wanted))
         if years is not None:
             cube = take_years(cube, years)
-        store.write_cube(cube, path)
+        store.write_cube(cube, path, replace_all=years is None)
     except Exception as failure:
         log.error("storing %s failed: %s", wanted.dataset_id, failure)
         raise

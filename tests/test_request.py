@@ -61,7 +61,16 @@ def test_existing_subset_stays_without_force(spark, shelf, tmp_path):
     subset(spark, shelf, str(tmp_path), force_download=False, **first, end_datetime="2000-01-01")
     assert open_cube(spark, path, DIMS).axis("time").count() == 1
     subset(spark, shelf, str(tmp_path), force_download=True, **first, end_datetime="2000-01-01")
-    assert open_cube(spark, path, DIMS).axis("time").count() == 2
+    assert [str(r.time) for r in open_cube(spark, path, DIMS).axis("time").collect()] == ["2000-01-01 00:00:00"]
+
+
+def test_years_stored_again_leave_the_others(spark, shelf, tmp_path):
+    part = dict(output_filename="years", dataset_id="ocean", variables=["so"])
+    path = subset(spark, shelf, str(tmp_path), years=[2001, 2002], **part)
+    subset(spark, shelf, str(tmp_path), years=[2000], **part)
+    subset(spark, shelf, str(tmp_path), years=[2001], minimum_latitude=0, **part)
+    cells = open_cube(spark, path, DIMS).frame.groupBy("year").count()
+    assert found(cells) == [(2000, 24), (2001, 8), (2002, 12)]
 
 
 def test_failure_is_logged_and_raised_again(spark, shelf, tmp_path, caplog):
