@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +28,23 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder for this process, of a local session only."""
+    return tempfile.mkdtemp(prefix="pelagrid-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names in spark.checkpoint.dir.
 
     Only a local session may go without that setting: its executors share the
-    driver's disk, and it gets a temporary folder.
+    driver's disk, and it gets a temporary folder. No setting is changed.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="pelagrid-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
