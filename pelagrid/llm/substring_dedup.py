@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Docs, hex_sha256
@@ -50,14 +50,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id: str = "doc_id",
         raise ValueError(f"the window must be longer than {PERIOD} words")
     table = Docs(docs, id, text)
     texts = table.slim("text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Several buckets a partition, as they are dealt out by a hash of their number.
-    buckets = 4 * parts
-    anchors = texts.mapInArrow(_anchors(window - PERIOD + 1, buckets), _PACKED)
-    likely = _gathered(_twice(anchors, 4, parts))
+    keys = _keys(docs.sparkSession)
+    anchors = texts.mapInArrow(_anchors(window - PERIOD + 1, keys), _PACKED)
+    likely = _gathered(_twice(anchors, 4, len(keys)))
     asked = texts.join(likely, ["kid", "kt"])
-    windows = asked.mapInArrow(_windows(window, buckets), _PACKED)
-    found = _gathered(_twice(windows, 12, parts))
+    windows = asked.mapInArrow(_windows(window, keys), _PACKED)
+    found = _gathered(_twice(windows, 12, len(keys)))
     # The same exchange of the texts serves both joins.
     judged = texts.join(found, ["kid", "kt"], "left")
     left = judged.mapInArrow(_removed(window), "kid long, kt int, left string, n_words long, n_removed long")
@@ -71,6 +69,20 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id: str = "doc_id",
         "n_words": F.col("n_words"), "n_removed": F.col("n_removed")})
 
 
+def _keys(spark: SparkSession) -> list[int]:
+    """For each shuffle partition a number that is dealt to it, so that one bucket of
+    hashes goes to each."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys: dict[int, int] = {}
+    start, step = 0, 32 * parts
+    while len(keys) < parts:
+        key = F.col("id").cast("int")
+        dealt = spark.range(start, start + step).groupBy(F.pmod(F.hash(key), F.lit(parts)).alias("part")).agg(F.min(key).alias("key"))
+        keys = {r["part"]: r["key"] for r in dealt.collect()} | keys
+        start += step
+    return [keys[part] for part in range(parts)]
+
+
 def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
@@ -109,8 +121,8 @@ def _rolled(h: np.ndarray, length: int, factor: int) -> np.ndarray:
 class Block:
     """Hashes of some documents with their places, until there are enough of them."""
 
-    def __init__(self, width: int, buckets: int):
-        self.width, self.buckets = width, buckets
+    def __init__(self, width: int, keys: list[int]):
+        self.width, self.keys, self.buckets = width, keys, len(keys)
         self.clear()
 
     def clear(self) -> None:
@@ -151,7 +163,7 @@ class Block:
         for b in range(self.buckets):
             if ends[b + 1] > ends[b]:
                 part = first[ends[b]:ends[b + 1]]
-                rows.append(_pack(b, False, ids, texts, doc, places, part, _key_bytes(h[part], more[part], self.width)))
+                rows.append(_pack(self.keys[b], False, ids, texts, doc, places, part, _key_bytes(h[part], more[part], self.width)))
         yield pa.RecordBatch.from_pylist([r for r in rows if r["places"]], schema=_schema())
 
 
@@ -174,10 +186,10 @@ def _pack(bucket: int, known: bool, ids, texts, doc, places, at, hashes: bytes)
             "runs": runs.tobytes(), "places": places[at].tobytes(), "hashes": hashes}
 
 
-def _collect(buckets: int, width: int, of_text: Callable) -> Callable:
+def _collect(keys: list[int], width: int, of_text: Callable) -> Callable:
     """A map over (kid, kt, text, ...) whose `of_text` gives places, hashes, more."""
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(width, buckets)
+        block = Block(width, keys)
         for batch in found:
             rest = [c for c in batch.columns[3:]]
             for i, (kid, kt) in enumerate(zip(batch.columns[0].to_pylist(), batch.columns[1].to_pylist())):
@@ -189,7 +201,9 @@ def _collect(buckets: int, width: int, of_text: Callable) -> Callable:
     return batches
 
 
-def _anchors(length: int, buckets: int) -> Callable:
+def _anchors(length: int, keys: list[int]) -> Callable:
+    buckets = len(keys)
+
     def of_text(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(words) - length + 1
         if n <= 0:
@@ -202,11 +216,11 @@ def _anchors(length: int, buckets: int) -> Callable:
         h = (h & np.uint64(0xFFFFFFFF00000000)) | (h & np.uint64(0x00000000FFFFFFFF)) % np.uint64(buckets)
         return places, h, np.zeros(n and len(places), np.uint64)
 
-    return _collect(buckets, 4, of_text)
+    return _collect(keys, 4, of_text)
 
 
-def _windows(window: int, buckets: int) -> Callable:
-    reach = PERIOD - 1
+def _windows(window: int, keys: list[int]) -> Callable:
+    reach, buckets = PERIOD - 1, len(keys)
 
     def of_text(words: list[bytes], spots: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(words) - window + 1
@@ -224,7 +238,7 @@ def _windows(window: int, buckets: int) -> Callable:
         h = (h & np.uint64(0xFFFFFFFF00000000)) | (h & np.uint64(0x00000000FFFFFFFF)) % np.uint64(buckets)
         return places, h, two[places]
 
-    return _collect(buckets, 12, of_text)
+    return _collect(keys, 12, of_text)
 
 
 def _twice(packed: DataFrame, width: int, parts: int) -> DataFrame:
