@@ -5,12 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# An axis up to this long is ranked by one task, a longer one by ranges.
-ONE_TASK_LENGTH = 1_000_000
+from .ranks import ranked
 
 
 @dataclass(frozen=True, eq=False)
@@ -74,22 +72,15 @@ class Axis:
     def length(self) -> int:
         return self.size().first()["n"]
 
-    def positions(self, one_task_length: int = ONE_TASK_LENGTH) -> DataFrame:
+    @cached_property
+    def positions(self) -> DataFrame:
         """The values with their rank from 0, as columns `name` and `position`."""
-        values = self.values
-        if self.length <= one_task_length:
-            rank = F.row_number().over(Window.orderBy(self.order)) - 1
-            return values.select(self.name, rank.cast("bigint").alias("position"))
-        schema = T.StructType([*values.schema.fields, T.StructField("position", T.LongType())])
-        ranked = values.orderBy(self.order).rdd.zipWithIndex().map(lambda found: (found[0][0], found[1]))
-        return values.sparkSession.createDataFrame(ranked, schema)
+        return ranked(self.values.select(self.name), [self.order])
 
     def between(self, start: int, stop: int) -> DataFrame:
         """The values at positions start <= p < stop."""
-        if stop > ONE_TASK_LENGTH:
-            at = F.col("position")
-            return self.positions().where((at >= start) & (at < stop)).select(self.name)
-        return self.values.orderBy(self.order).offset(start).limit(max(stop - start, 0))
+        at = F.col("position")
+        return self.positions.where((at >= start) & (at < stop)).select(self.name)
 
     def _known(self) -> DataFrame:
         values = self.source.distinct()

@@ -8,7 +8,7 @@ run a small job on that axis alone and bring back one or two values per axis.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .axis import Axis
+from .functions.values import clean
 from .operators import limits, reduce, select
 
 if TYPE_CHECKING:
@@ -53,7 +54,7 @@ class Cube:
         year: str | None = None,
         descending: Sequence[str] = (),
     ) -> Cube:
-        """Cube over a frame; axes not given are read off the frame's columns.
+        """Cube over a frame, NaN turned into NULL; axes not given are read off its columns.
         Along `descending` dimensions positions start at the largest value."""
         dims = tuple(dims)
         names = data_vars if data_vars is not None else [
@@ -62,7 +63,8 @@ class Cube:
         missing = [c for c in (*dims, *names) if c not in frame.columns]
         if missing:
             raise KeyError(f"no column {missing} among {frame.columns}")
-        kept = frame.select(*dims, *names, *([year] if year else []))
+        kept = frame.select(
+            *dims, *[clean(F.col(v), frame.schema[v].dataType).alias(v) for v in names], *([year] if year else []))
         given = dict(axes or {})
         known = {d: given.get(d) or Axis.of(frame.select(d), d in descending) for d in dims}
         return cls(kept, dims, tuple(names), known, year)
@@ -114,7 +116,8 @@ class Cube:
         unknown = [n for n in names if n not in self.data_vars]
         if unknown:
             raise KeyError(f"no variable {unknown}; there are {list(self.data_vars)}")
-        return Cube.of(self.frame, self.dims, names, self.axes, self.year)
+        frame = self.frame.select(*self.dims, *names, *([self.year] if self.year else []))
+        return replace(self, frame=frame, data_vars=names)
 
     def rename(self, names: Mapping[str, str]) -> Cube:
         """Rename dimensions or variables, such as lat/lon to latitude/longitude."""

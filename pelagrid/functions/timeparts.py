@@ -17,11 +17,12 @@ def month_of(time: Column) -> Column:
 
 
 def season_of(time: Column) -> Column:
-    """Season label of the month; December counts with January and February
-    whatever their year, so no season spans a year boundary."""
-    labels = F.array(*[F.lit(s) for s in SEASONS])
-    position = (F.month(time) % 12 / 3).cast("int") + 1
-    return F.element_at(labels, position)
+    """Season label of the month, NULL without a time; December counts with January
+    and February whatever their year, so no season spans a year boundary."""
+    label = F.lit(None).cast("string")
+    for number, season in enumerate(SEASONS):
+        label = F.when(F.floor(F.month(time) % 12 / 3) == number, F.lit(season)).otherwise(label)
+    return label
 
 
 # Group keys a climatology can be taken over.

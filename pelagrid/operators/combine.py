@@ -9,11 +9,12 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.timeparts import TIME_PARTS
-
 if TYPE_CHECKING:
     from ..cube import Cube
 
+# Facet labels up to this many are broadcast.
+MOST_FACETS = 10_000
+
 
 def profile_table(columns: Mapping[str, tuple[Cube, str]], axis_name: str = "depth [m]") -> DataFrame:
     """One row per level from one-dimensional cubes: the axis of the first, then
@@ -66,9 +67,9 @@ def overlay(base: Cube, name: str, layers: Mapping[str, DataFrame], on: str) ->
     base does not have is left out, as there is no panel to draw it on.
     """
     labels = base.axes[on].values
-    if on in TIME_PARTS:
-        # At most twelve labels. Without the hint each layer would be shuffled
-        # by its label, into as few tasks as there are facets.
+    # Without the hint each layer would be shuffled by its label, into as few tasks as
+    # there are facets. More labels than this are no facets; then a shuffle spreads well.
+    if labels.limit(MOST_FACETS + 1).count() <= MOST_FACETS:
         labels = F.broadcast(labels)
     drawn = [base.frame.withColumn("layer", F.lit(name))]
     drawn += [f.join(labels, on, "left_semi").withColumn("layer", F.lit(n)) for n, f in layers.items()]

@@ -8,16 +8,15 @@ from dataclasses import dataclass, replace
 from functools import reduce as fold
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ranks import before
 from ..session import written
 
 if TYPE_CHECKING:
     from ..cube import Cube
 
-# Up to this many values one task may hold them all; beyond, brackets are narrowed.
-ONE_TASK_VALUES = 1_000_000
 # percentile_approx promises ranks within 1/ACCURACY of the rows it has seen.
 ACCURACY = 20_000
 
@@ -31,21 +30,15 @@ def extents(cube: Cube, names: Sequence[str]) -> DataFrame:
     return cube.frame.agg(*pairs)
 
 
-def robust_limits(
-    cube: Cube,
-    var: str,
-    low: float = 0.02,
-    high: float = 0.98,
-    one_task_values: int = ONE_TASK_VALUES,
-) -> DataFrame:
+def robust_limits(cube: Cube, var: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """The `low` and `high` percentiles of a variable over all cells, exact, with
-    linear interpolation between ranks, as one row (vmin, vmax).
+    linear interpolation between ranks, as one row (vmin, vmax); NULL without a value.
 
-    The built-in exact percentile gathers every distinct value in one task. It is
-    used up to `one_task_values`. Beyond that each percentile is bracketed with
-    percentile_approx, the rows below the bracket are counted, and only the
-    values inside it are ranked. The values are written once and scanned a few
-    times, as the cube itself may be an expensive aggregation.
+    Each percentile is bracketed with percentile_approx, the rows below the bracket
+    are counted, and what is inside is counted by value and ranked by ranges; so no
+    task holds more than a range, however many rows there are or share a value. The values
+    are written once and scanned a few times, as the cube itself may be an expensive
+    aggregation.
     """
     if not 0 <= low < high <= 1:
         raise ValueError(f"need 0 <= low < high <= 1, got {low}, {high}")
@@ -54,14 +47,11 @@ def robust_limits(
     kept = written(cube.frame.select(F.col(var).alias("v")).where(F.col("v").isNotNull()))
     values = kept.select(F.col("v").cast("double").alias("v"))
     n = values.count()
-    if n <= one_task_values:
-        both = F.percentile("v", F.array(F.lit(low), F.lit(high)))
-        return values.agg(both.alias("p")).select(F.col("p")[0].alias("vmin"), F.col("p")[1].alias("vmax"))
-    brackets = [Bracket.around(q, n) for q in (low, high)]
-    brackets = _narrow(values, brackets, one_task_values)
+    brackets = _narrow(values, [Bracket.around(q, n) for q in (low, high)]) if n else []
     parts = [b.ranked(values).select(F.lit(i).alias("i"), "value") for i, b in enumerate(brackets)]
+    found = fold(DataFrame.unionByName, parts) if parts else values.select(F.lit(0).alias("i"), F.col("v").alias("value"))
     at = [F.max(F.when(F.col("i") == i, F.col("value"))) for i in (0, 1)]
-    return fold(DataFrame.unionByName, parts).agg(at[0].alias("vmin"), at[1].alias("vmax"))
+    return found.agg(at[0].alias("vmin"), at[1].alias("vmax"))
 
 
 @dataclass(frozen=True)
@@ -102,8 +92,8 @@ class Bracket:
     def ranked(self, values: DataFrame) -> DataFrame:
         """The interpolated percentile from the values inside, as one row `value`."""
         counts = values.where(self.holds(F.col("v"))).groupBy("v").agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select("v", "c", (F.lit(self.below) + upto).alias("end"))
+        start = F.lit(self.below) + F.col("before")
+        ranks = before(counts, [F.col("v")], F.col("c"), "before").select("v", "c", (start + F.col("c")).alias("end"))
 
         def at(rank: int) -> Column:
             here = (F.col("end") > rank) & (F.col("end") - F.col("c") <= rank)
@@ -113,31 +103,26 @@ class Bracket:
         return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(self.fraction)).alias("value"))
 
 
-def _narrow(values: DataFrame, brackets: list[Bracket], enough: int) -> list[Bracket]:
-    """Shrink the brackets until each holds few rows, or stops shrinking because
-    a few values repeat very often; those merge when they are counted by value."""
+def _narrow(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """Each bracket narrowed once, to its rank and a little more on both sides; wider
+    again where the estimate was worse than promised."""
     v = F.col("v")
     open_ = set(range(len(brackets)))
-    while open_ := {i for i in open_ if brackets[i].inside > enough and brackets[i].low < brackets[i].high}:
+    while open_:
         guesses = values.agg(*[
-            F.percentile_approx(
-                F.when(brackets[i].holds(v), v), F.array(*map(F.lit, brackets[i].probes())), F.lit(ACCURACY)
-            ).alias(f"g{i}") for i in open_
+            F.percentile_approx(v, F.array(*map(F.lit, brackets[i].probes())), F.lit(ACCURACY)).alias(f"g{i}")
+            for i in open_
         ]).first()
         tried = {i: replace(brackets[i], low=guesses[f"g{i}"][0], high=guesses[f"g{i}"][1]) for i in open_}
         counted = values.agg(
             *[F.count_if(v < F.lit(b.low)).alias(f"below{i}") for i, b in tried.items()],
             *[F.count_if(b.holds(v)).alias(f"inside{i}") for i, b in tried.items()],
         ).first()
-        done = set()
         for i, b in tried.items():
             b = replace(b, below=counted[f"below{i}"], inside=counted[f"inside{i}"])
             if b.below <= b.rank and b.next_rank < b.below + b.inside:
-                if b.inside > brackets[i].inside / 2:
-                    done.add(i)
                 brackets[i] = b
+                open_.discard(i)
             else:
-                # The estimate was worse than promised: try a wider interval.
                 brackets[i] = replace(brackets[i], slack=4 * brackets[i].slack)
-        open_ -= done
     return brackets

@@ -21,20 +21,23 @@ if TYPE_CHECKING:
 
 
 def mean(cube: Cube, dims: Sequence[str]) -> Cube:
+    """Along all dimensions if none is named."""
     require_dims(cube, *dims)
+    dims = dims or cube.dims
     rest = tuple(d for d in cube.dims if d not in dims)
     frame = cube.frame.groupBy(*rest).agg(*[F.avg(v).alias(v) for v in cube.data_vars])
     return replace(cube, frame=frame, dims=rest, axes={d: cube.axes[d] for d in rest}, year=None)
 
 
 def group_mean(cube: Cube, part: str) -> Cube:
-    """Every day counts once: a mean over all days of the group, in all years."""
+    """Every day counts once: a mean over all days of the group, in all years. A
+    cell without a time belongs to no group."""
     require_dims(cube, "time")
     if part not in TIME_PARTS:
         raise KeyError(f"no calendar part {part!r}; there are {sorted(TIME_PARTS)}")
     key = TIME_PARTS[part](F.col("time")).alias(part)
     rest = tuple(d for d in cube.dims if d != "time")
-    frame = cube.frame.groupBy(key, *rest).agg(*[F.avg(v).alias(v) for v in cube.data_vars])
+    frame = cube.frame.where(F.col("time").isNotNull()).groupBy(key, *rest).agg(*[F.avg(v).alias(v) for v in cube.data_vars])
     axes = {part: cube.axes["time"].derived(key), **{d: cube.axes[d] for d in rest}}
     return replace(cube, frame=frame, dims=(part, *rest), axes=axes, year=None)
 

@@ -12,7 +12,7 @@ from dataclasses import replace
 from functools import reduce as fold
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import carried, typed_literal
@@ -67,7 +67,7 @@ def sel_range(cube: Cube, bounds: Mapping[str, tuple[Any, Any]]) -> Cube:
 
 def positions(cube: Cube, dim: str) -> DataFrame:
     require_dims(cube, dim)
-    return cube.axes[dim].positions()
+    return cube.axes[dim].positions
 
 
 def one_row_each(frames: Mapping[str, DataFrame]) -> dict[str, Any]:
@@ -169,16 +169,22 @@ def squeeze(cube: Cube) -> Cube:
 
 
 def drop_dims(cube: Cube, dims: Sequence[str], keep: Sequence[str]) -> Cube:
-    """A kept variable holds one value per remaining cell, so its maximum is that
-    value, and the aggregation merges the repeats before it shuffles."""
+    """A kept variable holds one value per remaining cell, missing ones aside; the
+    table raises where it does not. The repeats merge before they are shuffled."""
     require_dims(cube, *dims)
     unknown = [v for v in keep if v not in cube.data_vars]
     if unknown:
         raise KeyError(f"no variable {unknown}; there are {list(cube.data_vars)}")
     rest = tuple(d for d in cube.dims if d not in dims)
     if keep:
-        frame = cube.frame.groupBy(*rest).agg(*[F.max(v).alias(v) for v in keep])
+        frame = cube.frame.groupBy(*rest).agg(*[_only(v).alias(v) for v in keep])
     else:
         frame = cube.frame.select(*rest).distinct()
     return replace(cube, frame=frame, dims=rest, data_vars=tuple(keep),
                    axes={d: cube.axes[d] for d in rest}, year=None)
+
+
+def _only(var: str) -> Column:
+    """The one value of a group."""
+    varies = F.raise_error(F.lit(f"{var} varies along a dropped dimension"))
+    return F.when(F.min(var) == F.max(var), F.max(var)).when(F.count(var) > 0, varies)

@@ -13,7 +13,7 @@ from ..operators import combine, plotdata
 from ..operators.reduce import season_mean, seasonality
 from ..session import shared_folder
 from ..sources import store
-from ..sources.request import open_dataset, take_years
+from ..sources.request import open_dataset, subset, take_years
 from . import tables, workflows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,59 @@ def info(spark, folder):
     return tables.field(spark, folder).info()
 
 
+def subset_stored(spark, folder):
+    """Stored under its default name, and opened again."""
+    path = subset(
+        spark, tables.catalog(folder), shared_folder(spark), dataset_id="lines_daily", variables=["so"],
+        minimum_longitude=0.02, maximum_longitude=0.06, minimum_latitude=10, maximum_latitude=20)
+    return store.open_cube(spark, path, ("time", *tables.PLACE)).frame.drop("year")
+
+
+def subset_years_added(spark, folder):
+    """The second request has one year that is stored and one that is not."""
+    wanted = dict(output_directory=shared_folder(spark), output_filename="lines", dataset_id="lines_daily",
+                  variables=["so"], force_download=False)
+    subset(spark, tables.catalog(folder), years=[1996], **wanted)
+    path = subset(spark, tables.catalog(folder), years=[1996, 1997], minimum_latitude=25, **wanted)
+    cells = store.open_cube(spark, path, ("time", *tables.PLACE)).frame
+    return cells.groupBy("year").agg(F.count("*").alias("cells"), F.max("so").alias("so"))
+
+
+def year_refetched_empty(spark, folder):
+    """A year stored again, for which the request now finds nothing."""
+    wanted = dict(output_directory=shared_folder(spark), output_filename="lines", dataset_id="lines_daily")
+    subset(spark, tables.catalog(folder), years=[1996, 1997], **wanted)
+    path = subset(spark, tables.catalog(folder), years=[1997], minimum_latitude=1000, **wanted)
+    cells = store.open_cube(spark, path, ("time", *tables.PLACE)).frame
+    return cells.groupBy("year").agg(F.count("*").alias("cells"))
+
+
+def store_descending(spark, folder):
+    """Latitudes from north to south, kept under another name, opened by glob and rename."""
+    path = shared_folder(spark)
+    whole = tables.field(spark, folder).pick("so")
+    south = Cube.of(whole.frame.withColumnRenamed("latitude", "y"), ("time", "depth", "y", "longitude"), descending=["y"])
+    store.write_cube(south, path)
+    cube = store.open_many(
+        spark, f"{path}/year=199[67]", ("time", *tables.PLACE), rename={"y": "latitude"}, slab="directory")
+    return cube.isel(latitude=1).frame.drop("year")
+
+
+def store_sparse_axis(spark, folder):
+    """Some latitudes have no cell in what is stored; positions stay."""
+    path = shared_folder(spark)
+    whole = tables.field(spark, folder).pick("so")
+    kept = ~F.col("latitude").between(5, 15)
+    holed = Cube.of(whole.frame.where(kept), whole.dims, whole.data_vars, whole.axes)
+    store.write_cube(holed.sel_time("1998-01-01", None), path)
+    return store.open_cube(spark, path, whole.dims).isel(latitude=30).frame.drop("year")
+
+
+def combine_names(spark, folder):
+    whole = tables.field(spark, folder)
+    return store.combine([whole.pick("so").sel_range(depth=(None, 3)), whole.pick("tx").sel_range(depth=(4, None))]).frame
+
+
 # -- selection -----------------------------------------------------------------
 
 def isel_point(spark, folder):
@@ -175,13 +228,32 @@ def time_mean(spark, folder):
     return tables.field(spark, folder).mean("time").frame
 
 
+def season_null_time(spark, folder):
+    """Cells without a time are in no season."""
+    whole = tables.field(spark, folder).pick("so")
+    frame = whole.frame.withColumn("time", F.when(F.col("depth") < 7, F.col("time")))
+    surface = frame.select("time", "latitude", "so")
+    return season_mean(store.from_frame(surface, ("time", "latitude"))).frame
+
+
+def mean_all_dims(spark, folder):
+    return tables.field(spark, folder).mean().frame
+
+
+def robust_hot_value(spark, folder):
+    """One value fills over half of the cells."""
+    whole = tables.field(spark, folder).pick("so")
+    so = F.when(F.col("depth") <= 4, 3_000_000.0).otherwise(F.col("so"))
+    return six(store.from_frame(whole.frame.withColumn("so", so), whole.dims).robust_limits("so"))
+
+
 def robust_facets(spark, folder):
     means = season_mean(tables.field(spark, folder).pick("so"))
     return six(means.robust_limits("so"))
 
 
 def robust_section(spark, folder):
-    daily = tables.field(spark, folder).pick("so").isel(depth=0).mean("longitude")
+    daily = tables.field(spark, folder).pick("so").mean("longitude")
     return six(daily.robust_limits("so"))
 
 
@@ -197,9 +269,13 @@ def extents(spark, folder):
 # -- profiles and overlays -----------------------------------------------------
 
 def _vertical(spark, folder) -> Cube:
-    """Time-mean vertical component, named lat/lon as its source has it."""
-    mean = tables.field(spark, folder).pick("tx").mean("time")
-    return mean.rename({"latitude": "lat", "longitude": "lon", "tx": "w"})
+    """Time-mean vertical component: a variable of its own on levels of its own,
+    named lat/lon as its source has it."""
+    whole = tables.field(spark, folder)
+    frame = whole.frame.select(
+        "time", (F.col("depth") * 10.0).alias("depth"), F.col("latitude").alias("lat"),
+        F.col("longitude").alias("lon"), (F.col("so") * 2 + F.col("tx")).alias("w"))
+    return store.from_frame(frame, ("time", "depth", "lat", "lon")).mean("time")
 
 
 def profile_table(spark, folder):
@@ -214,7 +290,7 @@ def profile_series(spark, folder):
 
 def profile_window(spark, folder):
     line = _vertical(spark, folder).isel(lat=slice(20, 22), lon=slice(4, 6)).isel(lat=1, lon=1)
-    return plotdata.profile_line(line, "w", window=(0, 5), downward=True)
+    return plotdata.profile_line(line, "w", window=(0, 50), downward=True)
 
 
 def plume_layers(spark, folder):
@@ -226,7 +302,7 @@ def plume_layers(spark, folder):
 
 def overlay_seasons(spark, folder):
     green = season_mean(tables.chl(spark, folder))
-    salt = season_mean(tables.field(spark, folder).pick("so").isel(depth=0, longitude=0))
+    salt = season_mean(tables.field(spark, folder).pick("so").isel(depth=0))
     layers = combine.overlay(green, "chl", {"salt": salt.frame}, on="season")
     return layers.withColumn("latitude", F.col("latitude").cast("double"))
 
@@ -313,4 +389,13 @@ QUERIES: dict[str, Query] = {
     "q_robust_bands": robust_bands,
     "q_hovmoller_clip": hovmoller_clip,
     "q_hovmoller_chl": hovmoller_chl,
+    "q_season_null_time": season_null_time,
+    "q_mean_all_dims": mean_all_dims,
+    "q_robust_hot_value": robust_hot_value,
+    "q_subset_stored": subset_stored,
+    "q_subset_years_added": subset_years_added,
+    "q_year_refetched_empty": year_refetched_empty,
+    "q_store_descending": store_descending,
+    "q_store_sparse_axis": store_sparse_axis,
+    "q_combine_names": combine_names,
 }

@@ -18,7 +18,7 @@ CHL = """chl AS (
 
 def season(time: str) -> str:
     return (f"CASE WHEN month({time}) IN (12, 1, 2) THEN 'DJF' WHEN month({time}) IN (3, 4, 5) THEN 'MAM' "
-            f"WHEN month({time}) IN (6, 7, 8) THEN 'JJA' ELSE 'SON' END")
+            f"WHEN month({time}) IN (6, 7, 8) THEN 'JJA' WHEN month({time}) IN (9, 10, 11) THEN 'SON' END")
 
 
 def month(time: str = "time") -> str:
@@ -62,10 +62,10 @@ section AS (SELECT month, latitude, avg(so) AS so FROM a1 GROUP BY ALL)"""
 
 PROFILE = f"""{axis('ilat', 'latitude')}, {axis('ilon', 'longitude')},
 water AS (
-  SELECT depth, so, tx FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
+  SELECT depth, so, tx, so * 2 + tx AS w FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
   WHERE ilat.i = 20 + 1 AND ilon.i = 4 + 1),
 profile AS (
-  SELECT d.depth, avg(so) AS u, avg(tx) AS v FROM (SELECT DISTINCT depth FROM field) d
+  SELECT d.depth, avg(so) AS u, avg(tx) AS v, avg(w) AS w FROM (SELECT DISTINCT depth FROM field) d
   LEFT JOIN water USING (depth) GROUP BY d.depth)"""
 
 SQL: dict[str, str] = {
@@ -113,8 +113,8 @@ WHERE time = (SELECT min(time) FROM field)""",
     "q_squeeze": f"""WITH {FIELD}, {axis('ilon', 'longitude')}
 SELECT time, latitude, so FROM field JOIN ilon USING (longitude) WHERE {TOP} AND ilon.i = 2""",
     "q_axis_positions": f"""WITH {FIELD}, {axis('ilon', 'longitude')} SELECT longitude, i AS position FROM ilon""",
-    "q_drop_dims": """SELECT l_orderkey AS place, max(floor(o_totalprice * 100 + 0.5)) AS zos
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""",
+    "q_drop_dims": """SELECT DISTINCT l_orderkey AS place, floor(o_totalprice * 100 + 0.5) AS zos
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "q_time_parts": f"""WITH {FIELD} SELECT DISTINCT time, {month()} AS month, {season('time')} AS season FROM field""",
     "q_month_clim": f"""WITH {FIELD} SELECT {month()} AS month, depth, latitude, longitude, avg(so) AS so
 FROM field GROUP BY ALL""",
@@ -140,27 +140,27 @@ FROM field GROUP BY ALL""",
   SELECT {season('time')} AS season, depth, latitude, longitude, avg(so) AS so FROM field GROUP BY ALL)
 SELECT round(quantile_cont(so, 0.02), 6) AS vmin, round(quantile_cont(so, 0.98), 6) AS vmax FROM a2""",
     "q_robust_section": f"""WITH {FIELD}, daily AS (
-  SELECT time, latitude, avg(so) AS so FROM field WHERE {TOP} GROUP BY ALL)
+  SELECT time, depth, latitude, avg(so) AS so FROM field GROUP BY ALL)
 SELECT round(quantile_cont(so, 0.02), 6) AS vmin, round(quantile_cont(so, 0.98), 6) AS vmax FROM daily""",
     "q_extents": f"""WITH {FIELD}, a2 AS (
   SELECT {season('time')} AS season, depth, latitude, longitude, avg(so) AS so FROM field GROUP BY ALL)
 SELECT min(so) AS so_min, max(so) AS so_max, min(latitude) AS latitude_min, max(latitude) AS latitude_max,
   min(longitude) AS longitude_min, max(longitude) AS longitude_max FROM a2""",
     "q_profile_table": f"""WITH {FIELD}, {PROFILE}
-SELECT depth AS "depth [m]", u AS "u [m/s]", v AS "v [m/s]", v AS "w[m/s]" FROM profile""",
+SELECT depth AS "depth [m]", u AS "u [m/s]", v AS "v [m/s]", w AS "w[m/s]" FROM profile""",
     "q_profile_long": f"""WITH {FIELD}, {PROFILE}
 SELECT depth AS "depth [m]", 'u [m/s]' AS series, u AS value FROM profile
 UNION ALL SELECT depth, 'v [m/s]', v FROM profile
-UNION ALL SELECT depth, 'w[m/s]', v FROM profile""",
+UNION ALL SELECT depth, 'w[m/s]', w FROM profile""",
     "q_profile_window": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')}
-SELECT depth, avg(tx) AS w FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
-WHERE ilat.i = 21 AND ilon.i = 5 AND depth BETWEEN 0 AND 5 GROUP BY depth""",
+SELECT depth * 10.0::DOUBLE AS depth, avg(so * 2 + tx) AS w FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
+WHERE ilat.i = 21 AND ilon.i = 5 AND depth * 10 BETWEEN 0 AND 50 GROUP BY depth""",
     "q_overlay_season": f"""WITH {FIELD}, {CHL},
 c AS (SELECT {season('time')} AS season, latitude, segment, avg(CHL) AS CHL FROM chl GROUP BY ALL),
-s AS (SELECT {season('time')} AS season, latitude, avg(so) AS so FROM field
-      WHERE {TOP} AND longitude = (SELECT min(longitude) FROM field) GROUP BY ALL)
-SELECT 'chl' AS layer, season, CAST(latitude AS DOUBLE) AS latitude, segment, CHL, CAST(NULL AS DOUBLE) AS so FROM c
-UNION ALL SELECT 'salt', season, latitude, NULL, NULL, so FROM s WHERE season IN (SELECT season FROM c)""",
+s AS (SELECT {season('time')} AS season, latitude, longitude, avg(so) AS so FROM field WHERE {TOP} GROUP BY ALL)
+SELECT 'chl' AS layer, season, CAST(latitude AS DOUBLE) AS latitude, segment, CHL, CAST(NULL AS DOUBLE) AS longitude,
+  CAST(NULL AS DOUBLE) AS so FROM c
+UNION ALL SELECT 'salt', season, latitude, NULL, NULL, longitude, so FROM s WHERE season IN (SELECT season FROM c)""",
     "q_plume_layers": f"""WITH {FIELD}, {CHL}, {ISOLINE},
 c AS (SELECT {season('time')} AS season, latitude, segment, avg(CHL) AS CHL FROM chl GROUP BY ALL)
 SELECT 'field' AS layer, season, CAST(latitude AS DOUBLE) AS latitude, segment, CHL, CAST(NULL AS VARCHAR) AS edge,
@@ -191,4 +191,26 @@ FROM section""",
     "q_hovmoller_chl": f"""WITH {CHL}, a1 AS (
   SELECT {month()} AS month, latitude, segment, floor(avg(CHL) + 0.5) AS CHL FROM chl GROUP BY ALL)
 SELECT month, latitude, avg(CHL) AS CHL FROM a1 GROUP BY ALL""",
+    "q_season_null_time": f"""WITH {FIELD}, holed AS (
+  SELECT CASE WHEN depth < 7 THEN time END AS time, latitude, longitude, so FROM field)
+SELECT {season('time')} AS season, latitude, avg(so) AS so FROM holed WHERE time IS NOT NULL GROUP BY ALL""",
+    "q_mean_all_dims": f"""WITH {FIELD} SELECT avg(so) AS so, avg(tx) AS tx FROM field""",
+    "q_robust_hot_value": f"""WITH {FIELD}, hot AS (
+  SELECT CASE WHEN depth <= 4 THEN 3000000.0::DOUBLE ELSE so END AS so FROM field)
+SELECT round(quantile_cont(so, 0.02), 6) AS vmin, round(quantile_cont(so, 0.98), 6) AS vmax FROM hot""",
+    "q_subset_stored": f"""{LINES}, l_extendedprice AS so FROM lineitem
+WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity BETWEEN 10 AND 20""",
+    "q_subset_years_added": """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS cells, max(l_extendedprice) AS so
+FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'
+   OR (l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AND l_quantity >= 25) GROUP BY ALL""",
+    "q_year_refetched_empty": """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS cells
+FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' GROUP BY ALL""",
+    "q_store_descending": f"""WITH {FIELD}, {axis('ilat', 'latitude')}
+SELECT time, depth, longitude, so FROM field JOIN ilat USING (latitude)
+WHERE ilat.i = (SELECT max(i) FROM ilat) - 1 AND time BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-12-31'""",
+    "q_store_sparse_axis": f"""WITH {FIELD}, {axis('ilat', 'latitude')}
+SELECT time, depth, longitude, so FROM field JOIN ilat USING (latitude)
+WHERE ilat.i = 30 AND latitude NOT BETWEEN 5 AND 15 AND time >= TIMESTAMP '1998-01-01'""",
+    "q_combine_names": f"""WITH {FIELD} SELECT time, depth, latitude, longitude, so, CAST(NULL AS DOUBLE) AS tx FROM field WHERE depth <= 3
+UNION ALL SELECT time, depth, latitude, longitude, NULL, tx FROM field WHERE depth > 3""",
 }

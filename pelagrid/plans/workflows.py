@@ -6,14 +6,16 @@ years or levels in the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..cube import Cube
 from ..functions.values import round_levels
 from ..operators import combine, limits, plotdata
 from ..operators.reduce import season_mean, seasonality
+from ..session import written
 
 # The salinity that bounds the plume, the colour percentiles of
 # robust limits, and the chlorophyll range of the fixed-limit section.
@@ -51,9 +53,16 @@ def month_section(cube: Cube, var: str, along: str = "longitude") -> DataFrame:
 
 
 def robust_bands(cube: Cube, var: str, bands: int = 6) -> DataFrame:
-    """Cells in filled bands between round levels that cover the robust limits."""
-    found = limits.robust_limits(cube, var, *ROBUST).first()
-    return plotdata.filled(cube, var, round_levels(found["vmin"], found["vmax"], bands))
+    """Cells in filled bands between round levels that cover the robust limits; in
+    one band, number 0, if both limits are the same, and in none without a value.
+    The cube is computed once, for the limits and for the bands."""
+    kept = replace(cube, frame=written(cube.frame))
+    found = limits.robust_limits(kept, var, *ROBUST).first()
+    low, high = found["vmin"], found["vmax"]
+    if low is None or low == high:
+        one = F.when(F.col(var).isNotNull(), F.lit(0))
+        return kept.frame.select(*kept.dims, var, one.alias("band"))
+    return plotdata.filled(kept, var, round_levels(low, high, bands))
 
 
 def velocity_profile(flow: Cube, vertical: Cube, time: int | None, patch: tuple[slice, slice], point: tuple[int, int],

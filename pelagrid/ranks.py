@@ -1,4 +1,4 @@
-"""Global ranks without gathering the rows in one task."""
+"""Global ranks and running totals without gathering the rows in one task."""
 
 from __future__ import annotations
 
@@ -10,25 +10,34 @@ from pyspark.sql import functions as F
 
 from .session import written
 
-PART = "__part"
+PART, SHIFT = "__part", "__shift"
 
 
 def ranked(frame: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """The rows with their rank from 0 in `order`, as a bigint column `name`.
 
+    Rows that are equal in the whole order get ranks in any order; they fall into one
+    range, so let the order end with a column that tells them apart.
+    """
+    return before(frame, order, F.lit(1), name)
+
+
+def before(frame: DataFrame, order: Sequence[Column], weight: Column, name: str) -> DataFrame:
+    """The rows with the total weight of the rows before them in `order`, as a bigint
+    column `name`.
+
     Rows are dealt out by ranges of the order and written once, so that the ranges
-    stay what they are if an executor is lost. Each range is ranked on its own and
-    shifted by the rows of the ranges before it; the driver holds one count a range.
-    Rows that are equal in the whole order fall into one range: let it end with a
-    column that tells them apart.
+    stay what they are if an executor is lost. Each range is added up on its own and
+    shifted by the total of the ranges before it; the driver holds one number a range.
     """
     spark = frame.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = written(frame.repartitionByRange(ranges, *order).withColumn(PART, F.spark_partition_id()))
-    counts = sorted((r[PART], r["count"]) for r in kept.groupBy(PART).count().collect())
-    before = [0, *accumulate(n for _, n in counts)]
+    dealt = frame.withColumn(name, weight.cast("bigint")).repartitionByRange(ranges, *order)
+    kept = written(dealt.withColumn(PART, F.spark_partition_id()))
+    totals = sorted(tuple(r) for r in kept.groupBy(PART).agg(F.sum(name)).collect())
     shifts = spark.createDataFrame(
-        [(part, at) for (part, _), at in zip(counts, before)], f"{PART} int, __shift bigint")
-    within = F.row_number().over(Window.partitionBy(PART).orderBy(*order)) - 1
-    shifted = kept.withColumn(name, within.cast("bigint")).join(F.broadcast(shifts), PART)
-    return shifted.withColumn(name, F.col(name) + F.col("__shift")).drop(PART, "__shift")
+        [(part, at) for (part, _), at in zip(totals, [0, *accumulate(n for _, n in totals)])], f"{PART} int, {SHIFT} bigint")
+    earlier = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = kept.withColumn(name, F.coalesce(F.sum(name).over(earlier), F.lit(0)))
+    shifted = within.join(F.broadcast(shifts), PART)
+    return shifted.withColumn(name, F.col(name) + F.col(SHIFT)).drop(PART, SHIFT)

@@ -40,6 +40,7 @@ class Product:
     fmt: str = "parquet"
     options: Mapping[str, str] = field(default_factory=dict)
     login: bool = False
+    descending: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -79,7 +80,8 @@ class Request:
         return replace(self, start_datetime=start, end_datetime=end)
 
     def default_name(self) -> str:
-        """Name of the stored subset when none is given."""
+        """Name of the stored subset when none is given: the whole request, so that
+        different requests have different names."""
         parts = [self.dataset_id, *(self.variables or ())]
         for unit, low, high in (
             ("E", self.minimum_longitude, self.maximum_longitude),
@@ -87,9 +89,10 @@ class Request:
             ("m", self.minimum_depth, self.maximum_depth),
         ):
             if low is not None or high is not None:
-                parts.append(f"{'' if low is None else f'{low:g}'}..{'' if high is None else f'{high:g}'}{unit}")
-        days = [t[:10] for t in (self.start_datetime, self.end_datetime) if t]
-        return "_".join([*parts, *days])
+                parts.append(f"{'' if low is None else low}..{'' if high is None else high}{unit}")
+        if self.start_datetime or self.end_datetime:
+            parts.append(f"{self.start_datetime or ''}..{self.end_datetime or ''}".replace(":", ""))
+        return "_".join(parts)
 
     @property
     def level(self) -> float | None:
@@ -128,6 +131,8 @@ def credentials(spark: SparkSession) -> dict[str, str]:
 def _open(spark: SparkSession, catalog: Catalog, wanted: Request) -> Cube:
     p = catalog.product(wanted.dataset_id)
     if p.fmt == "netcdf":
+        if p.login or p.options or p.descending:
+            raise ValueError(f"{wanted.dataset_id}: login, options and descending have no meaning for NetCDF files")
         names = wanted.variables or p.data_vars
         bounds = wanted.bounds()
         if wanted.level is not None:
@@ -135,7 +140,7 @@ def _open(spark: SparkSession, catalog: Catalog, wanted: Request) -> Cube:
             bounds["depth"] = (nearest(axes, {"depth": wanted.level})["depth"],) * 2
         return netcdf.open_netcdf(spark, p.path, names, p.rename, bounds=bounds)
     options = {**p.options, **(credentials(spark) if p.login else {})}
-    return store.open_cube(spark, p.path, p.dims, p.data_vars, p.rename or None, p.fmt, options)
+    return store.open_cube(spark, p.path, p.dims, p.data_vars, p.rename or None, p.fmt, options, p.descending)
 
 
 def open_dataset(spark: SparkSession, catalog: Catalog, **request) -> Cube:
@@ -156,26 +161,35 @@ def subset(
     """Store the requested part of a data set and return where it lies.
 
     `years` stands for one request per calendar year: they become one job over
-    all years, stored by year, and replace those years of an existing subset.
-    Otherwise the whole subset is replaced. Without `force_download` an existing
-    one is left as it is. A failure is logged and raised again.
+    all years, stored by year, and replace those years of an existing subset; one for
+    which nothing is found is empty afterwards. Otherwise the whole subset is
+    replaced. Without `force_download` years that are stored, or a whole that is, are
+    left as they are. Stored is what the manifest names, which is written last. A
+    failure is logged and raised again.
     """
     wanted = Request(**request)
     path = f"{output_directory.rstrip('/')}/{output_filename or wanted.default_name()}"
     log.info("storing %s in %s", wanted.dataset_id, path)
     try:
-        if not force_download and _is_stored(spark, path):
-            log.info("%s is already there", path)
-            return path
+        missing = WHOLE if years is None else sorted(set(years))
+        if not force_download:
+            there = _stored(spark, path)
+            missing = [y for y in missing if y not in there and WHOLE[0] not in there]
+            if not missing:
+                log.info("%s is already there", path)
+                return path
         if years is not None:
-            years = sorted(set(years))
-            if years and not (wanted.start_datetime or wanted.end_datetime):
-                ends = year_bounds(years[0])[0], year_bounds(years[-1])[1]
+            if not missing:
+                raise ValueError("no years given")
+            if not (wanted.start_datetime or wanted.end_datetime):
+                ends = year_bounds(missing[0])[0], year_bounds(missing[-1])[1]
                 wanted = replace(wanted, start_datetime=ends[0], end_datetime=ends[1])
         cube = wanted.apply(_open(spark, catalog, wanted))
         if years is not None:
-            cube = take_years(cube, years)
+            cube = take_years(cube, missing)
+        _forget(spark, path, None if years is None else missing)
         store.write_cube(cube, path, replace_all=years is None)
+        _remember(spark, path, wanted, missing)
     except Exception as failure:
         log.error("storing %s failed: %s", wanted.dataset_id, failure)
         raise
@@ -194,8 +208,38 @@ def take_years(cube: Cube, years: Iterable[int]) -> Cube:
     return replace(cube, frame=cube.frame.where(chosen & listed), axes={**cube.axes, TIME: cube.axes[TIME].where(chosen)})
 
 
-def _is_stored(spark: SparkSession, path: str) -> bool:
+# What the manifest names instead of a year if a subset was stored as a whole.
+WHOLE = [0]
+
+
+def _manifest(path: str) -> str:
+    return f"{path}/_manifest"
+
+
+def _stored(spark: SparkSession, path: str) -> dict[int, str]:
+    """The years the manifest of a subset names, each with its request."""
     try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+        return {r["stored"]: r["request"] for r in spark.read.parquet(_manifest(path)).collect()}
+    except AnalysisException as absent:
+        if absent.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return {}
+        raise
+
+
+def _forget(spark: SparkSession, path: str, years: Sequence[int] | None) -> None:
+    """Years, or all, are stored no longer, and their cells go. What was stored as a
+    whole is one no longer once a year of it is replaced."""
+    there = _stored(spark, path)
+    gone = {*there} if years is None else {*years, *WHOLE}
+    if there:
+        _write_manifest(spark, path, {y: r for y, r in there.items() if y not in gone})
+    store.remove_years(spark, path, sorted(gone - set(WHOLE)))
+
+
+def _remember(spark: SparkSession, path: str, wanted: Request, years: Sequence[int]) -> None:
+    _write_manifest(spark, path, _stored(spark, path) | dict.fromkeys(years, wanted.default_name()))
+
+
+def _write_manifest(spark: SparkSession, path: str, requests: Mapping[int, str]) -> None:
+    rows = spark.createDataFrame(sorted(requests.items()), "stored int, request string")
+    rows.coalesce(1).write.mode("overwrite").parquet(_manifest(path))

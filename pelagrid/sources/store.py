@@ -15,12 +15,12 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..axis import Axis, noted
 from ..cube import TIME, Cube
-from ..functions.values import clean
 
 YEAR = "year"
 
@@ -42,12 +42,10 @@ def open_cube(
     taken as the partition column of a kept cube. Positions start at the largest
     value along `descending` dimensions; a kept cube knows its own.
     """
-    frame = spark.read.format(fmt).options(**dict(options or {})).load(path)
-    axes = {}
-    for dim in dims:
-        axis = _kept_axis(spark, path, dim) if fmt == "parquet" and not rename else None
-        if axis is not None:
-            axes[dim] = axis
+    reader = spark.read.format(fmt).options(**dict(options or {}))
+    kept = _kept_schema(spark, path) if fmt == "parquet" else None
+    frame = (reader.schema(kept) if kept else reader).load(path)
+    axes = _kept_axes(spark, path, "", dims, rename) if fmt == "parquet" else {}
     return from_frame(frame, dims, data_vars, rename, axes, descending)
 
 
@@ -59,7 +57,7 @@ def from_frame(
     axes: Mapping[str, Axis] | None = None,
     descending: Sequence[str] = (),
 ) -> Cube:
-    """Cube over any frame: names aligned, NaN turned into NULL."""
+    """Cube over any frame, names aligned."""
     if rename:
         frame = frame.withColumnsRenamed(dict(rename))
     year = YEAR if TIME in dims and YEAR in frame.columns and YEAR not in (*dims, *(data_vars or ())) else None
@@ -69,21 +67,37 @@ def from_frame(
     missing = [c for c in (*dims, *names) if c not in frame.columns]
     if missing:
         raise KeyError(f"no column {missing} among {frame.columns}")
-    cleaned = frame.select(
-        *dims, *[clean(F.col(v), frame.schema[v].dataType).alias(v) for v in names], *([year] if year else []))
     own = {d: Axis.of(frame.select(d), d in descending) for d in dims}
-    return Cube.of(cleaned, dims, names, {**own, **dict(axes or {})}, year)
+    return Cube.of(frame, dims, names, {**own, **dict(axes or {})}, year)
 
 
-def _kept_axis(spark: SparkSession, path: str, dim: str) -> Axis | None:
+def _kept(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is kept at a path beside the cells; None if there is nothing."""
     try:
-        return Axis(spark.read.parquet(f"{path.rstrip('/')}/_axes/{dim}").select(dim))
+        return spark.read.parquet(path)
     except AnalysisException as absent:
-        if absent.getCondition() == "PATH_NOT_FOUND":
+        if absent.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def _kept_schema(spark: SparkSession, path: str) -> StructType | None:
+    kept = _kept(spark, f"{path.rstrip('/')}/_schema")
+    return kept.schema if kept is not None else None
+
+
+def _kept_axes(spark: SparkSession, root: str, part: str, dims: Sequence[str], rename: Mapping[str, str] | None) -> dict[str, Axis]:
+    """Axes kept under `root`, of the partitions `part` names, by their new names."""
+    source = {new: old for old, new in (rename or {}).items()}
+    axes = {}
+    for dim in dims:
+        old = source.get(dim, dim)
+        kept = _kept(spark, f"{root.rstrip('/')}/_axes/{old}{part}")
+        if kept is not None:
+            axes[dim] = Axis(kept.select(old).withColumnRenamed(old, dim))
+    return axes
+
+
 def open_many(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -98,16 +112,29 @@ def open_many(
     """Many files, by path or glob, as one cube.
 
     Files with other coordinates or variables line up by name, with missing cells
-    where one has nothing. Each slab (a file, or with slab="directory" a
+    where one has nothing. A glob over the years of one kept cube, such as
+    `cube/year=20*`, keeps its year column and its axes. Each slab (a file, or with slab="directory" a
     directory of files) must cover its own stretch of the `along` axis. Overlap
     raises ValueError: the check is one aggregation of that single column.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frame = spark.read.option("mergeSchema", "true").parquet(*paths)
+    reader = spark.read.option("mergeSchema", "true")
+    # Partitions of one kept cube keep their year, and the axes of that cube.
+    roots = {p.partition(f"/{YEAR}=")[0] for p in paths if f"/{YEAR}=" in p}
+    by_year = len(roots) == 1 and all(f"/{YEAR}=" in p for p in paths)
+    axes: dict[str, Axis] = {}
+    if by_year:
+        (root,) = roots
+        reader = reader.option("basePath", root)
+        for path in paths:
+            part = f"/{YEAR}=" + path.partition(f"/{YEAR}=")[2].split("/")[0]
+            for dim, axis in _kept_axes(spark, root, part, dims, rename).items():
+                axes[dim] = axes[dim].union(axis) if dim in axes else axis
+    frame = reader.parquet(*paths)
     if check:
         source = {new: old for old, new in (rename or {}).items()}.get(along, along)
         check_overlap(file_spans(frame, source), along, slab)
-    return from_frame(frame, dims, data_vars, rename, descending=descending)
+    return from_frame(frame, dims, data_vars, rename, axes, descending)
 
 
 def file_spans(frame: DataFrame, along: str) -> DataFrame:
@@ -158,13 +185,12 @@ def combine(cubes: Sequence[Cube]) -> Cube:
 def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: bool = False) -> None:
     """Keep a cube by year, with its axes.
 
-    Only the years present in the cube are replaced unless `replace_all`. Rows are
-    spread by value ranges over (year, place, time), so a year or a place with
-    most of the rows is split between tasks, and each file covers a small box.
-    `files` sets the number of ranges; by default the session's shuffle setting
-    and adaptive coalescing decide.
+    Only the years present in the cube are replaced unless `replace_all`. Rows go to
+    tasks by year, without a look at the data first; adaptive execution splits a year
+    with most of the rows and merges small ones. With `files` they go into that many
+    value ranges over (year, place, time), which takes a sample first: each file then
+    covers a small box, and a year or a place with most of the rows is split too.
     """
-    spark = cube.frame.sparkSession
     place = [d for d in ("depth", "latitude", "longitude") if d in cube.dims]
     others = [d for d in cube.dims if d not in (*place, TIME)]
     frame = cube.frame.select(*cube.dims, *cube.data_vars)
@@ -174,41 +200,48 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     order = [*([YEAR] if timed else []), *place, *others, *([TIME] if timed else [])]
     # Rows that share even their coordinates still split, by what they hold.
     spread = [*order, *([F.xxhash64(*cube.data_vars)] if cube.data_vars else [])]
-    laid_out = frame.repartitionByRange(files, *spread) if files else frame.repartitionByRange(*spread)
-    seen = Observation()
-    if timed:
-        laid_out = laid_out.observe(seen, F.min(YEAR).alias("first"), F.max(YEAR).alias("last"))
+    laid_out = frame.repartitionByRange(files, *spread) if files else frame.hint("rebalance", F.col(order[0]))
     _write(laid_out.sortWithinPartitions(*order), path, timed, replace_all)
-
-    stored = spark.read.schema(frame.schema).parquet(path)
-    if timed:
-        years = seen.get
-        if years["first"] is None:
-            return
-        stored = stored.where(F.col(YEAR).between(years["first"], years["last"]))
-    _keep_axes(stored, path, cube.dims, timed, [d for d in cube.dims if cube.axes[d].descending])
+    _write(frame.limit(0), f"{path.rstrip('/')}/_schema", False, True)
+    _keep_axes({d: a.values.select(noted(d, a.descending)) for d, a in cube.axes.items()}, path, timed, replace_all)
 
 
 def keep_axes(spark: SparkSession, path: str, dims: Sequence[str], descending: Sequence[str] = ()) -> None:
     """Write the axes of a Parquet cube anew from its cells: for one stored by
     other means, or after a store that broke off between cells and axes."""
     stored = spark.read.parquet(path)
-    _keep_axes(stored, path, dims, TIME in dims and YEAR in stored.columns, descending)
+    timed = TIME in dims and YEAR in stored.columns
+    _keep_axes({d: stored.select(noted(d, d in descending)).distinct() for d in dims}, path, timed, True)
 
 
-def _keep_axes(stored: DataFrame, path: str, dims: Sequence[str], timed: bool, descending: Sequence[str]) -> None:
-    """One job per axis, all at once; each reads a single column."""
+def _keep_axes(axes: Mapping[str, DataFrame], path: str, timed: bool, replace_all: bool) -> None:
+    """The axes as they are, so that a place without a cell in what is stored keeps its
+    position. In a cube by year each year on the time axis has all of every other axis,
+    as far as it was written with that year. One job per axis, all at once."""
+    years = [r[0] for r in axes[TIME].select(F.year(TIME)).where(F.col(TIME).isNotNull()).distinct().collect()] if timed else []
 
-    def keep(dim: str) -> None:
-        axis = stored.select(noted(dim, dim in descending), *([YEAR] if timed else [])).distinct()
-        one_file = axis.repartition(YEAR) if timed else axis.repartition(1)
-        _write(one_file, f"{path.rstrip('/')}/_axes/{dim}", timed, False)
+    def keep(dim: str, axis: DataFrame) -> None:
+        if timed:
+            year = F.year(TIME) if dim == TIME else F.explode(F.array(*map(F.lit, years)) if years else F.array().cast("array<int>"))
+            axis = axis.withColumn(YEAR, year)
+        _write(axis, f"{path.rstrip('/')}/_axes/{dim}", timed, replace_all)
 
     with ThreadPoolExecutor() as pool:
-        list(pool.map(keep, dims))
+        list(pool.map(keep, axes, axes.values()))
 
 
 def _write(frame: DataFrame, path: str, by_year: bool, replace_all: bool) -> None:
     mode = "static" if replace_all or not by_year else "dynamic"
     writer = frame.write.mode("overwrite").option("partitionOverwriteMode", mode)
     (writer.partitionBy(YEAR) if by_year else writer).parquet(path)
+
+
+def remove_years(spark: SparkSession, path: str, years: Sequence[int]) -> None:
+    """Take years out of a kept cube, with their part of its axes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for year in years:
+        for folder in (f"{path.rstrip('/')}/{YEAR}={year}", f"{path.rstrip('/')}/_axes/*/{YEAR}={year}"):
+            at = hadoop.Path(folder)
+            files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+            for found in files.globStatus(at) or ():
+                files.delete(found.getPath(), True)

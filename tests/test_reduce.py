@@ -91,3 +91,17 @@ def test_means_against_numpy_on_whole_tables(spark, folder):
     at = tuple(np.searchsorted(a, got[d]) for a, d in zip(axes, ("month", "depth", "latitude")))
     assert len(got) == np.isfinite(zonal).sum()
     np.testing.assert_allclose(got["so"], zonal[at], rtol=1e-12)
+
+
+def test_a_cell_without_a_time_is_in_no_group(spark):
+    days = [(day("2001-01-01"), 0.0, 1.0), (None, 0.0, 7.0)]
+    grid = cube(spark, DAILY, days, ("time", "latitude"))
+    assert found(season_mean(grid).frame) == [("DJF", 0.0, 1.0)]
+    assert found(seasonality(grid).frame) == [(1, 0.0, 1.0)]
+
+
+def test_nan_is_missing_in_any_cube(spark):
+    from pelagrid import Cube
+
+    frame = spark.createDataFrame([(0.0, math.nan), (1.0, 3.0)], "latitude double, so double")
+    assert found(Cube.of(frame, ("latitude",)).mean("latitude").frame) == [(3.0,)]

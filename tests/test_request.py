@@ -51,7 +51,7 @@ def test_year_requests_lose_what_is_after_the_last_midnight(spark, shelf):
 
 def test_subset_is_stored_by_year_under_a_default_name(spark, shelf, tmp_path):
     path = subset(spark, shelf, str(tmp_path), years=range(2000, 2002), **BOX)
-    assert path == f"{tmp_path}/ocean_so_-75..-40E_-10..30N_0.494025..0.494025m"
+    assert path == f"{tmp_path}/ocean_so_-75..-40E_-10..30N_0.49402499198913574..0.49402499198913574m"
     assert sorted({r.year for r in open_cube(spark, path, DIMS).frame.collect()}) == [2000, 2001]
 
 
@@ -115,3 +115,40 @@ def test_a_product_of_netcdf_files(spark, tmp_path):
     assert got.dims == DIMS and got.isel(depth=0).frame.count() == 2 * 3 * 2
     path = subset(spark, shelf, str(tmp_path), "kept", years=[2001], dataset_id="files", variables=["so"])
     assert open_cube(spark, path, DIMS).frame.count() == 72
+
+
+def test_requests_that_differ_have_different_names():
+    base = dict(dataset_id="ocean", variables=["so"], minimum_longitude=1.0000001, maximum_longitude=2)
+    names = {Request(**base, start_datetime=t).default_name() for t in ("2000-01-01T00:00", "2000-01-01T12:00")}
+    names.add(Request(**{**base, "minimum_longitude": 1.0000002}, start_datetime="2000-01-01T00:00").default_name())
+    assert len(names) == 3
+
+
+def test_only_missing_years_are_fetched_without_force(spark, shelf, tmp_path):
+    part = dict(output_filename="years", dataset_id="ocean", variables=["so"], force_download=False)
+    path = subset(spark, shelf, str(tmp_path), years=[2000], **part)
+    subset(spark, shelf, str(tmp_path), years=[2000, 2001], minimum_latitude=0, **part)
+    assert found(open_cube(spark, path, DIMS).frame.groupBy("year").count()) == [(2000, 24), (2001, 8)]
+
+
+def test_a_year_without_cells_replaces_what_was_there(spark, shelf, tmp_path):
+    part = dict(output_filename="years", dataset_id="ocean", variables=["so"])
+    path = subset(spark, shelf, str(tmp_path), years=[2000, 2001], **part)
+    subset(spark, shelf, str(tmp_path), years=[2001], minimum_latitude=1000, **part)
+    back = open_cube(spark, path, DIMS)
+    assert found(back.frame.groupBy("year").count()) == [(2000, 24)]
+    # Times of the source stay on the axis, as a place without a cell does.
+    assert {r.time.year for r in back.axis("time").collect()} == {2000, 2001}
+
+
+def test_an_empty_subset_can_be_opened(spark, shelf, tmp_path):
+    path = subset(spark, shelf, str(tmp_path), dataset_id="ocean", variables=["so"], minimum_latitude=1000)
+    back = open_cube(spark, path, DIMS)
+    assert back.data_vars == ("so",) and back.frame.count() == 0
+
+
+def test_what_broke_off_is_not_stored(spark, shelf, tmp_path):
+    part = dict(output_filename="part", dataset_id="ocean", variables=["so"], force_download=False)
+    (tmp_path / "part" / "year=2000").mkdir(parents=True)
+    path = subset(spark, shelf, str(tmp_path), **part)
+    assert open_cube(spark, path, DIMS).axis("time").count() > 1

@@ -2,6 +2,7 @@ import time
 
 import pytest
 from grids import cube, day, found, patch
+from plans import plan_text
 
 from pelagrid import from_frame
 
@@ -150,10 +151,12 @@ def test_values_come_in_axis_order_and_too_many_raise(spark):
         patch(spark).values(most=15)
 
 
-def test_long_axis_is_ranked_alike(spark):
+def test_positions_come_from_ranges(spark):
     axis = patch(spark).axes["latitude"]
-    assert found(axis.positions(one_task_length=1)) == found(axis.positions())
-    assert axis.positions(one_task_length=1).dtypes == axis.positions().dtypes
+    assert found(axis.positions) == [(10.0 + i, i) for i in range(4)]
+    assert dict(axis.positions.dtypes)["position"] == "bigint"
+    plan = plan_text(axis.positions)
+    assert "SinglePartition" not in plan and "Python" not in plan
 
 
 def test_chained_selections_scan_the_axis_once(spark):
@@ -174,11 +177,10 @@ def test_positions_follow_a_descending_axis(spark):
     assert found(north.isel(latitude=slice(-1, None)).frame, "so") == [(0.0,)]
     assert [r.latitude for r in north.rename({"latitude": "y"}).rename({"y": "latitude"}).table().collect()] == [3, 2, 1, 0]
     axis = north.axes["latitude"]
-    assert found(axis.positions(one_task_length=1)) == found(axis.positions()) == [(0.0, 3), (1.0, 2), (2.0, 1), (3.0, 0)]
+    assert found(axis.positions) == [(0.0, 3), (1.0, 2), (2.0, 1), (3.0, 0)]
 
 
-def test_positions_far_along_an_axis(spark, monkeypatch):
-    monkeypatch.setattr("pelagrid.axis.ONE_TASK_LENGTH", 1)
+def test_positions_far_along_an_axis(spark):
     assert found(patch(spark).isel(latitude=2, longitude=slice(1, 3)).frame, "so") == [(21.0,), (22.0,)]
     assert found(patch(spark).isel(latitude=2, longitude=slice(3, None)).frame, "so") == [(23.0,)]
 
@@ -204,3 +206,14 @@ def test_instants_with_a_zone_do_not_take_the_drivers_zone(spark, elsewhere):
     assert found(track.sel_time("2001-01-01T06:00", "2001-01-01T12:00").frame, "so") == [(1.0,), (2.0,)]
     seconds = spark.sql("select double(timestamp'2001-01-01 11:00:00') as s").first().s
     assert found(track.sel_nearest(time=seconds).frame, "so") == [(2.0,)]
+
+
+def test_a_variable_that_varies_is_not_kept_without_its_dimension(spark):
+    grid = patch(spark)
+    with pytest.raises(Exception, match="so varies along a dropped dimension"):
+        grid.drop_dims("latitude", keep=["so"]).frame.collect()
+
+
+def test_mean_without_names_is_over_all_dimensions(spark):
+    assert found(patch(spark).mean().frame) == found(patch(spark).mean("latitude", "longitude").frame)
+    assert patch(spark).mean().dims == ()

@@ -2,8 +2,8 @@ import pytest
 from grids import cube, day, found
 from pyspark.sql import functions as F
 
-from pelagrid import combine, duplicate_cells, keep_axes, open_cube, open_many, write_cube
-from pelagrid.plans.inspect import scans
+from pelagrid import combine, duplicate_cells, from_frame, keep_axes, open_cube, open_many, write_cube
+from plans import scans
 
 DIMS = ("time", "latitude", "longitude")
 SCHEMA = "time timestamp_ntz, latitude float, longitude float, so float"
@@ -164,3 +164,40 @@ def test_one_level_lies_in_few_files(spark, tmp_path):
     files = spark.read.parquet(path).groupBy("_metadata.file_path").agg(
         F.countDistinct("depth").alias("levels"), (F.max("latitude") - F.min("latitude")).alias("span"))
     assert files.count() >= 6 and files.where("levels > 2").count() == 0
+
+
+def downward(spark, *texts):
+    cells = [(day(t), lat, lat) for t in texts for lat in (10.0, 20.0, 30.0)]
+    return from_frame(spark.createDataFrame(cells, "time timestamp_ntz, lat double, so double"),
+                      ("time", "latitude"), rename={"lat": "latitude"}, descending=["latitude"])
+
+
+def test_direction_outlives_rename_and_glob(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    write_cube(downward(spark, "2000-01-01", "2001-01-01").rename({"latitude": "y"}), path)
+    for back in (open_cube(spark, path, ("time", "latitude"), rename={"y": "latitude"}),
+                 open_many(spark, f"{path}/year=*", ("time", "latitude"), rename={"y": "latitude"})):
+        assert [r.so for r in back.isel(latitude=0).frame.collect()] == [30.0, 30.0]
+        assert back.year == "year"
+
+
+def test_a_glob_over_some_years_has_their_axes(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    write_cube(downward(spark, "2000-01-01", "2001-01-01", "2010-01-01"), path)
+    part = open_many(spark, f"{path}/year=200*", ("time", "latitude"))
+    assert [r.time for r in part.axis("time").collect()] == [day("2000-01-01"), day("2001-01-01")]
+    assert "/_axes/time/year=200" in part.axes["time"].source.inputFiles()[0]
+    (scan,) = scans(part.sel_time("2001-01-01", "2001-12-31").frame)
+    assert "2001" in scan["PartitionFilters"]
+
+
+def test_storing_moves_no_position(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    whole = cube(spark, SCHEMA, [(day("2000-01-01"), float(lat), 0.0, 1.0 * lat) for lat in (10, 20, 30, 40)]
+                 + [(day("2001-01-01"), float(lat), 0.0, 1.0 * lat) for lat in (10, 30, 40)], DIMS)
+    late = whole.sel_time("2001-01-01", None)
+    write_cube(late, path)
+    back = open_cube(spark, path, DIMS)
+    assert back.axis("latitude").count() == 4
+    for at in range(4):
+        assert found(back.isel(latitude=at).frame.select("so")) == found(late.isel(latitude=at).frame.select("so"))

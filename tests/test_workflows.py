@@ -1,11 +1,16 @@
 """The whole analyses on grids small enough to work out by hand."""
 
+import os
+import subprocess
+import sys
 from itertools import product
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
 from grids import cube, day, found
 
+from pelagrid import from_frame
 from pelagrid.plans import workflows
 from pelagrid.session import shared_folder
 
@@ -90,3 +95,25 @@ def test_only_a_local_session_may_make_its_own_folder():
         shared_folder(session(**{"spark.master": "yarn"}))
     path = shared_folder(session(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs:///shared/"}))
     assert path.startswith("hdfs:///shared/") and "//" not in path[len("hdfs://"):].lstrip("/")
+
+
+@pytest.mark.parametrize("values, bands", [([2.0, 2.0, None], [0, 0, None]), ([None, None], [None, None])])
+def test_bands_of_a_constant_field(spark, values, bands):
+    frame = spark.createDataFrame(list(enumerate(values)), "cell int, so double")
+    found = workflows.robust_bands(from_frame(frame, ("cell",)), "so").orderBy("cell")
+    assert [r.band for r in found.collect()] == bands
+
+
+def test_intermediates_need_no_setting(tmp_path):
+    """In a process of its own, as its session has no folder named."""
+    code = """
+from pyspark.sql import SparkSession
+from pelagrid import from_frame, robust_limits
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", None)
+print("LIMITS", tuple(robust_limits(from_frame(spark.range(11).selectExpr("id", "double(id) so"), ("id",)), "so").first()))
+"""
+    home = Path(__file__).resolve().parents[1]
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300,
+                          env=os.environ | {"PYTHONPATH": str(home), "SPARK_CONF_DIR": str(tmp_path)})
+    assert "LIMITS (0.2, 9.8)" in done.stdout, done.stderr[-2000:]
