@@ -146,7 +146,7 @@ def test_language(odd, none):
 def test_quality(odd, none):
     found = by(quality.judged(odd), "id", *quality.COUNTS, "base_failed", "kept")
     assert (1, 0, 0, 0, 0, 0, True, False) in found
-    assert found.count((4, 12, 39, 0, 0, 0, False, True)) == 2
+    assert found.count((4, 12, 40, 0, 0, 0, False, True)) == 2
     assert len(found) == odd.count()
     assert quality.judged(none).count() == 0
 
