@@ -196,7 +196,7 @@ class Cube:
     def values(self, most: int = 1_000_000) -> pa.Table:
         """The ordered cells as an Arrow table in the driver. For small results:
         more than `most` cells raise instead of being cut."""
-        found = self.frame.count()
-        if found > most:
-            raise ValueError(f"{found} cells are more than {most}; reduce or select before taking values")
-        return self.table().toArrow()
+        found = self.table().limit(most + 1).toArrow()
+        if found.num_rows > most:
+            raise ValueError(f"there are over {most} cells; reduce or select before taking values")
+        return found

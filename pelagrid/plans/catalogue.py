@@ -284,6 +284,13 @@ def profile_table(spark, folder):
         tables.field(spark, folder), vertical, None, (slice(20, 22), slice(4, 6)), (1, 1), ("so", "tx", "w"))
 
 
+def profile_instant(spark, folder):
+    """Horizontal components at one instant beside a time-mean vertical one."""
+    vertical = _vertical(spark, folder).rename({"lat": "latitude", "lon": "longitude"})
+    return workflows.velocity_profile(
+        tables.yearly(spark, folder), vertical, 2, (slice(20, 22), slice(4, 6)), (1, 1), ("so", "tx", "w"))
+
+
 def profile_series(spark, folder):
     return combine.profile_series(profile_table(spark, folder), workflows.DEPTH)
 
@@ -398,4 +405,5 @@ QUERIES: dict[str, Query] = {
     "q_store_descending": store_descending,
     "q_store_sparse_axis": store_sparse_axis,
     "q_combine_names": combine_names,
+    "q_profile_instant": profile_instant,
 }

@@ -213,4 +213,10 @@ SELECT time, depth, longitude, so FROM field JOIN ilat USING (latitude)
 WHERE ilat.i = 30 AND latitude NOT BETWEEN 5 AND 15 AND time >= TIMESTAMP '1998-01-01'""",
     "q_combine_names": f"""WITH {FIELD} SELECT time, depth, latitude, longitude, so, CAST(NULL AS DOUBLE) AS tx FROM field WHERE depth <= 3
 UNION ALL SELECT time, depth, latitude, longitude, NULL, tx FROM field WHERE depth > 3""",
+    "q_profile_instant": f"""WITH {FIELD}, {PROFILE},
+years AS (SELECT date_trunc('year', time) AS t, depth, floor(avg(so) + 0.5) AS u, floor(avg(tx) + 0.5) AS v
+  FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude) WHERE ilat.i = 21 AND ilon.i = 5 GROUP BY ALL),
+stamps AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT date_trunc('year', time) AS t FROM field))
+SELECT p.depth AS "depth [m]", y.u AS "u [m/s]", y.v AS "v [m/s]", p.w AS "w[m/s]"
+FROM profile p LEFT JOIN (SELECT depth, u, v FROM years JOIN stamps USING (t) WHERE i = 2) y USING (depth)""",
 }

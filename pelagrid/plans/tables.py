@@ -38,6 +38,15 @@ def field(spark: SparkSession, folder: str) -> Cube:
     ), ("time", *PLACE))
 
 
+def yearly(spark: SparkSession, folder: str) -> Cube:
+    """The field with one instant a year, a cell being the rounded mean of that year."""
+    whole = field(spark, folder)
+    year = F.make_date(F.year("time"), F.lit(1), F.lit(1)).cast("timestamp_ntz").alias("time")
+    means = whole.frame.groupBy(year, *PLACE).agg(
+        *[F.floor(F.avg(v) + 0.5).cast("double").alias(v) for v in whole.data_vars])
+    return from_frame(means, whole.dims)
+
+
 def holed_field(spark: SparkSession, folder: str) -> Cube:
     """The field with NaN at the deepest level, as a masked source delivers it."""
     whole = field(spark, folder)
