@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,8 @@ COVER = (0, 1, 4, 14, 16)
 BLOCK_WORDS = 4_000_000
 ODD = 0x9E3779B97F4A7C15
 
-_PACKED = "bucket int, known boolean, ids binary, texts binary, runs binary, places binary, hashes binary"
+_FOUND = "block long, ids binary, texts binary, runs binary, places binary"
+_PACKED = f"bucket int, known boolean, {_FOUND}, hashes binary"
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,7 +41,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id: str = "doc_id",
 
     Hashes are compared within blocks first, so that a passage repeated in many
     documents is shuffled once a block; then they are dealt out by hash, as packed arrays. What was
-    found comes back by document. Nothing is formed that pairs places with each other.
+    found comes back by block, and from there by document. Nothing is formed that pairs
+    places with each other.
 
     Returns the columns of `docs`, the text replaced by the words that stay joined by
     one space (null stays null), and n_words, n_removed, which replace columns of the
@@ -52,10 +56,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id: str = "doc_id",
     texts = table.slim("text")
     keys = _keys(docs.sparkSession)
     anchors = texts.mapInArrow(_anchors(window - PERIOD + 1, keys), _PACKED)
-    likely = _gathered(_twice(anchors, 4, len(keys)))
+    likely = _gathered(_twice(anchors, 4, len(keys)), len(keys))
     asked = texts.join(likely, ["kid", "kt"])
     windows = asked.mapInArrow(_windows(window, keys), _PACKED)
-    found = _gathered(_twice(windows, 12, len(keys)))
+    found = _gathered(_twice(windows, 12, len(keys)), len(keys))
     # The same exchange of the texts serves both joins.
     judged = texts.join(found, ["kid", "kt"], "left")
     left = judged.mapInArrow(_removed(window), "kid long, kt int, left string, n_words long, n_removed long")
@@ -146,6 +150,8 @@ class Block:
         if not self.size:
             return
         ids, texts = np.array(self.ids, np.int64), np.array(self.texts, np.int32)
+        # What is found comes back together by this number; rows do not rely on it.
+        block = xxhash.xxh3_64_intdigest(ids.tobytes() + texts.tobytes()) >> 1
         doc = np.repeat(np.arange(len(ids)), self.counts)
         places, h, more = map(np.concatenate, (self.places, self.hashes, self.more))
         self.clear()
@@ -155,7 +161,7 @@ class Block:
         new[1:] = (hs[1:] != hs[:-1]) | (ms[1:] != ms[:-1])
         alone = new & np.append(new[1:], True)
         known, first = np.sort(order[~alone]), order[new]
-        rows = [_pack(-1, True, ids, texts, doc, places, known, b"")]
+        rows = [_pack(-1, True, block, ids, texts, doc, places, known, b"")]
         bucket = (h[first] % np.uint64(self.buckets)).astype(np.int32)
         by = np.lexsort((first, bucket))
         first, bucket = first[by], bucket[by]
@@ -163,13 +169,15 @@ class Block:
         for b in range(self.buckets):
             if ends[b + 1] > ends[b]:
                 part = first[ends[b]:ends[b + 1]]
-                rows.append(_pack(self.keys[b], False, ids, texts, doc, places, part, _key_bytes(h[part], more[part], self.width)))
+                rows.append(_pack(self.keys[b], False, block, ids, texts, doc, places, part, _key_bytes(h[part], more[part], self.width)))
         yield pa.RecordBatch.from_pylist([r for r in rows if r["places"]], schema=_schema())
 
 
+FOUND_SCHEMA = pa.schema([("block", pa.int64()), *[(n, pa.binary()) for n in ("ids", "texts", "runs", "places")]])
+
+
 def _schema() -> pa.Schema:
-    return pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in (
-        "ids", "texts", "runs", "places", "hashes")]])
+    return pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *FOUND_SCHEMA, ("hashes", pa.binary())])
 
 
 def _key_bytes(h: np.ndarray, more: np.ndarray, width: int) -> bytes:
@@ -177,12 +185,12 @@ def _key_bytes(h: np.ndarray, more: np.ndarray, width: int) -> bytes:
     return high.tobytes() if width == 4 else high.tobytes() + more.astype("<u8").tobytes()
 
 
-def _pack(bucket: int, known: bool, ids, texts, doc, places, at, hashes: bytes) -> dict:
+def _pack(bucket: int, known: bool, block: int, ids, texts, doc, places, at, hashes: bytes) -> dict:
     """Places in document order, the documents themselves by runs."""
     docs = doc[at]
     starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(at) else np.empty(0, int)
     runs = np.diff(np.append(starts, len(at))).astype(np.int32)
-    return {"bucket": bucket, "known": known, "ids": ids[docs[starts]].tobytes(), "texts": texts[docs[starts]].tobytes(),
+    return {"bucket": bucket, "known": known, "block": block, "ids": ids[docs[starts]].tobytes(), "texts": texts[docs[starts]].tobytes(),
             "runs": runs.tobytes(), "places": places[at].tobytes(), "hashes": hashes}
 
 
@@ -242,13 +250,13 @@ def _windows(window: int, keys: list[int]) -> Callable:
 
 
 def _twice(packed: DataFrame, width: int, parts: int) -> DataFrame:
-    """Rows (kid, kt, places) of what is found more than once, as packed arrays."""
+    """Of the packed rows the places that are found more than once."""
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {}
         for batch in found:
             for row in batch.to_pylist():
                 if row["known"]:
-                    yield from _unpacked(row, np.ones(len(row["places"]) // 4, bool))
+                    yield from _chosen(row, np.ones(len(row["places"]) // 4, bool))
                 else:
                     held.setdefault(row["bucket"], []).append(row)
         for bucket in list(held):
@@ -267,30 +275,55 @@ def _twice(packed: DataFrame, width: int, parts: int) -> DataFrame:
             again[order[:-1][same]] = True
             start = 0
             for row, n in zip(rows, sizes):
-                yield from _unpacked(row, again[start:start + n])
+                yield from _chosen(row, again[start:start + n])
                 start += n
 
     dealt = packed.repartition(parts, F.when(F.col("known"), F.hash("ids", "places")).otherwise(F.col("bucket")))
-    return dealt.mapInArrow(batches, "kid long, kt int, places binary")
-
-
-def _unpacked(row: dict, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not chosen.any():
-        return
-    ids, texts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["texts"], np.int32)
-    doc = np.repeat(np.arange(len(ids)), np.frombuffer(row["runs"], np.int32))[chosen]
-    places = np.frombuffer(row["places"], np.int32)[chosen]
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    ends = np.append(starts[1:], len(doc))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(ids[doc[starts]]), pa.array(texts[doc[starts]]),
-         pa.array([places[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
-        names=["kid", "kt", "places"])
-
-
-def _gathered(found: DataFrame) -> DataFrame:
-    """A row per document. Its arrays are together no longer than the document."""
-    return found.groupBy("kid", "kt").agg(F.collect_list("places").alias("spots"))
+    return dealt.mapInArrow(batches, _FOUND)
+
+
+def _chosen(row: dict, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The packed row with the chosen places only; nothing if there are none."""
+    if chosen.any():
+        runs = np.frombuffer(row["runs"], np.int32)
+        left = np.add.reduceat(chosen, np.cumsum(runs) - runs, dtype=np.int32)
+        some = left > 0
+        yield pa.RecordBatch.from_pylist([{
+            "block": row["block"],
+            "ids": np.frombuffer(row["ids"], np.int64)[some].tobytes(),
+            "texts": np.frombuffer(row["texts"], np.int32)[some].tobytes(),
+            "runs": left[some].tobytes(),
+            "places": np.frombuffer(row["places"], np.int32)[chosen].tobytes()}], schema=FOUND_SCHEMA)
+
+
+def _gathered(found: DataFrame, parts: int) -> DataFrame:
+    """A row (kid, kt, spots) per document. Its arrays are together no longer than the document."""
+    by_block = found.repartition(parts, "block").sortWithinPartitions("block")
+    rows = by_block.mapInArrow(_merged, "kid long, kt int, places binary")
+    return rows.groupBy("kid", "kt").agg(F.collect_list("places").alias("spots"))
+
+
+def _merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed rows of one block after the other, as a row per document."""
+    rows = (row for batch in found for row in batch.to_pylist())
+    for _, block in groupby(rows, key=itemgetter("block")):
+        held = list(block)
+
+        def all_of(name: str, kind: type) -> np.ndarray:
+            return np.frombuffer(b"".join(r[name] for r in held), kind)
+
+        ids, texts, runs, places = (
+            all_of(n, k) for n, k in (("ids", np.int64), ("texts", np.int32), ("runs", np.int32), ("places", np.int32)))
+        order = np.lexsort((texts, ids))
+        ids, texts, first, runs = ids[order], texts[order], (np.cumsum(runs) - runs)[order], runs[order]
+        ends = np.cumsum(runs)
+        places = places[np.arange(ends[-1]) + np.repeat(first - (ends - runs), runs)]
+        new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])))
+        cuts = np.append((ends - runs)[new], ends[-1])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[new]), pa.array(texts[new]),
+             pa.array([places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+            names=["kid", "kt", "places"])
 
 
 def _removed(window: int) -> Callable:
