@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from itertools import accumulate
 
@@ -35,8 +36,9 @@ def before(frame: DataFrame, order: Sequence[Column], weight: Column, name: str)
     dealt = frame.withColumn(name, weight.cast("bigint")).repartitionByRange(ranges, *order)
     kept = written(dealt.withColumn(PART, F.spark_partition_id()))
     totals = sorted(tuple(r) for r in kept.groupBy(PART).agg(F.sum(name)).collect())
-    shifts = spark.createDataFrame(
-        [(part, at) for (part, _), at in zip(totals, [0, *accumulate(n for _, n in totals)])], f"{PART} int, {SHIFT} bigint")
+    shifts = [{PART: part, SHIFT: at} for (part, _), at in zip(totals, [0, *accumulate(n for _, n in totals)])]
+    listed = F.from_json(F.lit(json.dumps(shifts)), f"array<struct<{PART}:int,{SHIFT}:bigint>>")
+    shifts = spark.range(1).select(F.inline(listed))
     earlier = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = kept.withColumn(name, F.coalesce(F.sum(name).over(earlier), F.lit(0)))
     shifted = within.join(F.broadcast(shifts), PART)
