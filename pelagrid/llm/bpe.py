@@ -18,11 +18,13 @@ from pyspark.sql import types as T
 from .common import hex_sha256
 
 # Entries a worker remembers before it starts afresh: bounds its memory.
-MOST_WORDS = 150_000
+MOST_WORDS = 80_000
+MOST_STATES = 50_000
+MOST_PAIRS = 300_000
 # Characters up to which a piece is remembered.
 LONG = 64
-MOST_STATES = 100_000
-MOST_PAIRS = 400_000
+# Rows of which a worker holds the tokens at once.
+ROWS = 256
 
 
 def ranks(path: str) -> dict[bytes, int]:
@@ -333,8 +335,10 @@ def _coded(docs: DataFrame, name: str, kind: T.DataType, function, source: str)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            made = function(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "made"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                made = function(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "made"])
 
     done = plain.mapInArrow(batches, schema)
     kept = [F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns) if n != name]
