@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pelagrid.llm import bpe, catalogue, components, mixing, quality, simhash, substring_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SAME = {"BOOLEAN": "boolean"}
 
 
 @pytest.fixture(scope="module")
