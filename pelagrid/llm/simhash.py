@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,11 +73,17 @@ def near(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """
     rows = written(fingerprints(docs, id, text))
     nodes = written(rows.groupBy("fingerprint").agg(F.min("id").alias("least")))
-    linked = components(links(nodes.select("fingerprint")))
-    rooted = nodes.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "fingerprint"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").select("fingerprint", "root", "component_id")
+    return rooted(rows, nodes, links(nodes.select("fingerprint")))
+
+
+def rooted(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """`rows` with the root and the component_id of their fingerprints; nodes has
+    each fingerprint and the least id behind it."""
+    linked = components(links)
+    found = nodes.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    found = found.withColumn("root", F.coalesce("root", "fingerprint"))
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = found.join(least, "root").select("fingerprint", "root", "component_id")
     return rows.join(known, "fingerprint").select("kid", "kt", "id", "fingerprint", "root", "component_id")
 
 
@@ -184,9 +190,11 @@ def joined(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return pairs
 
 
-def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of `docs`, of each component one row: the one with the least id, null
-    last; of rows that repeat that id, or have none, the one with the least fingerprint
+def one_of_each(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", near: Callable[..., DataFrame] = near,
+) -> DataFrame:
+    """The columns of `docs`, of each component of `near` one row: the one with the least id,
+    null last; of rows that repeat that id, or have none, the one with the least fingerprint
     and hash of its text."""
     table = Docs(docs, id, text)
     found = near(docs, id, text)
