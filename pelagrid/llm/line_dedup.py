@@ -12,11 +12,13 @@ RUN = 3
 GRAM = 2
 
 
-def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, run: int = RUN, gram: int = GRAM, id: str = "doc_id", text: str = "text", words: int | None = None,
+) -> DataFrame:
     """The documents without the lines of later repeated runs.
 
     A run is `run` or more consecutive lines of one document, lines without a word
-    not counted. Of equal runs the first one, by document id and then by place,
+    not counted; with `words`, fewer lines of so many words in all are one too. Of equal runs the first one, by document id and then by place,
     stays; the lines of every later one go. Lines compare exactly. A text in which
     nothing repeats is returned as it is, to the byte.
 
@@ -25,7 +27,7 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id: str = "do
     runs share one at the same place. Fingerprints found once in the corpus end
     there. Around the others a match is extended to both sides, to all runs of
     `run` lines over the place, and a run is deleted where an equal one comes earlier.
-    Longer repeats are unions of such runs. No pairs are formed: each place meets
+    Longer repeats are unions of such runs. A run of fewer lines is its own fingerprint. No pairs are formed: each place meets
     only the first place of its group.
 
     Null or empty texts have no lines and stay as they are; null ids come first.
@@ -36,17 +38,17 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id: str = "do
     if not 1 <= gram <= run:
         raise ValueError(f"need 1 <= gram <= run, got {gram}, {run}")
     table = Docs(docs, id, text)
-    runs = written(table.slim(F.explode(_runs(F.col("text"), run, gram)).alias("r")).select("kid", "kt", "r.*"))
+    runs = written(table.slim(F.explode(_runs(F.col("text"), run, gram, words)).alias("r")).select("kid", "kt", "r.*"))
     place = F.struct("kid", "kt", "mark")
     repeated = runs.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
     likely = runs.join(repeated.select("print"), "print", "left_semi")
     here = F.struct("kid", "kt", "start")
-    first = likely.groupBy("one", "two").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last")
-    later = likely.join(first, ["one", "two"]).where(here > F.col("first"))
-    gone = later.groupBy("kid", "kt").agg(F.collect_set("start").alias("starts"))
+    first = likely.groupBy("one", "two", "count").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last")
+    later = likely.join(first, ["one", "two", "count"]).where(here > F.col("first"))
+    gone = later.groupBy("kid", "kt").agg(F.collect_set(F.struct("start", "count")).alias("starts"))
 
     joined = table.frame.join(gone, ["kid", "kt"], "left")
-    left = let(F.struct(F.split("text", "\n").alias("lines"), F.col("starts").alias("starts")), lambda x: _left(x, run))
+    left = let(F.struct(F.split("text", "\n").alias("lines"), F.col("starts").alias("starts")), _left)
     done = joined.withColumn("left", left)
     return table.restored(
         done,
@@ -54,13 +56,16 @@ def dedup_lines(docs: DataFrame, run: int = RUN, gram: int = GRAM, id: str = "do
            "n_lines": F.col("left.n_lines").cast("bigint"), "n_removed": F.col("left.n_removed").cast("bigint")})
 
 
-def _runs(text: Column, run: int, gram: int) -> Column:
+def _runs(text: Column, run: int, gram: int, words: int | None) -> Column:
     """Every `run` consecutive lines with a word: `start` (number of its first line
-    among those), two hashes of the whole, and its fingerprint: the least hash of
-    its grams and the number of the line that one starts at."""
+    among those), `count` of lines, two hashes of the whole, and its fingerprint: the
+    least hash of its grams and the number of the line that one starts at. Besides, all
+    fewer lines of `words` or more words in all, their fingerprint a hash of the whole."""
     lines = F.transform(
         F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD)),
-        lambda x: F.struct(F.xxhash64(x).alias("one"), F.xxhash64(F.lit(1), x).alias("two")))
+        lambda x: F.struct(
+            F.xxhash64(x).alias("one"), F.xxhash64(F.lit(1), x).alias("two"),
+            *([F.regexp_count(x, F.lit(WORD)).alias("words")] if words else [])))
 
     def whole(x: Column, at: Column, count: int, name: str) -> Column:
         return F.xxhash64(*[x[at + k][name] for k in range(count)])
@@ -74,20 +79,36 @@ def _runs(text: Column, run: int, gram: int) -> Column:
             F.array_min(F.array(*[
                 F.struct(x["grams"][s + k].alias("hash"), (s + k).alias("at")) for k in range(run - gram + 1)])),
             lambda least: F.struct(
-                s.alias("start"), least["hash"].alias("print"), least["at"].alias("mark"),
+                s.alias("start"), F.lit(run).alias("count"), least["hash"].alias("print"), least["at"].alias("mark"),
                 whole(x["lines"], s, run, "one").alias("one"), whole(x["lines"], s, run, "two").alias("two"))))
 
-    return let(lines, lambda x: F.when(F.size(x) >= run, with_grams(x)))
+    def of_words(x: Column, count: int) -> Column:
+        """Nulls where `count` lines have too few words."""
+        return F.when(F.size(x) >= count, F.transform(F.sequence(F.lit(0), F.size(x) - count), lambda s: F.when(
+            sum((x[s + k]["words"] for k in range(1, count)), x[s]["words"]) >= words,
+            F.struct(
+                s.alias("start"), F.lit(count).alias("count"),
+                F.xxhash64(F.lit(count), whole(x, s, count, "one")).alias("print"), s.alias("mark"),
+                whole(x, s, count, "one").alias("one"), whole(x, s, count, "two").alias("two")))))
 
+    def all_(x: Column) -> Column:
+        runs = F.when(F.size(x) >= run, with_grams(x))
+        if not words:
+            return runs
+        fewer = [F.coalesce(of_words(x, k), F.array()) for k in range(1, run)]
+        return F.concat(F.coalesce(runs, F.array()), *[F.filter(f, lambda y: y.isNotNull()) for f in fewer])
 
-def _left(x: Column, run: int) -> Column:
-    """What is left of the lines without the runs that start at `starts`, as a
-    struct: text, and the numbers of lines with a word, in all and gone."""
+    return let(lines, all_)
+
+
+def _left(x: Column) -> Column:
+    """What is left of the lines without the runs of `starts`, each a start and a
+    count of lines, as a struct: text, and the numbers of lines with a word, in all and gone."""
     places = F.filter(
         F.transform(x["lines"], lambda line, i: F.when(line.rlike(WORD), i)), lambda i: i.isNotNull())
 
     def counted(y: Column) -> Column:
-        gone = F.array_distinct(F.flatten(F.transform(y["starts"], lambda s: F.slice(y["places"], s + 1, run))))
+        gone = F.array_distinct(F.flatten(F.transform(y["starts"], lambda s: F.slice(y["places"], s["start"] + 1, s["count"]))))
         return let(F.struct(y["lines"].alias("lines"), y["places"].alias("places"), F.coalesce(gone, F.array().cast("array<int>")).alias("gone")), joined)
 
     def joined(z: Column) -> Column:
