@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Docs
@@ -17,9 +17,9 @@ from .common import Docs
 ORDERS = (1, 2, 3)
 FEATURES = 1 << 15
 # The model is fitted on about so many labelled documents, spread evenly over the
-# languages; at most so many languages, the most frequent ones, are learned.
+# languages; of each language on about so many at least, if there are.
 SAMPLE = 3000
-CLASSES = 200
+LEAST_ROWS = 20
 UNKNOWN = "und"
 
 
@@ -36,21 +36,29 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature and language, with those of features that matter to none
-    left at zero; idf by feature; the temperature that the scores are calibrated with."""
+    """The weights that are not zero, by feature: those of feature f are at starts[f] to
+    starts[f + 1], each with the number of its language; idf by feature; the
+    temperature that the scores are calibrated with."""
 
     languages: list[str]
+    starts: np.ndarray
+    language: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     idf: np.ndarray
     temperature: float
 
-    def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return tfidf(at, counts, self.idf) @ self.weights[at] + self.bias
+    def logits(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+        starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(lengths)
+        found = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        sums = np.bincount(
+            self.language[found], self.weights[found] * np.repeat(x, lengths), minlength=len(self.languages))
+        return sums + self.bias
 
     def predict(self, text: str) -> tuple[str, float]:
         at, counts = grams(text)
-        p = softmax(self.logits(at, counts) / self.temperature)
+        p = softmax(self.logits(at, tfidf(at, counts, self.idf)) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -87,19 +95,20 @@ def fit(docs: DataFrame, usable: Column, id: str = "doc_id", text: str = "text",
     """A model from the rows that are `usable` and have a language and a letter;
     None if there are none.
 
-    The idf counts all of those rows, task by task, FEATURES sums in the end. The
-    weights come from a sample of SAMPLE rows in expectation, drawn by a hash of id and text, alike
-    for every language, and never over twice that. A fifth of it is held back to
-    set the temperature.
+    The idf counts all of those rows, task by task, FEATURES sums in the end. Every
+    language is learned. The weights come from a sample, drawn by a hash of id and text,
+    of SAMPLE rows in expectation, alike for every language, or LEAST_ROWS a language
+    if those are more, and never over twice that. A fifth of it is held back to
+    set the temperature. While it learns the driver holds 16 * FEATURES bytes a language.
     """
     table = Docs(docs.where(usable), id, text)
     rows = table.slim("text", table.column(lang).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()
-    if not frequent:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    languages = sorted(r["lang"] for r in frequent)
-    total = sum(r["count"] for r in frequent)
+    languages = sorted(sizes)
+    total = sum(sizes.values())
 
     found = rows.select("text").mapInPandas(_document_counts, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     having = np.zeros(FEATURES)
@@ -108,16 +117,19 @@ def fit(docs: DataFrame, usable: Column, id: str = "doc_id", text: str = "text",
     idf = np.log((1.0 + total) / (1.0 + having)) + 1.0
 
     chance = F.pmod(F.xxhash64("kid", "kt", F.lit("sample")), F.lit(2**30)) / F.lit(2.0**30)
-    limits = {r["lang"]: min(1.0, SAMPLE / len(languages) / r["count"]) for r in frequent}
-    limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("lang")]
-    sample = rows.withColumn("chance", chance).where(F.col("chance") < limit)
+    each = max(SAMPLE / len(languages), LEAST_ROWS)
+    limits = docs.sparkSession.createDataFrame(
+        [(name, min(1.0, each / n)) for name, n in sizes.items()], "lang string, limit double")
+    sample = rows.withColumn("chance", chance).join(F.broadcast(limits), "lang").where(F.col("chance") < F.col("limit"))
     # A bound for the driver's memory even if ids and texts repeat without end.
-    sample = sample.orderBy("chance", "kid", "kt").limit(2 * SAMPLE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "kid", "kt"))
+    sample = sample.withColumn("rank", rank).where(F.col("rank") <= int(2 * each))
     taken = sample.select("lang", "chance", "text").mapInPandas(
         _features, "lang string, chance double, features binary, counts binary").toPandas()
     taken = taken.sort_values(["chance", "features", "lang"]).reset_index(drop=True)
+    number = {name: i for i, name in enumerate(languages)}
     examples = [
-        (np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), languages.index(name))
+        (np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), number[name])
         for f, c, name in zip(taken["features"], taken["counts"], taken["lang"])]
     return trained(examples, languages, idf)
 
@@ -126,8 +138,11 @@ def trained(examples: list, languages: list[str], idf: np.ndarray, settings: Set
     """FTRL-proximal over the examples (features, counts, language), in an order of
     its own each pass, then the temperature from every fifth of them."""
     prepared = [(at, tfidf(at, counts, idf), y) for at, counts, y in examples]
-    held = prepared[::5] if len(prepared) >= 5 else []
-    seen = [e for i, e in enumerate(prepared) if i % 5 or not held]
+    fifth = len(prepared) >= 5
+    known = {e[2] for i, e in enumerate(prepared) if i % 5 or not fifth}
+    # What would leave a language without any example is not held back.
+    held = [e for e in prepared[::5] if e[2] in known] if fifth else []
+    seen = [e for i, e in enumerate(prepared) if i % 5 or not fifth or e[2] not in known]
     shape = (FEATURES + 1, len(languages))
     z, n = np.zeros(shape), np.zeros(shape)
     s, draw = settings, np.random.default_rng(7)
@@ -143,15 +158,21 @@ def trained(examples: list, languages: list[str], idf: np.ndarray, settings: Set
             grown = n[at] + g * g
             z[at] += g - (np.sqrt(grown) - np.sqrt(n[at])) / s.alpha * w
             n[at] = grown
-    w = _weights(z, n, s)
-    w[FEATURES] = _weights(z[FEATURES:], n[FEATURES:], Settings(s.alpha, s.beta, 0.0, s.l2))[0]
-    model = Model(languages, w[:FEATURES].astype(np.float32), w[FEATURES], idf, 1.0)
+    bias = _weights(z[FEATURES:], n[FEATURES:], Settings(s.alpha, s.beta, 0.0, s.l2))[0]
+    counts, language, weights = [], [], []
+    for at in range(0, FEATURES, 1024):
+        w = _weights(z[at:min(at + 1024, FEATURES)], n[at:min(at + 1024, FEATURES)], s).astype(np.float32)
+        counts.append(np.count_nonzero(w, axis=1))
+        language.append(np.nonzero(w)[1].astype(np.int32))
+        weights.append(w[w != 0])
+    model = Model(
+        languages, np.append(0, np.cumsum(np.concatenate(counts))), np.concatenate(language), np.concatenate(weights), bias, idf, 1.0)
     if not held:
         return model
-    logits = np.array([x @ model.weights[at] + model.bias for at, x, _ in held])
+    logits = np.array([model.logits(at, x) for at, x, _ in held])
     right = np.array([y for _, _, y in held])
     steps = np.exp(np.linspace(np.log(0.25), np.log(20), 121))
-    return Model(languages, model.weights, model.bias, idf, float(min(steps, key=lambda t: _loss(logits / t, right))))
+    return replace(model, temperature=float(min(steps, key=lambda t: _loss(logits / t, right))))
 
 
 def _weights(z: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
