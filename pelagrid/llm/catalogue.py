@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     bpe,
+    centroids,
+    conversations,
     exact_dedup,
     language,
     license_scan,
@@ -18,6 +20,7 @@ from . import (
     sharding,
     simhash,
     substring_dedup,
+    suffix_tree,
 )
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -36,11 +39,11 @@ def encoded(docs: DataFrame) -> DataFrame:
     return bpe.digest(docs, VOCABULARY, PATTERN)
 
 
-def _over_documents(digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: digest(documents(spark, folder))
+def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, folder: digest(spark.read.parquet(f"{folder}/{table}.parquet"))
 
 
-QUERIES = {name: _over_documents(digest) for name, digest in {
+QUERIES = {name: _over("documents", digest) for name, digest in {
     "op1_line_dedup": line_dedup.digest,
     "op2_exact_dedup": exact,
     "op3_mixing": mixing.digest,
@@ -51,9 +54,13 @@ QUERIES = {name: _over_documents(digest) for name, digest in {
     "op8_substring_dedup": substring_dedup.digest,
     "op9_simhash": simhash.digest,
     "op10_license_scan": license_scan.digest,
-}.items()}
+    "op11_lm_scoring": suffix_tree.digest,
+}.items()} | {
+    "op12_centroid_clustering": _over("embeddings", centroids.digest),
+    "op13_conversation_repair": _over("conversations", conversations.digest),
+}
 
-# Where SQL cannot say it (the cube method, BPE, a trained model, XXH64), tests
+# Where SQL cannot say it (the cube method, BPE, a trained model, XXH64, CRC-32), tests
 # compare with brute force instead.
 SQL = {
     "op1_line_dedup": line_dedup.oracle_sql(),
@@ -62,4 +69,5 @@ SQL = {
     "op7_sharding": sharding.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
     "op10_license_scan": license_scan.ORACLE_SQL,
+    "op12_centroid_clustering": centroids.oracle_sql(),
 }

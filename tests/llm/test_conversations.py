@@ -1,0 +1,150 @@
+"""Conversation repair against a search over all edits, and on odd tables."""
+
+import hashlib
+import heapq
+import random
+import re
+import zlib
+
+import pytest
+
+from pelagrid.llm import conversations
+from pelagrid.llm.catalogue import QUERIES
+
+EMPTY = hashlib.sha256().hexdigest()
+
+
+def slow_edits(turns):
+    """(cost, audit, repaired turns) by a search ordered by (cost, audit). turns: (role, text, fault)."""
+    queue = [(0, "", 0, "", ())]
+    seen = set()
+    while queue:
+        cost, audit, i, roles, made = heapq.heappop(queue)
+        # What may still follow depends on the last two initials only.
+        if (i, roles[-1:], len(roles) == 1 and roles) in seen:
+            continue
+        seen.add((i, roles[-1:], len(roles) == 1 and roles))
+        if i == len(turns) and re.fullmatch("(s?(ua)+)?", roles):
+            return cost, audit, made
+        found = []
+        for role in ("user", "assistant"):
+            found.append((3, "I", i, role[0], (f"{role}:",)))
+        if i < len(turns):
+            role, text, fault = turns[i]
+            found.append((4, "D", i + 1, "", ()))
+            if fault not in ("blank", "duplicate"):
+                more = 3 if fault == "truncated" else 0
+                found.append((more, "K", i + 1, role[:1] or "?", (f"{role}:{text}",)))
+                for new in ("user", "assistant"):
+                    found.append((more + 3, "R", i + 1, new[0], (f"{new}:{text}",)))
+        for price, edit, at, initial, line in found:
+            # Only what can still become the pattern.
+            if re.fullmatch("(s?(ua)*u?)?", roles + initial):
+                heapq.heappush(queue, (cost + price, audit + edit, at, roles + initial, made + line))
+
+
+def slow(rows):
+    """Results of the query by conv_id, from (conv_id, turn, role, text)."""
+    ids, after = {r[0] for r in rows}, {}
+    for conv, turn, role, text in rows:
+        role, text = role if role is not None else " ", text if text is not None else " "
+        code = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if code == 1 else re.sub("[.!?]", "", text) if code == 2 else text
+        role = "user" if code == 4 else role
+        after.setdefault(conv, []).extend([(turn, role, text)] * {0: 0, 3: 2}.get(code, 1))
+    out = {}
+    for conv in ids:
+        turns, seen, marked = after.get(conv, []), set(), []
+        turns.sort(key=lambda t: (t[0] is not None, t[0] or 0))
+        for _, role, text in turns:
+            left = text.strip(" \t\n\x0b\x0c\r")
+            fault = "blank" if not left else "duplicate" if (role, text) in seen else None if left[-1] in ".!?" else "truncated"
+            seen.add((role, text))
+            marked.append((role, text, fault))
+        known = [t[0] for t in turns if t[0] is not None]
+        cost, audit, lines = slow_edits(marked)
+        out[conv] = (
+            max(known) - min(known) + 1 - len(set(known)) if known else 0,
+            *[sum(m[2] == f for m in marked) for f in ("blank", "duplicate", "truncated")],
+            sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(marked, marked[1:])),
+            cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+COLUMNS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def found(frame):
+    rows = frame.collect()
+    out = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+def test_query_agrees_with_search(spark, folder):
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert found(QUERIES["op13_conversation_repair"](spark, folder)) == slow(rows)
+
+
+def test_random_conversations_of_many_lengths(spark):
+    rng = random.Random(5)
+    rows = []
+    for conv in range(60):
+        for turn in range(rng.choice([1, 2, 3, 7, 20, 45])):
+            role = rng.choice(["system", "user", "user", "assistant", "assistant", "tool", "", None])
+            text = rng.choice(["", None, " \n", "Yes.", "No", "Why?", f"It is {turn}.", f"Then {rng.random()}!", "ä…\x85", f"x{turn} .\t\n"])
+            rows.append((conv, turn * rng.choice([1, 1, 1, 2]) + 100 * turn, role, text))
+    rows += [(None, 1, "user", "a."), (None, 2, "assistant", "b."), (None, None, "system", "c.")]
+    rows += [(-5, None, "user", None)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    clash = frame.selectExpr("*", "1 AS at", "'x' AS conv", "2 AS block", "text AS audit", "3 AS part", "4 AS copy")
+    assert found(conversations.digest(clash)) == slow(rows)
+
+
+def test_ties_and_repeated_rows(spark):
+    """Equal rows are turns of their own; the second one is a duplicate."""
+    rows = [(1, 4, "user", "Same.")] * 3 + [(1, 5, "assistant", "Same.")] * 2
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert found(conversations.digest(frame)) == slow(rows)
+    done = conversations.Repaired(frame)
+    assert [(r["role"], r["text"]) for r in done.turns().orderBy("at", "part").collect()] == [("user", "Same."), ("assistant", "Same.")]
+    assert done.edits.first()["audit"] == "KDDKD" and done.faults.first()["duplicate"] == 3
+
+
+def test_long_conversation_and_text(spark):
+    rows = [(7, t, ("user", "assistant")[t % 2], f"Turn {t}.") for t in range(3000)] + [(8, 0, "user", "long " * 200_000)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert found(conversations.digest(frame)) == slow(rows)
+    blocks = conversations.Repaired(frame)._audits.where("conv = '=7'")
+    assert blocks.count() == 55 and blocks.selectExpr("max(length(audit))").first()[0] <= 57
+
+
+def test_empty_table(spark):
+    frame = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    assert conversations.digest(frame).collect() == []
+    assert conversations.Repaired(frame).turns().collect() == []
+
+
+def test_conversation_that_damage_leaves_empty(spark):
+    gone = next(t for t in range(1000) if zlib.crc32(f"1:{t}".encode()) % 20 == 0)
+    frame = spark.createDataFrame([(1, gone, "user", "Hello.")], "conv_id bigint, turn bigint, role string, text string")
+    assert found(conversations.digest(frame)) == {1: (0, 0, 0, 0, 0, 0, "", EMPTY)}
+
+
+@pytest.mark.parametrize("marks", ["", "u", "a", "s", "su", "xx", "oUuaA", "ssaauu", "UAUAoxs"])
+def test_blocks_do_not_matter(marks):
+    """The matrices of any cut give the costs of the whole."""
+    whole = conversations.AT_END
+    for mark in reversed(marks):
+        whole = conversations.step(mark, whole)
+    for cut in range(len(marks) + 1):
+        after = conversations.AT_END
+        for part in (marks[cut:], marks[:cut]):
+            columns = []
+            for end in range(4):
+                costs = tuple(0 if s == end else conversations.FAR for s in range(4))
+                for mark in reversed(part):
+                    costs = conversations.step(mark, costs)
+                columns.append(costs)
+            after = tuple(min(columns[t][s] + after[t] for t in range(4)) for s in range(4))
+        assert after == whole
