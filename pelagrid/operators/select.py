@@ -29,8 +29,9 @@ def require_dims(cube: Cube, *dims: str) -> None:
         raise KeyError(f"no dimension {unknown}; there are {list(cube.dims)}")
 
 
-def restrict(cube: Cube, dim: str, low: Any, high: Any) -> Cube:
-    """Cells and axis inside the closed interval, an open end being None. On the
+def restrict(cube: Cube, dim: str, low: Any, high: Any, known: tuple[int, int] | None = None) -> Cube:
+    """Cells and axis inside the closed interval, an open end being None; `known` are the
+    positions of the source axis it has, where they are known. On the
     time of a cube stored by year the year partitions are named as well: Spark
     derives no partition filter from a range of timestamps."""
     tests, years = [], []
@@ -44,10 +45,10 @@ def restrict(cube: Cube, dim: str, low: Any, high: Any) -> Cube:
     if low is not None and low == high:
         tests = [F.col(dim) == typed_literal(low, cube.dtype(dim))]
     frame, axis = cube.frame, cube.axes[dim]
-    for test in tests:
-        frame, axis = frame.where(test), axis.where(test)
-    for test in years:
+    for test in (*tests, *years):
         frame = frame.where(test)
+    if tests:
+        axis = axis.where(*tests, known=known)
     return replace(cube, frame=frame, axes={**cube.axes, dim: axis})
 
 
@@ -95,10 +96,9 @@ def _bounds(where: int | slice, axis: Axis) -> tuple[int, int | None]:
     return max(at(where.start or 0), 0), stop
 
 
-def _span(axis: Axis, start: int, stop: int | None) -> DataFrame:
-    """Least and greatest coordinate of the wanted positions, as a one-row frame.
-    With an open end only the value at `start` is looked up."""
-    wanted = axis.between(start, start + 1 if stop is None else stop)
+def _ends(wanted: DataFrame, axis: Axis, stop: int | None) -> DataFrame:
+    """Least and greatest coordinate of the looked up rows, as a one-row frame; with an
+    open end the one at the start."""
     dtype = axis.source.schema[axis.name].dataType
     low, high = carried(F.min(axis.name), dtype), carried(F.max(axis.name), dtype)
     nothing = F.lit(None).cast(dtype)
@@ -107,25 +107,35 @@ def _span(axis: Axis, start: int, stop: int | None) -> DataFrame:
     return wanted.agg(F.count(axis.name).alias("n"), low.alias("low"), high.alias("high"))
 
 
+def settle(axes: Mapping[str, Axis]) -> None:
+    """Find out what selections by label have left of the axes, all in one job."""
+    with ThreadPoolExecutor() as pool:  # ranking a source axis runs jobs of its own
+        list(pool.map(lambda a: a.ranks.length, axes.values()))
+    if open_ := {d: a for d, a in axes.items() if not a.settled}:
+        for d, found in one_row_each({d: a.reach() for d, a in open_.items()}).items():
+            open_[d].settle(found["first"], found["last"], found["n"])
+
+
 def isel(cube: Cube, where: Mapping[str, int | slice]) -> Cube:
     require_dims(cube, *where)
     if not where:
         return cube
-    bounds = {d: _bounds(w, cube.axes[d]) for d, w in where.items()}
-    # Ranking an axis runs jobs of its own: all axes at once.
-    with ThreadPoolExecutor() as pool:
-        asked = pool.map(lambda d: _span(cube.axes[d], *bounds[d]), bounds)
-        spans = one_row_each(dict(zip(bounds, asked)))
+    axes = {d: cube.axes[d] for d in where}
+    settle(axes)
+    bounds = {d: _bounds(w, axes[d]) for d, w in where.items()}
+    lookups = {d: axes[d].lookup(*bounds[d]) for d in where}
+    asked = {d: _ends(rows, axes[d], bounds[d][1]) for d, (rows, _) in lookups.items() if rows is not None}
+    ends = one_row_each(asked) if asked else {}
     points = [d for d, w in where.items() if not isinstance(w, slice)]
-    for dim, found in spans.items():
-        if found["n"]:
-            cube = restrict(cube, dim, found["low"], found["high"])
+    for dim in where:
+        if dim in ends and ends[dim]["n"]:
+            cube = restrict(cube, dim, ends[dim]["low"], ends[dim]["high"], lookups[dim][1])
         elif dim in points:
             raise IndexError(f"position {where[dim]} is outside axis {dim}")
         else:
             nothing = F.lit(False)
-            axes = {**cube.axes, dim: cube.axes[dim].where(nothing)}
-            cube = replace(cube, frame=cube.frame.where(nothing), axes=axes)
+            axis = cube.axes[dim].where(nothing, known=(0, 0))
+            cube = replace(cube, frame=cube.frame.where(nothing), axes={**cube.axes, dim: axis})
     return without(cube, points)
 
 

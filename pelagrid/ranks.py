@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,15 +31,33 @@ def before(frame: DataFrame, order: Sequence[Column], weight: Column, name: str)
     stay what they are if an executor is lost. Each range is added up on its own and
     shifted by the total of the ranges before it; the driver holds one number a range.
     """
+    return _before(frame, order, weight, name, written)[0]
+
+
+def ranked_in_memory(frame: DataFrame, order: Sequence[Column], name: str = "position") -> tuple[DataFrame, int]:
+    """`ranked` for what is asked often, such as an axis, and the number of rows. Ranges and ranks
+    are cached by Spark and not written: `frame` must give the same rows each time. A lost part of
+    the cache comes again from the ranges that were drawn before, as they belong to the cached plan."""
+    ranks, n = _before(frame, order, F.lit(1), name, cached)
+    return cached(ranks), n
+
+
+def cached(frame: DataFrame) -> DataFrame:
+    return frame if frame.storageLevel.useMemory else frame.persist()
+
+
+def _before(frame: DataFrame, order: Sequence[Column], weight: Column, name: str,
+            frozen: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
     spark = frame.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = frame.withColumn(name, weight.cast("bigint")).repartitionByRange(ranges, *order)
-    kept = written(dealt.withColumn(PART, F.spark_partition_id()))
+    kept = frozen(dealt.withColumn(PART, F.spark_partition_id()))
     totals = sorted(tuple(r) for r in kept.groupBy(PART).agg(F.sum(name)).collect())
-    shifts = [{PART: part, SHIFT: at} for (part, _), at in zip(totals, [0, *accumulate(n for _, n in totals)])]
+    ends = [0, *accumulate(n for _, n in totals)]
+    shifts = [{PART: part, SHIFT: at} for (part, _), at in zip(totals, ends)]
     listed = F.from_json(F.lit(json.dumps(shifts)), f"array<struct<{PART}:int,{SHIFT}:bigint>>")
     shifts = spark.range(1).select(F.inline(listed))
     earlier = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     within = kept.withColumn(name, F.coalesce(F.sum(name).over(earlier), F.lit(0)))
     shifted = within.join(F.broadcast(shifts), PART)
-    return shifted.withColumn(name, F.col(name) + F.col(SHIFT)).drop(PART, SHIFT)
+    return shifted.withColumn(name, F.col(name) + F.col(SHIFT)).drop(PART, SHIFT), ends[-1]

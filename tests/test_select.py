@@ -3,6 +3,7 @@ import time
 import pytest
 from grids import cube, day, found, patch
 from plans import plan_text
+from pyspark.sql import functions as F
 
 from pelagrid import from_frame
 
@@ -152,7 +153,7 @@ def test_values_come_in_axis_order_and_too_many_raise(spark):
 
 
 def test_positions_come_from_ranges(spark):
-    axis = patch(spark).axes["latitude"]
+    axis = from_frame(spark.sql("select 10.0D + id % 4 as latitude, 1.0D as so from range(40)"), ("latitude",)).axes["latitude"]
     assert found(axis.positions) == [(10.0 + i, i) for i in range(4)]
     assert dict(axis.positions.dtypes)["position"] == "bigint"
     plan = plan_text(axis.positions)
@@ -217,3 +218,29 @@ def test_a_variable_that_varies_is_not_kept_without_its_dimension(spark):
 def test_mean_without_names_is_over_all_dimensions(spark):
     assert found(patch(spark).mean().frame) == found(patch(spark).mean("latitude", "longitude").frame)
     assert patch(spark).mean().dims == ()
+
+
+def test_chained_positions_are_offsets_of_one_ranking(spark, tmp_path, monkeypatch):
+    """No selection ranks again or writes a table; an interval by label counts from its first position."""
+    from pelagrid import axis as axes
+
+    grid = patch(spark, 6)
+    grid.positions("latitude")
+    monkeypatch.setattr(axes, "ranked_in_memory", None)
+    monkeypatch.setattr(axes, "ranked", None)
+    inner = grid.isel(latitude=slice(1, 5)).isel(latitude=slice(1, None))
+    assert inner.axes["latitude"].known == (2, 5) and inner.axes["latitude"].ranks is grid.axes["latitude"].ranks
+    assert found(inner.positions("latitude")) == [(12.0, 0), (13.0, 1), (14.0, 2)]
+    assert {r.so for r in inner.isel(latitude=-1).frame.collect()} == {40.0 + j for j in range(6)}
+    labels = grid.sel_range(latitude=(11.5, 14))
+    assert labels.axes["latitude"].span == (2, 5)
+    assert {r.so for r in labels.isel(latitude=1).frame.collect()} == {30.0 + j for j in range(6)}
+    with pytest.raises(IndexError):
+        labels.isel(latitude=3)
+
+
+def test_an_axis_with_gaps_is_ranked_anew(spark):
+    grid = patch(spark)
+    axis = grid.axes["latitude"].where(F.col("latitude") != 11.0)
+    assert axis.span is None and axis.length == 3
+    assert found(axis.positions) == [(10.0, 0), (12.0, 1), (13.0, 2)]
