@@ -9,12 +9,12 @@ from .operators.plotdata import (
 from .operators.reduce import season_mean, seasonality
 from .session import build_session
 from .sources.request import Catalog, Product, Request, open_dataset, subset, take_years
-from .sources.store import combine, duplicate_cells, from_frame, keep_axes, open_cube, open_many, write_cube
+from .sources.store import combine, duplicate_cells, from_frame, keep_axes, open_cube, open_many, store_report, write_cube
 
 __all__ = [
     "Catalog", "Cube", "Product", "Request", "bands", "build_session", "clipped", "combine",
     "duplicate_cells", "facet", "facet_labels", "filled", "from_frame", "hovmoller", "isoline",
     "keep_axes", "labelled", "open_cube", "open_dataset", "open_many", "overlay", "profile_line",
-    "profile_series", "profile_table", "robust_limits", "season_mean", "seasonality", "subset",
+    "profile_series", "profile_table", "robust_limits", "season_mean", "seasonality", "store_report", "subset",
     "take_years", "write_cube",
 ]

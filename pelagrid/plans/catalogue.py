@@ -104,7 +104,7 @@ def subset_stored(spark, folder):
 
 
 def subset_years_added(spark, folder):
-    """The second request has one year that is stored and one that is not."""
+    """The second request differs: the year that is stored is fetched again with the one that is not."""
     wanted = dict(output_directory=shared_folder(spark), output_filename="lines", dataset_id="lines_daily",
                   variables=["so"], force_download=False)
     subset(spark, tables.catalog(folder), years=[1996], **wanted)
@@ -113,6 +113,33 @@ def subset_years_added(spark, folder):
     return cells.groupBy("year").agg(F.count("*").alias("cells"), F.max("so").alias("so"))
 
 
+def year_replaced(spark, folder):
+    """A year stored again for another box: the state opened before, and the one after."""
+    wanted = dict(output_directory=shared_folder(spark), output_filename="lines", dataset_id="lines_daily", variables=["so"])
+    path = subset(spark, tables.catalog(folder), years=[1996, 1997], **wanted)
+    old = store.open_cube(spark, path, ("time", *tables.PLACE)).frame
+    subset(spark, tables.catalog(folder), years=[1997], minimum_latitude=25, **wanted)
+    new = store.open_cube(spark, path, ("time", *tables.PLACE)).frame
+    both = old.withColumn("state", F.lit("old")).unionByName(new.withColumn("state", F.lit("new")))
+    return both.groupBy("state", "year").agg(F.count("*").alias("cells"), F.min("latitude").alias("latitude"))
+
+
+def store_counts(spark, folder):
+    """What was counted while the cells were stored."""
+    path = shared_folder(spark)
+    store.write_cube(tables.holed_field(spark, folder), path)
+    return store.store_report(spark, path).drop("request", "years")
+
+
+def isel_stored(spark, folder):
+    """Positions of a kept cube, from those that were stored with it."""
+    path = shared_folder(spark)
+    whole = tables.field(spark, folder)
+    store.write_cube(whole, path)
+    patch = store.open_cube(spark, path, whole.dims).isel(latitude=slice(10, 14), longitude=slice(4, 6))
+    return patch.isel(latitude=1, longitude=1).frame.drop("year")
+
+
 def year_refetched_empty(spark, folder):
     """A year stored again, for which the request now finds nothing."""
     wanted = dict(output_directory=shared_folder(spark), output_filename="lines", dataset_id="lines_daily")
@@ -406,4 +433,7 @@ QUERIES: dict[str, Query] = {
     "q_store_sparse_axis": store_sparse_axis,
     "q_combine_names": combine_names,
     "q_profile_instant": profile_instant,
+    "q_isel_stored": isel_stored,
+    "q_year_replaced": year_replaced,
+    "q_store_report": store_counts,
 }

@@ -201,8 +201,24 @@ SELECT round(quantile_cont(so, 0.02), 6) AS vmin, round(quantile_cont(so, 0.98),
     "q_subset_stored": f"""{LINES}, l_extendedprice AS so FROM lineitem
 WHERE l_discount BETWEEN 0.02 AND 0.06 AND l_quantity BETWEEN 10 AND 20""",
     "q_subset_years_added": """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS cells, max(l_extendedprice) AS so
-FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'
-   OR (l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31' AND l_quantity >= 25) GROUP BY ALL""",
+FROM lineitem WHERE l_quantity >= 25 AND (l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'
+   OR l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31') GROUP BY ALL""",
+    "q_year_replaced": """WITH days AS (
+  SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_quantity AS latitude FROM lineitem
+  WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31'
+     OR l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31')
+SELECT 'old' AS state, year, count(*) AS cells, min(latitude) AS latitude FROM days GROUP BY ALL
+UNION ALL SELECT 'new', year, count(*), min(latitude) FROM days WHERE year = 1996 OR latitude >= 25 GROUP BY ALL""",
+    "q_store_report": f"""WITH {FIELD}, n AS (SELECT count(*) AS cells FROM field)
+SELECT 'dim' AS kind, 'time' AS name, (SELECT cells FROM n) AS cells, CAST(NULL AS BIGINT) AS missing,
+  CAST(min(time) AS VARCHAR) AS first, CAST(max(time) AS VARCHAR) AS last FROM field
+UNION ALL SELECT 'dim', 'depth', (SELECT cells FROM n), NULL, CAST(min(depth) AS VARCHAR), CAST(max(depth) AS VARCHAR) FROM field
+UNION ALL SELECT 'dim', 'latitude', (SELECT cells FROM n), NULL, CAST(min(latitude) AS VARCHAR), CAST(max(latitude) AS VARCHAR) FROM field
+UNION ALL SELECT 'dim', 'longitude', (SELECT cells FROM n), NULL, CAST(min(longitude) AS VARCHAR), CAST(max(longitude) AS VARCHAR) FROM field
+UNION ALL SELECT 'var', 'so', (SELECT cells FROM n), count(*) FILTER (WHERE depth = 7), NULL, NULL FROM field""",
+    "q_isel_stored": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')}
+SELECT time, depth, so, tx FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
+WHERE ilat.i = 10 + 1 AND ilon.i = 4 + 1""",
     "q_year_refetched_empty": """SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS cells
 FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' GROUP BY ALL""",
     "q_store_descending": f"""WITH {FIELD}, {axis('ilat', 'latitude')}

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,22 @@ def ranked_in_memory(frame: DataFrame, order: Sequence[Column], name: str = "pos
     return cached(ranks), n
 
 
+@contextmanager
+def ranked_once(frame: DataFrame, order: Sequence[Column], name: str = "position") -> Iterator[tuple[DataFrame, int]]:
+    """As `ranked_in_memory`, for one use: nothing stays cached afterwards."""
+    held: list[DataFrame] = []
+
+    def hold(dealt: DataFrame) -> DataFrame:
+        held.append(dealt.persist())
+        return held[0]
+
+    try:
+        yield _before(frame, order, F.lit(1), name, hold)
+    finally:
+        for dealt in held:
+            dealt.unpersist()
+
+
 def cached(frame: DataFrame) -> DataFrame:
     return frame if frame.storageLevel.useMemory else frame.persist()
 

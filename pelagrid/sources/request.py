@@ -13,14 +13,14 @@ import os
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import TIME, Cube
 from ..functions.timeparts import in_year_requests, year_bounds
 from ..operators.select import nearest
-from . import netcdf, store
+from . import netcdf, snapshot, store
+from .snapshot import WHOLE
 
 log = logging.getLogger(__name__)
 
@@ -163,21 +163,24 @@ def subset(
     `years` stands for one request per calendar year: they become one job over
     all years, stored by year, and replace those years of an existing subset; one for
     which nothing is found is empty afterwards. Otherwise the whole subset is
-    replaced. Without `force_download` years that are stored, or a whole that is, are
-    left as they are. Stored is what the manifest names, which is written last. A
+    replaced. A reader sees the old state until the new one is whole. Without `force_download`
+    a whole that is stored is left as it is, and so are years that are stored for the same request;
+    a year stored for another request is fetched again, so that a store by year never mixes two. A
     failure is logged and raised again.
     """
     wanted = Request(**request)
-    path = f"{output_directory.rstrip('/')}/{output_filename or wanted.default_name()}"
+    asked = wanted.default_name()
+    path = f"{output_directory.rstrip('/')}/{output_filename or asked}"
     log.info("storing %s in %s", wanted.dataset_id, path)
     try:
-        missing = WHOLE if years is None else sorted(set(years))
+        missing = None if years is None else sorted(set(years))
         if not force_download:
             there = _stored(spark, path)
-            missing = [y for y in missing if y not in there and WHOLE[0] not in there]
-            if not missing:
+            missing = [y for y in missing or () if there.get(str(y)) != asked]
+            if WHOLE in there or (years is not None and not missing):
                 log.info("%s is already there", path)
                 return path
+            missing = None if years is None else missing
         if years is not None:
             if not missing:
                 raise ValueError("no years given")
@@ -187,9 +190,7 @@ def subset(
         cube = wanted.apply(_open(spark, catalog, wanted))
         if years is not None:
             cube = take_years(cube, missing)
-        _forget(spark, path, None if years is None else missing)
-        store.write_cube(cube, path, replace_all=years is None)
-        _remember(spark, path, wanted, missing)
+        store.write_cube(cube, path, replace_all=years is None, years=missing, request=asked)
     except Exception as failure:
         log.error("storing %s failed: %s", wanted.dataset_id, failure)
         raise
@@ -208,38 +209,7 @@ def take_years(cube: Cube, years: Iterable[int]) -> Cube:
     return replace(cube, frame=cube.frame.where(chosen & listed), axes={**cube.axes, TIME: cube.axes[TIME].where(chosen)})
 
 
-# What the manifest names instead of a year if a subset was stored as a whole.
-WHOLE = [0]
-
-
-def _manifest(path: str) -> str:
-    return f"{path}/_manifest"
-
-
-def _stored(spark: SparkSession, path: str) -> dict[int, str]:
-    """The years the manifest of a subset names, each with its request."""
-    try:
-        return {r["stored"]: r["request"] for r in spark.read.parquet(_manifest(path)).collect()}
-    except AnalysisException as absent:
-        if absent.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return {}
-        raise
-
-
-def _forget(spark: SparkSession, path: str, years: Sequence[int] | None) -> None:
-    """Years, or all, are stored no longer, and their cells go. What was stored as a
-    whole is one no longer once a year of it is replaced."""
-    there = _stored(spark, path)
-    gone = {*there} if years is None else {*years, *WHOLE}
-    if there:
-        _write_manifest(spark, path, {y: r for y, r in there.items() if y not in gone})
-    store.remove_years(spark, path, sorted(gone - set(WHOLE)))
-
-
-def _remember(spark: SparkSession, path: str, wanted: Request, years: Sequence[int]) -> None:
-    _write_manifest(spark, path, _stored(spark, path) | dict.fromkeys(years, wanted.default_name()))
-
-
-def _write_manifest(spark: SparkSession, path: str, requests: Mapping[int, str]) -> None:
-    rows = spark.createDataFrame(sorted(requests.items()), "stored int, request string")
-    rows.coalesce(1).write.mode("overwrite").parquet(_manifest(path))
+def _stored(spark: SparkSession, path: str) -> Mapping[str, str]:
+    """The request for each year that is stored, or under WHOLE for all."""
+    kept = snapshot.current(spark, path)
+    return kept.requests if kept else {}

@@ -1,26 +1,34 @@
 """Cubes in files: open one, open many as one, and keep one by year.
 
 A kept cube is Parquet in long form, one row per cell, one partition directory
-per calendar year, sorted inside each file by depth, latitude, longitude and then
+per calendar year and in it one per version, sorted inside each file by depth, latitude, longitude and then
 time, so that the statistics of row groups and pages prune levels and boxes, and
 the days of one cell lie together for the means. Its axes are kept beside it, under `_axes`,
-also by year: replacing a year replaces that year's part of every axis, and
-opening the cube later reads axes of some thousand values instead of scanning
-the cells for them.
+also by year: replacing a year replaces that year's part of every axis. Under `_index` is the
+position of every axis value: opening the cube later scans no cells for an axis and ranks nothing.
+Which versions are current is in a manifest; see `snapshot`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import logging
+from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from fnmatch import fnmatch
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..axis import Axis, noted
+from ..axis import LENGTH, POSITION, Axis, noted
 from ..cube import TIME, Cube
+from ..ranks import ranked_once
+from . import snapshot
+from .snapshot import Manifest
+
+log = logging.getLogger(__name__)
 
 YEAR = "year"
 
@@ -42,10 +50,12 @@ def open_cube(
     taken as the partition column of a kept cube. Positions start at the largest
     value along `descending` dimensions; a kept cube knows its own.
     """
-    reader = spark.read.format(fmt).options(**dict(options or {}))
-    kept = _kept_schema(spark, path) if fmt == "parquet" else None
-    frame = (reader.schema(kept) if kept else reader).load(path)
-    axes = _kept_axes(spark, path, "", dims, rename) if fmt == "parquet" else {}
+    kept = snapshot.current(spark, path.rstrip("/")) if fmt == "parquet" else None
+    if kept and kept.schema:
+        frame = _cells(spark, path, kept, kept.cells)
+    else:
+        frame = spark.read.format(fmt).options(**dict(options or {})).load(path)
+    axes = _kept_axes(spark, path, kept, dims, rename) if kept else {}
     return from_frame(frame, dims, data_vars, rename, axes, descending)
 
 
@@ -71,30 +81,36 @@ def from_frame(
     return Cube.of(frame, dims, names, {**own, **dict(axes or {})}, year)
 
 
-def _kept(spark: SparkSession, path: str) -> DataFrame | None:
-    """What is kept at a path beside the cells; None if there is nothing."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as absent:
-        if absent.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
-def _kept_schema(spark: SparkSession, path: str) -> StructType | None:
-    kept = _kept(spark, f"{path.rstrip('/')}/_schema")
-    return kept.schema if kept is not None else None
+def _cells(spark: SparkSession, path: str, kept: Manifest, versions: Mapping[str, str]) -> DataFrame:
+    """The current cells of a kept cube, of some of its years; the other versions are not listed."""
+    path, schema = path.rstrip("/"), StructType.fromJson(json.loads(kept.schema))
+    if not versions:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(*snapshot.folders(path, versions)).select(*schema.names)
 
 
-def _kept_axes(spark: SparkSession, root: str, part: str, dims: Sequence[str], rename: Mapping[str, str] | None) -> dict[str, Axis]:
-    """Axes kept under `root`, of the partitions `part` names, by their new names."""
+def _kept_axes(spark: SparkSession, root: str, kept: Manifest, dims: Sequence[str], rename: Mapping[str, str] | None,
+               years: Sequence[str] | None = None) -> dict[str, Axis]:
+    """Kept axes by their new names, of all years with their positions, or of some years."""
     source = {new: old for old, new in (rename or {}).items()}
+    versions = kept.axes if years is None else {y: v for y, v in kept.axes.items() if y in years}
     axes = {}
     for dim in dims:
         old = source.get(dim, dim)
-        kept = _kept(spark, f"{root.rstrip('/')}/_axes/{old}{part}")
-        if kept is not None:
-            axes[dim] = Axis(kept.select(old).withColumnRenamed(old, dim))
+        folder = f"{root.rstrip('/')}/_axes/{old}"
+        parts = snapshot.existing(spark, folder, versions) if old in kept.dims else []
+        if not parts:
+            continue
+        value = StructField.fromJson(kept.dims[old]["field"])
+        values = spark.read.schema(StructType([value])).option("basePath", folder).parquet(*parts).select(F.col(old).alias(dim))
+        if years is None:
+            at = StructField(POSITION, LongType(), metadata={LENGTH: kept.dims[old]["length"]})
+            index = f"{root.rstrip('/')}/_index/{old}/{snapshot.VERSION}={kept.index}"
+            positions = spark.read.schema(StructType([value, at])).parquet(index).select(F.col(old).alias(dim), POSITION)
+            axes[dim] = Axis.stored(values, positions)
+        else:
+            axes[dim] = Axis(values)
     return axes
 
 
@@ -118,25 +134,30 @@ def open_many(
     raises ValueError: the check is one aggregation of that single column.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("mergeSchema", "true")
-    # Partitions of one kept cube keep their year, and the axes of that cube.
-    roots = {p.partition(f"/{YEAR}=")[0] for p in paths if f"/{YEAR}=" in p}
-    by_year = len(roots) == 1 and all(f"/{YEAR}=" in p for p in paths)
-    axes: dict[str, Axis] = {}
-    if by_year:
-        (root,) = roots
-        reader = reader.option("basePath", root)
-        for path in paths:
-            part = f"/{YEAR}=" + path.partition(f"/{YEAR}=")[2].split("/")[0]
-            for dim, axis in _kept_axes(spark, root, part, dims, rename).items():
-                axes[dim] = axes[dim].union(axis) if dim in axes else axis
-    frame = reader.parquet(*paths)
+    kept = _years_of_one_cube(spark, paths)
+    if kept:
+        root, manifest, years = kept
+        frame = _cells(spark, root, manifest, {y: manifest.cells[y] for y in years})
+        axes = _kept_axes(spark, root, manifest, dims, rename, years)
+    else:
+        frame, axes = spark.read.option("mergeSchema", "true").parquet(*paths), {}
     if check:
         source = {new: old for old, new in (rename or {}).items()}.get(along, along)
         check_overlap(file_spans(frame, source), along, slab)
     return from_frame(frame, dims, data_vars, rename, axes, descending)
 
 
+def _years_of_one_cube(spark: SparkSession, paths: Sequence[str]) -> tuple[str, Manifest, list[str]] | None:
+    """The root, the manifest and the chosen years if the paths are years of one kept cube."""
+    roots, _, patterns = zip(*(p.rstrip("/").partition(f"/{YEAR}=") for p in paths))
+    if len(set(roots)) > 1 or not all(patterns) or any("/" in p for p in patterns):
+        return None
+    manifest = snapshot.current(spark, roots[0])
+    if not (manifest and manifest.schema):
+        return None
+    return roots[0], manifest, [y for y in manifest.cells if any(fnmatch(y, p) for p in patterns)]
+
+
 def file_spans(frame: DataFrame, along: str) -> DataFrame:
     """First and last `along` value in each file of a file-backed frame."""
     file = F.col("_metadata.file_path").alias("slab")
@@ -182,15 +203,22 @@ def combine(cubes: Sequence[Cube]) -> Cube:
     return Cube.of(frame, first.dims, names, axes, year)
 
 
-def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: bool = False) -> None:
-    """Keep a cube by year, with its axes.
+def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: bool = False,
+               years: Iterable[int] | None = None, request: str | None = None) -> None:
+    """Keep a cube by year, with its axes, as the next state of what is kept there.
 
-    Only the years present in the cube are replaced unless `replace_all`. Rows go to
+    Only the years present in the cube and those in `years` are replaced unless `replace_all`; of
+    `years` one without cells is empty afterwards. A reader sees the state before until cells,
+    axes and positions are all there, and a store that breaks off changes nothing.
+
+    Rows go to
     tasks by year, without a look at the data first; adaptive execution splits a year
     with most of the rows and merges small ones. With `files` they go into that many
     value ranges over (year, place, time), which takes a sample first: each file then
-    covers a small box, and a year or a place with most of the rows is split too.
+    covers a small box, and a year or a place with most of the rows is split too. Cells, missing values
+    and extents are counted on the way; see `store_report`. `request` is noted with what is replaced.
     """
+    path, spark = path.rstrip("/"), cube.frame.sparkSession
     place = [d for d in ("depth", "latitude", "longitude") if d in cube.dims]
     others = [d for d in cube.dims if d not in (*place, TIME)]
     frame = cube.frame.select(*cube.dims, *cube.data_vars)
@@ -201,47 +229,91 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     # Rows that share even their coordinates still split, by what they hold.
     spread = [*order, *([F.xxhash64(*cube.data_vars)] if cube.data_vars else [])]
     laid_out = frame.repartitionByRange(files, *spread) if files else frame.hint("rebalance", F.col(order[0]))
-    _write(laid_out.sortWithinPartitions(*order), path, timed, replace_all)
-    _write(frame.limit(0), f"{path.rstrip('/')}/_schema", False, True)
-    _keep_axes({d: a.values.select(noted(d, a.descending)) for d, a in cube.axes.items()}, path, timed, replace_all)
+    before = snapshot.current(spark, path) or Manifest()
+    version, seen = snapshot.new_version(), Observation()
+    _append(laid_out.sortWithinPartitions(*order).observe(seen, *_measures(cube)), path, timed, version)
+    found = snapshot.written_keys(spark, path, version)
+    named = [str(y) for y in years or ()]
+    gone = {*before.cells} if replace_all else {*found, *named, snapshot.WHOLE}
+    cells = {k: v for k, v in before.cells.items() if k not in gone} | dict.fromkeys(found, version)
+    asked = {k: r for k, r in before.requests.items() if k not in gone and not replace_all}
+    if request:
+        asked |= dict.fromkeys([snapshot.WHOLE] if years is None else named, request)
+    measured = {"years": found, "request": request, **_report(cube, seen.get)}
+    reports = {v: r for v, r in before.reports.items() if v in cells.values()} | {version: measured}
+    log.info("stored %s: %s", path, measured)
+    now = replace(before, number=before.number + 1, schema=frame.schema.json(), cells=cells, requests=asked, reports=reports,
+                  axes={} if replace_all else {k: v for k, v in before.axes.items() if k not in (*named, snapshot.WHOLE)})
+    axes = {d: a.values.select(noted(d, a.descending)) for d, a in cube.axes.items()}
+    snapshot.commit(spark, path, _with_axes(spark, path, now, axes, timed, version))
 
 
 def keep_axes(spark: SparkSession, path: str, dims: Sequence[str], descending: Sequence[str] = ()) -> None:
-    """Write the axes of a Parquet cube anew from its cells: for one stored by
-    other means, or after a store that broke off between cells and axes."""
-    stored = spark.read.parquet(path)
+    """Write the axes of a Parquet cube anew from its cells: for one stored by other means."""
+    path = path.rstrip("/")
+    before = snapshot.current(spark, path) or Manifest()
+    stored = _cells(spark, path, before, before.cells) if before.schema else spark.read.parquet(path)
     timed = TIME in dims and YEAR in stored.columns
-    _keep_axes({d: stored.select(noted(d, d in descending)).distinct() for d in dims}, path, timed, True)
-
-
-def _keep_axes(axes: Mapping[str, DataFrame], path: str, timed: bool, replace_all: bool) -> None:
-    """The axes as they are, so that a place without a cell in what is stored keeps its
-    position. In a cube by year each year on the time axis has all of every other axis,
-    as far as it was written with that year. One job per axis, all at once."""
+    axes = {d: stored.select(noted(d, d in descending)).distinct() for d in dims}
+    now = replace(before, number=before.number + 1, axes={}, dims={})
+    snapshot.commit(spark, path, _with_axes(spark, path, now, axes, timed, snapshot.new_version()))
+
+
+def store_report(spark: SparkSession, path: str) -> DataFrame:
+    """What the stores that are current have counted, as (request, years, kind, name, cells, missing,
+    first, last): a row per variable with its missing values, and per dimension with its extent as text."""
+    kept = snapshot.current(spark, path.rstrip("/")) or Manifest()
+    rows = [(r["request"], r["years"], kind, name, r["cells"], *values)
+            for r in kept.reports.values() for kind in ("dim", "var") for name, values in r[kind].items()]
+    return spark.createDataFrame(
+        rows, "request string, years array<string>, kind string, name string, cells bigint, missing bigint, first string, last string")
+
+
+def _measures(cube: Cube) -> list[Column]:
+    """Counts and extents that are taken while storing, without another pass."""
+    out = [F.count(F.lit(1)).alias("cells")]
+    for i, v in enumerate(cube.data_vars):
+        out.append(F.count_if(F.col(v).isNull()).alias(f"missing{i}"))
+    for i, d in enumerate(cube.dims):
+        out += [F.min(d).cast("string").alias(f"first{i}"), F.max(d).cast("string").alias(f"last{i}")]
+    return out
+
+
+def _report(cube: Cube, seen: Mapping) -> dict:
+    return {
+        "cells": seen["cells"],
+        "dim": {d: [None, seen[f"first{i}"], seen[f"last{i}"]] for i, d in enumerate(cube.dims)},
+        "var": {v: [seen[f"missing{i}"], None, None] for i, v in enumerate(cube.data_vars)},
+    }
+
+
+def _with_axes(spark: SparkSession, path: str, now: Manifest, axes: Mapping[str, DataFrame], timed: bool, version: str) -> Manifest:
+    """The state with these axes written, as they are, so that a place without a cell in
+    what is stored keeps its position. In a cube by year each year on the time axis has all of every
+    other axis, as far as it was written with that year. Positions run along the axes of all
+    years and are ranked here, once. All axes at once."""
     years = [r[0] for r in axes[TIME].select(F.year(TIME)).where(F.col(TIME).isNotNull()).distinct().collect()] if timed else []
+    versions = {**now.axes, **dict.fromkeys(map(str, years) if timed else [snapshot.WHOLE], version)}
 
-    def keep(dim: str, axis: DataFrame) -> None:
+    def keep(dim: str) -> dict:
+        axis, folder = axes[dim], f"{path}/_axes/{dim}"
+        by_year = axis
         if timed:
-            year = F.year(TIME) if dim == TIME else F.explode(F.array(*map(F.lit, years)) if years else F.array().cast("array<int>"))
-            axis = axis.withColumn(YEAR, year)
-        _write(axis, f"{path.rstrip('/')}/_axes/{dim}", timed, replace_all)
+            each = F.explode(F.array(*map(F.lit, years)) if years else F.array().cast("array<int>"))
+            by_year = axis.withColumn(YEAR, F.year(TIME) if dim == TIME else each)
+        _append(by_year, folder, timed, version)
+        parts, value = snapshot.existing(spark, folder, versions), axis.schema[dim]
+        stored = spark.read.schema(axis.schema).option("basePath", folder).parquet(*parts).select(dim) if parts else axis.limit(0)
+        values = stored.where(F.col(dim).isNotNull()).distinct()
+        with ranked_once(values, [Axis(values).order], POSITION) as (ranks, n):
+            ranks.coalesce(1).sortWithinPartitions(POSITION).write.parquet(f"{path}/_index/{dim}/{snapshot.VERSION}={version}")
+        return {"field": value.jsonValue(), "length": n}
 
     with ThreadPoolExecutor() as pool:
-        list(pool.map(keep, axes, axes.values()))
-
-
-def _write(frame: DataFrame, path: str, by_year: bool, replace_all: bool) -> None:
-    mode = "static" if replace_all or not by_year else "dynamic"
-    writer = frame.write.mode("overwrite").option("partitionOverwriteMode", mode)
-    (writer.partitionBy(YEAR) if by_year else writer).parquet(path)
+        dims = dict(zip(axes, pool.map(keep, axes)))
+    return replace(now, axes=versions, index=version, dims=dims)
 
 
-def remove_years(spark: SparkSession, path: str, years: Sequence[int]) -> None:
-    """Take years out of a kept cube, with their part of its axes."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for year in years:
-        for folder in (f"{path.rstrip('/')}/{YEAR}={year}", f"{path.rstrip('/')}/_axes/*/{YEAR}={year}"):
-            at = hadoop.Path(folder)
-            files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-            for found in files.globStatus(at) or ():
-                files.delete(found.getPath(), True)
+def _append(frame: DataFrame, path: str, by_year: bool, version: str) -> None:
+    keys = [*([YEAR] if by_year else []), snapshot.VERSION]
+    frame.withColumn(snapshot.VERSION, F.lit(version)).write.mode("append").partitionBy(*keys).parquet(path)

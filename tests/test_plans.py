@@ -28,6 +28,21 @@ def test_position_reaches_the_scan_as_a_value(field):
     assert "GreaterThanOrEqual(latitude,4.0)" in scan["PushedFilters"]
 
 
+def test_positions_of_a_kept_cube_are_looked_up_by_a_pushed_filter(field, monkeypatch):
+    """No ranking, no table, and no row of the axis but the ends."""
+    from pelagrid import axis, ranks
+
+    for module, name in ((axis, "ranked"), (axis, "ranked_in_memory"), (ranks, "written")):
+        monkeypatch.setattr(module, name, None)
+    rows, known = field.axes["latitude"].lookup(3, 40)
+    (scan,) = scans(rows)
+    assert "In(position, [3,39])" in scan["PushedFilters"] and rows.count() == 2 and known == (3, 40)
+    patch = field.isel(latitude=slice(3, 40), depth=2).isel(latitude=slice(1, 3))
+    assert patch.axes["latitude"].known == (4, 6)
+    (scan,) = scans(patch.frame)
+    assert "GreaterThanOrEqual(latitude,5.0)" in scan["PushedFilters"] and "LessThanOrEqual(latitude,6.0)" in scan["PushedFilters"]
+
+
 def test_time_reaches_the_scan_as_range_and_partition(field):
     (scan,) = scans(field.sel_time("1997-03-01", "1998-03-01").frame)
     assert "time" in scan["PushedFilters"] and "1997" in scan["PartitionFilters"] and "1998" in scan["PartitionFilters"]

@@ -5,8 +5,9 @@ import pytest
 from grids import cube, day, found
 from test_netcdf import ocean
 
-from pelagrid import Catalog, Product, Request, open_cube, open_dataset, subset, take_years, write_cube
+from pelagrid import Catalog, Product, Request, open_cube, open_dataset, store_report, subset, take_years, write_cube
 from pelagrid.jobs import acquire
+from pelagrid.sources import snapshot
 from pelagrid.sources.request import credentials
 
 DIMS = ("time", "depth", "latitude", "longitude")
@@ -125,10 +126,60 @@ def test_requests_that_differ_have_different_names():
 
 
 def test_only_missing_years_are_fetched_without_force(spark, shelf, tmp_path):
+    part = dict(output_filename="years", dataset_id="ocean", variables=["so"], force_download=False)
+    path = subset(spark, shelf, str(tmp_path), years=[2000], **part)
+    before = snapshot.current(spark, path)
+    subset(spark, shelf, str(tmp_path), years=[2000, 2001], **part)
+    assert found(open_cube(spark, path, DIMS).frame.groupBy("year").count()) == [(2000, 24), (2001, 12)]
+    assert snapshot.current(spark, path).cells["2000"] == before.cells["2000"]
+
+
+def test_a_store_by_year_does_not_mix_requests(spark, shelf, tmp_path):
     part = dict(output_filename="years", dataset_id="ocean", variables=["so"], force_download=False)
     path = subset(spark, shelf, str(tmp_path), years=[2000], **part)
     subset(spark, shelf, str(tmp_path), years=[2000, 2001], minimum_latitude=0, **part)
+    assert found(open_cube(spark, path, DIMS).frame.groupBy("year").count()) == [(2000, 16), (2001, 8)]
+
+
+def test_a_store_that_breaks_off_leaves_the_old_state(spark, shelf, tmp_path, monkeypatch):
+    part = dict(output_filename="years", dataset_id="ocean", variables=["so"])
+    path = subset(spark, shelf, str(tmp_path), years=[2000, 2001], **part)
+    with monkeypatch.context() as broken:
+        broken.setattr(snapshot, "commit", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError, match="gone"):
+            subset(spark, shelf, str(tmp_path), years=[2001], minimum_latitude=0, **part)
+    back = open_cube(spark, path, DIMS)
+    assert found(back.frame.groupBy("year").count()) == [(2000, 24), (2001, 12)]
+    assert back.axis("latitude").count() == 3 and back.isel(latitude=0).frame.count() == 12
+
+
+def test_a_cube_opened_before_a_commit_stays_whole(spark, shelf, tmp_path):
+    part = dict(output_filename="years", dataset_id="ocean", variables=["so"])
+    path = subset(spark, shelf, str(tmp_path), years=[2000, 2001], **part)
+    old = open_cube(spark, path, DIMS)
+    subset(spark, shelf, str(tmp_path), years=[2001], minimum_latitude=0, **part)
+    assert found(old.frame.groupBy("year").count()) == [(2000, 24), (2001, 12)]
     assert found(open_cube(spark, path, DIMS).frame.groupBy("year").count()) == [(2000, 24), (2001, 8)]
+    for _ in range(2):
+        subset(spark, shelf, str(tmp_path), years=[2001], minimum_latitude=0, **part)
+    versions = {p.name for p in (tmp_path / "years" / "year=2001").iterdir()}
+    assert len(versions) == 2 and len(list((tmp_path / "years" / "_manifest").glob("*.json"))) == 2
+
+
+def test_two_writers_at_once_do_not_both_commit(spark, shelf, tmp_path):
+    path = subset(spark, shelf, str(tmp_path), "part", dataset_id="ocean", variables=["so"])
+    with pytest.raises(RuntimeError, match="at the same time"):
+        snapshot.commit(spark, path, snapshot.current(spark, path))
+
+
+def test_what_is_stored_is_counted_on_the_way(spark, shelf, tmp_path, caplog):
+    with caplog.at_level(logging.INFO):
+        path = subset(spark, shelf, str(tmp_path), "part", years=[2000, 2001], dataset_id="ocean", variables=["so"])
+    assert "'cells': 36" in caplog.text
+    report = {(r.kind, r["name"]): r for r in store_report(spark, path).collect()}
+    assert report["var", "so"].cells == 36 and report["var", "so"].missing == 0
+    assert report["dim", "latitude"]["first"] == "-10.0" and report["dim", "latitude"]["last"] == "31.0"
+    assert report["var", "so"].request == "ocean_so" and report["var", "so"].years == ["2000", "2001"]
 
 
 def test_a_year_without_cells_replaces_what_was_there(spark, shelf, tmp_path):

@@ -76,7 +76,7 @@ def test_a_hot_year_is_split_between_files(spark, tmp_path):
     cells = [(day("2000-01-01"), float(i % 50), float(i // 50), 1.0) for i in range(3000)]
     cells += [(day("2001-01-01"), float(i), 0.0, 1.0) for i in range(50)]
     write_cube(cube(spark, SCHEMA, cells, DIMS).pick("so"), path, files=6)
-    assert len(list((tmp_path / "hot" / "year=2000").glob("*.parquet"))) >= 4
+    assert len(list((tmp_path / "hot" / "year=2000").rglob("*.parquet"))) >= 4
 
 
 def year_file(spark, tmp_path, name, *texts, so=1.0):
