@@ -322,9 +322,12 @@ def round_trip(
         return pa.StructArray.from_arrays([tokens, _decoded(tokens, vocabulary)], ["ids", "text"])
 
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())])
-    done = _coded(docs, "__both", kind, both, text)
+    made = "both"
+    while made in docs.columns:
+        made += "_"
+    done = _coded(docs, made, kind, both, text)
     kept = [F.col(f"`{n}`") for n in docs.columns if n not in (ids, decoded)]
-    return done.select(*kept, F.col("__both.ids").alias(ids), F.col("__both.text").alias(decoded))
+    return done.select(*kept, F.col(f"{made}.ids").alias(ids), F.col(f"{made}.text").alias(decoded))
 
 
 def _coded(docs: DataFrame, name: str, kind: T.DataType, function, source: str) -> DataFrame:

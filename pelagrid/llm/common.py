@@ -21,8 +21,10 @@ class Docs:
     frame has c0, c1, ... and besides
       id    the document id as bigint, null kept
       text  the text, null as empty
-      kid, kt  the key: id (null as the smallest bigint) and a hash of the text.
-    Rows that repeat both id and text share a key and get the same result.
+      kid, kt  the key. kid is the id, or a 64-bit hash of the text where the id is null; kt is
+        another hash of the text, of 63 bits, whose lowest bit says that the id is null.
+    Rows that repeat both id and text share a key and get the same result. Others do not: without
+    an id 127 bits of hash tell texts apart, and no id can be taken for null.
     """
 
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text"):
@@ -33,8 +35,8 @@ class Docs:
             self.column(id).cast("bigint").alias("id"),
             F.coalesce(self.column(text).cast("string"), F.lit("")).alias("text"),
         ).withColumns({
-            "kid": F.coalesce(F.col("id"), F.lit(-(2**63))),
-            "kt": F.hash("text"),
+            "kid": F.coalesce(F.col("id"), F.xxhash64("text")),
+            "kt": F.xxhash64(F.lit(1), "text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("id").isNull().cast("bigint")),
         })
 
     def column(self, name: str) -> Column:
@@ -51,6 +53,11 @@ class Docs:
         return frame.select(*old, *[c.alias(n) for n, c in new.items()])
 
 
+def has_id() -> Column:
+    """Whether the row of a key has an id: false, which comes first, for a null one."""
+    return F.col("kt").bitwiseAND(F.lit(1)) == 0
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import WORD, Docs, hex_sha256, let
+from .common import WORD, Docs, has_id, hex_sha256, let
 
 RUN = 3
 GRAM = 2
+# So many words are a run on fewer lines, too.
+LONG = 50
 
 
 def dedup_lines(
@@ -39,10 +41,10 @@ def dedup_lines(
         raise ValueError(f"need 1 <= gram <= run, got {gram}, {run}")
     table = Docs(docs, id, text)
     runs = written(table.slim(F.explode(_runs(F.col("text"), run, gram, words)).alias("r")).select("kid", "kt", "r.*"))
-    place = F.struct("kid", "kt", "mark")
+    place = F.struct(has_id().alias("has"), "kid", "kt", "mark")
     repeated = runs.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b")
     likely = runs.join(repeated.select("print"), "print", "left_semi")
-    here = F.struct("kid", "kt", "start")
+    here = F.struct(has_id().alias("has"), "kid", "kt", "start")
     first = likely.groupBy("one", "two", "count").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last")
     later = likely.join(first, ["one", "two", "count"]).where(here > F.col("first"))
     gone = later.groupBy("kid", "kt").agg(F.collect_set(F.struct("start", "count")).alias("starts"))
@@ -122,31 +124,38 @@ def _left(x: Column) -> Column:
 
 def digest(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, text_sha256 of what is left."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, words=LONG)
     return done.select(
         "doc_id", "n_lines", "n_removed", hex_sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
 
 
-def oracle_sql(run: int = RUN) -> str:
+def oracle_sql(run: int = RUN, words: int = LONG) -> str:
     """The same rows as `digest`, written without fingerprints."""
-    leads = ", ".join(f"lead(line, {k}) OVER w AS l{k}" for k in range(1, run))
-    keys = ", ".join(["line", *[f"l{k}" for k in range(1, run)]])
+    leads = ", ".join(f"lead(line, {k}) OVER w AS l{k}, lead(n, {k}) OVER w AS n{k}" for k in range(1, run))
+    each = []
+    for count in range(1, run + 1):
+        keys = ", ".join(["line", *[f"l{k}" for k in range(1, count)]])
+        enough = " + ".join(["n", *[f"n{k}" for k in range(1, count)]]) + f" >= {words}"
+        full = f"l{count - 1} IS NOT NULL" if count > 1 else "true"
+        each.append(f"""SELECT doc_id, nr, {count} AS lines, row_number() OVER (PARTITION BY {keys} ORDER BY doc_id, nr) AS copy
+  FROM runs WHERE {full if count == run else f"{full} AND {enough}"}""")
+    ordered = "\n  UNION ALL ".join(each)
     return f"""
 WITH all_lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
 full_lines AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nr
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nr,
+    len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS n
   FROM all_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 runs AS (
-  SELECT doc_id, nr, line, {leads}
+  SELECT doc_id, nr, line, n, {leads}
   FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY nr)),
 ordered AS (
-  SELECT doc_id, nr, row_number() OVER (PARTITION BY {keys} ORDER BY doc_id, nr) AS copy
-  FROM runs WHERE l{run - 1} IS NOT NULL),
+  {ordered}),
 gone AS (
-  SELECT DISTINCT doc_id, nr + k AS nr FROM ordered, range(0, {run}) AS r(k) WHERE copy > 1),
+  SELECT DISTINCT doc_id, nr + k AS nr FROM ordered, range(0, {run}) AS r(k) WHERE copy > 1 AND k < lines),
 marked AS (
   SELECT a.doc_id, a.pos, a.line, f.nr, g.nr AS gone
   FROM all_lines a LEFT JOIN full_lines f ON a.doc_id = f.doc_id AND a.pos = f.pos

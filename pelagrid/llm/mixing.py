@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..ranks import ranked
@@ -28,21 +28,30 @@ def mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str
     the whole part of the rate says, and once more with the fraction as probability.
     These probabilities take the flight of the cube method: three at a time move in
     the null space of (size, 1) until one is 0 or 1, so that words and documents of
-    a source keep their totals. Blocks of a source fly apart from each other
+    a source keep their totals. Blocks of a source, by rank in a shuffled order, so that no
+    number of equal rows makes one longer, fly apart from each other
     and leave two fractions at most; these fly on together, level by level, until a
     source has two left, which land where its words come nearest to their total.
     Steps are drawn from the ids, so reruns agree.
 
-    Returns a row per row of `docs`: kid, kt, id, size, source_size, target, copies,
+    Returns a row per row of `docs`: kid, kt, row (a number of its own), id, source, size, source_size, target, copies,
     taken. Repeated rows are units of their own. Empty texts have size 0, count as
     documents, and are taken like others. An empty table gives no rows.
     """
     table = Docs(docs, id, text)
-    units = written(table.slim(
-        "id", table.column(source).cast("string").alias("source"),
+    return _mixture(table.frame.withColumn("row", F.monotonically_increasing_id()), table.column(source))
+
+
+def _mixture(rows: DataFrame, source: Column) -> DataFrame:
+    """`mixture` of rows with a number `row` of their own, which stays with them."""
+    units = written(rows.select(
+        "kid", "kt", "row", "id", source.cast("string").alias("source"),
         F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("size")))
+    # Equal rows get different places, in whatever order: they are alike in all that counts.
+    shuffled = [F.col("source").asc_nulls_last(), F.xxhash64("kid", "kt"), F.col("kid"), F.col("kt"), F.col("row")]
+    units = ranked(units, shuffled, "place")
     sources = written(targets(units.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("source_docs"))))
+        F.sum("size").alias("source_size"), F.count("*").alias("source_docs"), F.min("place").alias("first"))))
     rated = units.join(small(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rated = rated.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rated = rated.withColumn("whole", F.least(F.floor("rate"), F.lit(MOST_COPIES)).cast("int"))
@@ -51,7 +60,7 @@ def mixture(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str
     chosen = flights(rated, sources.agg(F.max("source_docs").alias("n")).first()["n"] or 0)
     copies = F.col("whole") + F.col("extra")
     return chosen.select(
-        "kid", "kt", "id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
+        "kid", "kt", "row", "id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"),
         (F.col("size") * copies).cast("bigint").alias("taken"))
 
 
@@ -81,7 +90,7 @@ def flights(rated: DataFrame, most_docs: int) -> DataFrame:
     """The rows with `extra` 0 or 1 drawn by the cube method from `p`, within each source."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rated.schema.fields)}, x double, block bigint"
     state = rated.withColumn("x", F.col("p")).withColumn(
-        "block", _block(F.ceil(F.col("source_docs") / BLOCK), "id", "kt"))
+        "block", F.floor((F.col("place") - F.col("first")) / BLOCK).cast("bigint"))
     landed, levels = [], 0
     blocks = max(1, -(-most_docs // BLOCK))
     while True:
@@ -168,11 +177,11 @@ def _landing(rows: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the columns of `docs`, each row as often as `mixture` says."""
     table = Docs(docs, id, text)
-    found = mixture(docs, id, text, source).groupBy("kid", "kt").agg(F.sort_array(F.collect_list("copies")).alias("all"))
-    # Rows that repeat id and text share out what their group has got.
-    share = F.row_number().over(Window.partitionBy("kid", "kt").orderBy(F.lit(1)))
-    joined = table.frame.withColumn("nr", share).join(found, ["kid", "kt"])
-    times = F.explode(F.array_repeat(F.lit(1), F.element_at("all", F.col("nr"))))
+    # Written once, so that a row keeps its number.
+    rows = written(table.frame.withColumn("row", F.monotonically_increasing_id()))
+    found = _mixture(rows, table.column(source)).where("copies > 0").select("row", "copies")
+    joined = rows.join(found, "row")
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
     return table.restored(joined.withColumn("copy", times))
 
 

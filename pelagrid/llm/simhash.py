@@ -198,9 +198,9 @@ def one_of_each(
     and hash of its text."""
     table = Docs(docs, id, text)
     found = near(docs, id, text)
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint", "kt")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "fingerprint", "kid", "kt")
     chosen = found.groupBy("root").agg(F.min(rank).alias("r")).select(
-        F.coalesce("r.id", F.lit(-(2**63))).alias("kid"), F.col("r.kt").alias("kt"))
+        F.col("r.kid").alias("kid"), F.col("r.kt").alias("kt"))
     kept = table.frame.join(chosen.distinct(), ["kid", "kt"], "left_semi")
     return table.restored(kept.dropDuplicates(["kid", "kt"]))
 

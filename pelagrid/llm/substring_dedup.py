@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Docs, hex_sha256
+from .common import Docs, has_id, hex_sha256
 
 WINDOW = 35
 # A difference cover: every number modulo PERIOD is a difference of two of COVER. So
@@ -62,10 +62,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id: str = "doc_id",
     found = _gathered(_twice(windows, 12, len(keys)), len(keys))
     # The same exchange of the texts serves both joins.
     judged = texts.join(found, ["kid", "kt"], "left")
-    left = judged.mapInArrow(_removed(window), "kid long, kt int, left string, n_words long, n_removed long")
+    left = judged.mapInArrow(_removed(window), "kid long, kt long, left string, n_words long, n_removed long")
     if table.names == [id, text]:
         return left.select(
-            F.when(F.col("kid") != -(2**63), F.col("kid")).alias(id), F.col("left").alias(text), "n_words", "n_removed")
+            F.when(has_id(), F.col("kid")).alias(id), F.col("left").alias(text), "n_words", "n_removed")
     once = left.dropDuplicates(["kid", "kt"])
     joined = table.frame.drop("text").join(once, ["kid", "kt"])
     return table.restored(joined, **{
@@ -149,7 +149,7 @@ class Block:
         blocks each hash once, by bucket. Empties the block."""
         if not self.size:
             return
-        ids, texts = np.array(self.ids, np.int64), np.array(self.texts, np.int32)
+        ids, texts = np.array(self.ids, np.int64), np.array(self.texts, np.int64)
         # What is found comes back together by this number; rows do not rely on it.
         block = xxhash.xxh3_64_intdigest(ids.tobytes() + texts.tobytes()) >> 1
         doc = np.repeat(np.arange(len(ids)), self.counts)
@@ -291,16 +291,17 @@ def _chosen(row: dict, chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{
             "block": row["block"],
             "ids": np.frombuffer(row["ids"], np.int64)[some].tobytes(),
-            "texts": np.frombuffer(row["texts"], np.int32)[some].tobytes(),
+            "texts": np.frombuffer(row["texts"], np.int64)[some].tobytes(),
             "runs": left[some].tobytes(),
             "places": np.frombuffer(row["places"], np.int32)[chosen].tobytes()}], schema=FOUND_SCHEMA)
 
 
 def _gathered(found: DataFrame, parts: int) -> DataFrame:
-    """A row (kid, kt, spots) per document. Its arrays are together no longer than the document."""
+    """A row (kid, kt, spots) per key. Rows that repeat a key have the same places, which count
+    once: its arrays are together no longer than the document."""
     by_block = found.repartition(parts, "block").sortWithinPartitions("block")
-    rows = by_block.mapInArrow(_merged, "kid long, kt int, places binary")
-    return rows.groupBy("kid", "kt").agg(F.collect_list("places").alias("spots"))
+    rows = by_block.mapInArrow(_merged, "kid long, kt long, places binary")
+    return rows.groupBy("kid", "kt").agg(F.collect_set("places").alias("spots"))
 
 
 def _merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,7 @@ def _merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return np.frombuffer(b"".join(r[name] for r in held), kind)
 
         ids, texts, runs, places = (
-            all_of(n, k) for n, k in (("ids", np.int64), ("texts", np.int32), ("runs", np.int32), ("places", np.int32)))
+            all_of(n, k) for n, k in (("ids", np.int64), ("texts", np.int64), ("runs", np.int32), ("places", np.int32)))
         order = np.lexsort((texts, ids))
         ids, texts, first, runs = ids[order], texts[order], (np.cumsum(runs) - runs)[order], runs[order]
         ends = np.cumsum(runs)
@@ -322,7 +323,7 @@ def _merged(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.append((ends - runs)[new], ends[-1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[new]), pa.array(texts[new]),
-             pa.array([places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
+             pa.array([np.unique(places[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())],
             names=["kid", "kt", "places"])
 
 

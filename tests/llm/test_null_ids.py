@@ -1,0 +1,110 @@
+"""Rows without an id are told apart by their texts, whatever short hashes of these say."""
+
+from collections import Counter
+
+import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
+from pelagrid.llm import bpe, catalogue, license_scan, line_dedup, mixing, substring_dedup
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Makes two texts, one before `tail` and one before another, with one 32-bit hash."""
+    def make(one, two):
+        def hashed(tail):
+            n = F.concat(F.lit("q"), F.col("id"), F.lit(" " + tail))
+            return spark.range(400_000).select(n.alias("text"), F.hash(n).alias("h"))
+
+        pair = hashed(one).alias("a").join(hashed(two).alias("b"), "h").where("a.text != b.text")
+        return tuple(pair.select("a.text", "b.text").orderBy("h").first())
+
+    return make
+
+
+def table(spark, *texts, ids=None):
+    return spark.createDataFrame([(ids and ids[i], t, "en", "web", len(t)) for i, t in enumerate(texts)], SCHEMA)
+
+
+def test_unrelated_texts_are_no_near_copies(spark, twins):
+    a, b = twins("alpha", "alpha")
+    for ids in (None, (5, 5)):
+        found = corpus_pipeline.drop_near_copies(spark, table(spark, a, b, a, ids=ids and (*ids, 5)), "")
+        assert sorted(r["text"] for r in found.collect()) == sorted((a, b))
+
+
+def test_a_text_without_repeats_keeps_its_words(spark, twins):
+    words = " ".join(f"w{i}" for i in range(40))
+    a, b = twins(words, f"{words} {words}")
+    found = {r["text"]: r for r in substring_dedup.dedup_substrings(table(spark, a, b.replace("w", "v"))).collect()}
+    assert found[a]["n_removed"] == 0
+    a, b = twins("one " * 40 + "two", " ".join(f"x{i}" for i in range(40)))
+    left = {r["n_words"]: r["n_removed"] for r in substring_dedup.dedup_substrings(table(spark, a, b)).collect()}
+    assert left == {42: 40, 41: 0}
+
+
+def test_equal_rows_have_their_places_once(spark):
+    """Many equal rows: each is judged on its own, from one list of places."""
+    text = " ".join(f"w{i}" for i in range(60))
+    found = substring_dedup.dedup_substrings(table(spark, *[text] * 200))
+    assert [(r["n_words"], r["n_removed"]) for r in found.collect()] == [(60, 60)] * 200
+    keys = substring_dedup._keys(spark)
+    packed = table(spark, *[text] * 200).select(
+        F.lit(1).cast("long").alias("kid"), F.lit(1).cast("long").alias("kt"), "text").mapInArrow(
+        substring_dedup._anchors(15, keys), substring_dedup._PACKED)
+    spots = substring_dedup._gathered(substring_dedup._twice(packed, 4, len(keys)), len(keys)).collect()
+    assert len(spots) == 1 and sum(map(len, spots[0]["spots"])) <= 4 * 60
+
+
+def test_lines_of_another_text_stay(spark, twins):
+    lines = "\n".join(f"line {i}" for i in range(7))
+    a, b = twins(lines, "x\na\nb\nc\na\nb\nc")
+    found = {r["text"]: r["n_removed"] for r in line_dedup.dedup_lines(table(spark, a, b)).collect()}
+    assert found[a] == 0 and sum(found.values()) == 3
+
+
+def test_long_lines_that_repeat_go_in_the_query(spark):
+    long = " ".join(f"w{i}" for i in range(50))
+    half = " ".join(f"v{i}" for i in range(25))
+    docs = table(spark, long, f"a\n{long}\nb", f"{half}\n{half}", f"c\n{half}\n{half}\nd", ids=(1, 2, 3, 4))
+    gone = {r["doc_id"]: r["n_removed"] for r in line_dedup.digest(docs).collect()}
+    assert gone == {1: 0, 2: 1, 3: 0, 4: 2}
+
+
+def test_a_text_without_licence_has_none(spark, twins):
+    licence = license_scan.TEMPLATES["mit-line"]
+    a, b = twins("nothing to see here", "\n" + licence)
+    found = {r["n_matches"] for r in license_scan.digest(table(spark, a)).collect()}
+    assert found == {0}
+    both = license_scan.digest(table(spark, a, b)).collect()
+    assert sorted(r["n_matches"] for r in both) == [0, 2]
+
+
+def test_mix_gives_each_row_its_own_copies(spark, twins):
+    a, b = twins("one", "two three four five six seven")
+    docs = table(spark, *[a, b] * 40)
+    sizes = [r for r in mixing.mixture(docs).collect()]
+    mixed = Counter(r["text"] for r in mixing.mix(docs).collect())
+    for text in (a, b):
+        assert mixed[text] == sum(r["copies"] for r in sizes if r["size"] == len(text.split()))
+
+
+def test_blocks_of_equal_rows_have_an_end(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    docs = spark.createDataFrame([(1, "a b c", "en", ("x", "y")[i % 4 == 0], 5) for i in range(400)], SCHEMA)
+    found = mixing.mixture(docs).collect()
+    assert len(found) == 400
+    for source in ("x", "y"):
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+
+
+def test_round_trip_keeps_a_column_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "Hello", 7, 8)], "doc_id bigint, text string, both int, both_ int")
+    done = bpe.round_trip(docs, catalogue.VOCABULARY, catalogue.PATTERN).first()
+    assert (done["both"], done["both_"], done["decoded"]) == (7, 8, "Hello")
+    clash = docs.withColumnRenamed("both", "__both")
+    assert bpe.round_trip(clash, catalogue.VOCABULARY, catalogue.PATTERN).first()["__both"] == 7
