@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce as fold
 from typing import TYPE_CHECKING, Any
 
@@ -107,6 +107,15 @@ def _ends(wanted: DataFrame, axis: Axis, stop: int | None) -> DataFrame:
     return wanted.agg(F.count(axis.name).alias("n"), low.alias("low"), high.alias("high"))
 
 
+@dataclass(frozen=True)
+class Found:
+    """The coordinates at both ends of some positions, None for an open end, and their source positions if known."""
+
+    low: Any
+    high: Any
+    known: tuple[int, int] | None
+
+
 def settle(axes: Mapping[str, Axis]) -> None:
     """Find out what selections by label have left of the axes, all in one job."""
     with ThreadPoolExecutor() as pool:  # ranking a source axis runs jobs of its own
@@ -116,50 +125,69 @@ def settle(axes: Mapping[str, Axis]) -> None:
             open_[d].settle(found["first"], found["last"], found["n"])
 
 
-def isel(cube: Cube, where: Mapping[str, int | slice]) -> Cube:
-    require_dims(cube, *where)
-    if not where:
-        return cube
-    axes = {d: cube.axes[d] for d in where}
+def located(axes: Mapping[str, Axis], where: Mapping[str, int | slice]) -> dict[str, Found | None]:
+    """Where positions lie on their axes; None for an empty slice. One job for all axes."""
     settle(axes)
     bounds = {d: _bounds(w, axes[d]) for d, w in where.items()}
     lookups = {d: axes[d].lookup(*bounds[d]) for d in where}
     asked = {d: _ends(rows, axes[d], bounds[d][1]) for d, (rows, _) in lookups.items() if rows is not None}
     ends = one_row_each(asked) if asked else {}
-    points = [d for d, w in where.items() if not isinstance(w, slice)]
+    out = {}
+    for dim, w in where.items():
+        there = dim in ends and ends[dim]["n"]
+        if not there and not isinstance(w, slice):
+            raise IndexError(f"position {w} is outside axis {dim}")
+        out[dim] = Found(ends[dim]["low"], ends[dim]["high"], lookups[dim][1]) if there else None
+    return out
+
+
+def placed(cube: Cube, where: Mapping[str, int | slice], found: Mapping[str, Found | None]) -> Cube:
+    """The cells at positions that were located; an int drops the dimension."""
     for dim in where:
-        if dim in ends and ends[dim]["n"]:
-            cube = restrict(cube, dim, ends[dim]["low"], ends[dim]["high"], lookups[dim][1])
-        elif dim in points:
-            raise IndexError(f"position {where[dim]} is outside axis {dim}")
+        if at := found[dim]:
+            cube = restrict(cube, dim, at.low, at.high, at.known)
         else:
             nothing = F.lit(False)
             axis = cube.axes[dim].where(nothing, known=(0, 0))
             cube = replace(cube, frame=cube.frame.where(nothing), axes={**cube.axes, dim: axis})
-    return without(cube, points)
+    return without(cube, [d for d, w in where.items() if not isinstance(w, slice)])
 
 
-def sel(cube: Cube, where: Mapping[str, Any], strict: bool) -> Cube:
+def isel(cube: Cube, where: Mapping[str, int | slice]) -> Cube:
     require_dims(cube, *where)
+    return placed(cube, where, located({d: cube.axes[d] for d in where}, where)) if where else cube
+
+
+def labelled(cube: Cube, where: Mapping[str, Any]) -> Cube:
     for dim, label in where.items():
         cube = restrict(cube, dim, label, label)
-    if strict and where:
-        found = one_row_each({d: cube.axes[d].size() for d in where})
-        absent = {d: where[d] for d in where if not found[d]["n"]}
-        if absent:
-            raise KeyError(f"not on the axis: {absent}")
+    return cube
+
+
+def require_labels(axes: Mapping[str, Axis], where: Mapping[str, Any]) -> None:
+    """Raise for labels that have left nothing of their axis."""
+    found = one_row_each({d: axes[d].size() for d in where}) if where else {}
+    absent = {d: where[d] for d in where if not found[d]["n"]}
+    if absent:
+        raise KeyError(f"not on the axis: {absent}")
+
+
+def sel(cube: Cube, where: Mapping[str, Any], strict: bool) -> Cube:
+    require_dims(cube, *where)
+    cube = labelled(cube, where)
+    if strict:
+        require_labels(cube.axes, where)
     return without(cube, tuple(where))
 
 
-def nearest(cube: Cube, where: Mapping[str, float]) -> dict[str, Any]:
+def nearest(axes: Mapping[str, Axis], where: Mapping[str, float]) -> dict[str, Any]:
     """The axis value nearest to each number; of two equally near the larger one."""
-    require_dims(cube, *where)
     asked = {}
     for dim, wanted in where.items():
         at = F.col(dim).cast("double")
         rank = F.struct(F.abs(at - F.lit(float(wanted))), -at)
-        value = carried(F.min_by(dim, rank), cube.dtype(dim))
-        asked[dim] = cube.axes[dim].values.agg(value.alias("value"))
+        value = carried(F.min_by(dim, rank), axes[dim].source.schema[dim].dataType)
+        asked[dim] = axes[dim].values.agg(value.alias("value"))
     values = {d: row["value"] for d, row in one_row_each(asked).items()}
     if empty := [d for d, v in values.items() if v is None]:
         raise KeyError(f"nothing on the axis of {empty}")
@@ -167,19 +195,22 @@ def nearest(cube: Cube, where: Mapping[str, float]) -> dict[str, Any]:
 
 
 def sel_nearest(cube: Cube, where: Mapping[str, float], drop: bool) -> Cube:
-    for dim, value in nearest(cube, where).items():
-        cube = restrict(cube, dim, value, value)
+    require_dims(cube, *where)
+    cube = labelled(cube, nearest(cube.axes, where))
     return without(cube, tuple(where)) if drop else cube
 
 
+def single(axes: Mapping[str, Axis]) -> list[str]:
+    """The dimensions whose axis has one value."""
+    if not axes:
+        return []
+    ends = one_row_each({d: a.values.agg(F.min(d).alias("first"), F.max(d).alias("last")) for d, a in axes.items()})
+    return [d for d in axes if ends[d]["first"] is not None and ends[d]["first"] == ends[d]["last"]]
+
+
 def squeeze(cube: Cube) -> Cube:
-    if not cube.dims:
-        return cube
-    ends = one_row_each({
-        d: cube.axes[d].values.agg(F.min(d).alias("first"), F.max(d).alias("last")) for d in cube.dims
-    })
-    single = [d for d in cube.dims if ends[d]["first"] is not None and ends[d]["first"] == ends[d]["last"]]
-    return without(cube, single) if single else cube
+    dims = single(cube.axes)
+    return without(cube, dims) if dims else cube
 
 
 def drop_dims(cube: Cube, dims: Sequence[str], keep: Sequence[str]) -> Cube:

@@ -175,6 +175,28 @@ def combine_names(spark, folder):
     return store.combine([whole.pick("so").sel_range(depth=(None, 3)), whole.pick("tx").sel_range(depth=(4, None))]).frame
 
 
+def mixed_dims(spark, folder):
+    """A mean along depth leaves the variable without depth alone; then both on one grid."""
+    return tables.mixed(spark, folder).mean("depth").cube("so", "zos").frame
+
+
+def mixed_drop(spark, folder):
+    """Without depth, and so without the variable that has it."""
+    return tables.mixed(spark, folder).drop_dims("depth").cube().frame
+
+
+def mixed_stored(spark, folder):
+    """A surface variable split off the field, both stored as groups and opened again: the season means
+    of a box, one level of the one beside the other."""
+    whole = tables.field(spark, folder)
+    flat = store.from_frame(whole.frame.where("depth = 1").groupBy("time", "latitude", "longitude").agg(
+        F.max("tx").alias("tx")), ("time", "latitude", "longitude"))
+    path = shared_folder(spark)
+    store.write_dataset(store.combine([whole.pick("so"), flat]), path)
+    data = store.open_groups(spark, path).isel(depth=1, latitude=slice(5, 9))
+    return data.group_mean("season").cube("so", "tx").frame
+
+
 # -- selection -----------------------------------------------------------------
 
 def isel_point(spark, folder):
@@ -434,6 +456,9 @@ QUERIES: dict[str, Query] = {
     "q_combine_names": combine_names,
     "q_profile_instant": profile_instant,
     "q_isel_stored": isel_stored,
+    "q_mixed_dims": mixed_dims,
+    "q_mixed_drop": mixed_drop,
+    "q_mixed_stored": mixed_stored,
     "q_year_replaced": year_replaced,
     "q_store_report": store_counts,
 }

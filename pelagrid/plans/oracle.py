@@ -216,6 +216,16 @@ UNION ALL SELECT 'dim', 'depth', (SELECT cells FROM n), NULL, CAST(min(depth) AS
 UNION ALL SELECT 'dim', 'latitude', (SELECT cells FROM n), NULL, CAST(min(latitude) AS VARCHAR), CAST(max(latitude) AS VARCHAR) FROM field
 UNION ALL SELECT 'dim', 'longitude', (SELECT cells FROM n), NULL, CAST(min(longitude) AS VARCHAR), CAST(max(longitude) AS VARCHAR) FROM field
 UNION ALL SELECT 'var', 'so', (SELECT cells FROM n), count(*) FILTER (WHERE depth = 7), NULL, NULL FROM field""",
+    "q_mixed_dims": """SELECT coalesce(l_orderkey, o_orderkey) AS place, avg(floor(l_extendedprice * 100 + 0.5)) AS so,
+  floor(any_value(o_totalprice) * 100 + 0.5) AS zos FROM lineitem FULL JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
+    "q_mixed_drop": """SELECT o_orderkey AS place, floor(o_totalprice * 100 + 0.5) AS zos FROM orders""",
+    "q_mixed_stored": f"""WITH {FIELD}, {axis('ilat', 'latitude')},
+flat AS (SELECT time, latitude, longitude, max(tx) AS tx FROM field WHERE depth = 1 GROUP BY ALL),
+deep AS (SELECT {season('time')} AS season, latitude, longitude, avg(so) AS so FROM field JOIN ilat USING (latitude)
+  WHERE depth = 2 AND ilat.i >= 5 AND ilat.i < 9 GROUP BY ALL),
+top AS (SELECT {season('time')} AS season, latitude, longitude, avg(tx) AS tx FROM flat JOIN ilat USING (latitude)
+  WHERE ilat.i >= 5 AND ilat.i < 9 GROUP BY ALL)
+SELECT season, latitude, longitude, so, tx FROM deep FULL JOIN top USING (season, latitude, longitude)""",
     "q_isel_stored": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')}
 SELECT time, depth, so, tx FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
 WHERE ilat.i = 10 + 1 AND ilon.i = 4 + 1""",

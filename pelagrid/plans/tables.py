@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import Cube
+from ..dataset import Dataset
 from ..sources.request import Catalog, Product
-from ..sources.store import from_frame
+from ..sources.store import combine, from_frame
 
 PLACE = ("depth", "latitude", "longitude")
 
@@ -80,6 +81,15 @@ def surface(spark: SparkSession, folder: str) -> Cube:
     ), ("place", "depth"))
 
 
+def mixed(spark: SparkSession, folder: str) -> Dataset:
+    """so along place and depth, zos along place alone: order lines and orders."""
+    depths = surface(spark, folder).pick("so")
+    orders = table(spark, folder, "orders")
+    heights = from_frame(orders.select(
+        F.col("o_orderkey").alias("place"), hundredths(F.col("o_totalprice")).alias("zos")), ("place",))
+    return combine([depths, heights])
+
+
 def catalog(folder: str) -> Catalog:
     """Data sets to request from: the tables as they are, columns renamed."""
     at = folder.rstrip("/")

@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..cube import TIME, Cube
+from ..dataset import Dataset
 from ..functions.timeparts import in_year_requests, year_bounds
 from ..operators.select import nearest
 from . import netcdf, snapshot, store
@@ -30,7 +31,9 @@ class Product:
     """Where a data set lies and how its columns map to dimensions and variables.
 
     `rename` maps source columns to cube names. With `login`, the user name and
-    password found by `credentials` go to the reader as options.
+    password found by `credentials` go to the reader as options. `own_dims` names the dimensions
+    of variables that have not all of them, such as a surface height beside a salinity by depth;
+    the data set is then a `Dataset`, and bounds on a dimension leave variables alone that lack it.
     """
 
     path: str
@@ -41,6 +44,7 @@ class Product:
     options: Mapping[str, str] = field(default_factory=dict)
     login: bool = False
     descending: tuple[str, ...] = ()
+    own_dims: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -109,11 +113,15 @@ class Request:
         }
         return {d: e for d, e in ends.items() if e != (None, None)}
 
-    def apply(self, cube: Cube) -> Cube:
+    def apply(self, cube: Cube | Dataset) -> Cube | Dataset:
         if self.variables is not None:
             cube = cube.pick(*self.variables)
-        cube = cube.sel_range(**self.bounds())
-        return cube if self.level is None else cube.sel_nearest(depth=self.level)
+        bounds, level = self.bounds(), self.level
+        if isinstance(cube, Dataset):
+            bounds = {d: b for d, b in bounds.items() if d in cube.dims}
+            level = level if "depth" in cube.dims else None
+        cube = cube.sel_range(**bounds)
+        return cube if level is None else cube.sel_nearest(depth=level)
 
 
 def credentials(spark: SparkSession) -> dict[str, str]:
@@ -128,7 +136,7 @@ def credentials(spark: SparkSession) -> dict[str, str]:
     return found
 
 
-def _open(spark: SparkSession, catalog: Catalog, wanted: Request) -> Cube:
+def _open(spark: SparkSession, catalog: Catalog, wanted: Request) -> Cube | Dataset:
     p = catalog.product(wanted.dataset_id)
     if p.fmt == "netcdf":
         if p.login or p.options or p.descending:
@@ -137,14 +145,15 @@ def _open(spark: SparkSession, catalog: Catalog, wanted: Request) -> Cube:
         bounds = wanted.bounds()
         if wanted.level is not None:
             axes = netcdf.open_netcdf(spark, p.path, names, p.rename, check=False)
-            bounds["depth"] = (nearest(axes, {"depth": wanted.level})["depth"],) * 2
+            bounds["depth"] = (nearest(axes.axes, {"depth": wanted.level})["depth"],) * 2
         return netcdf.open_netcdf(spark, p.path, names, p.rename, bounds=bounds)
     options = {**p.options, **(credentials(spark) if p.login else {})}
-    return store.open_cube(spark, p.path, p.dims, p.data_vars, p.rename or None, p.fmt, options, p.descending)
+    cube = store.open_cube(spark, p.path, p.dims, p.data_vars, p.rename or None, p.fmt, options, p.descending)
+    return Dataset.split(cube, p.own_dims) if p.own_dims else cube
 
 
-def open_dataset(spark: SparkSession, catalog: Catalog, **request) -> Cube:
-    """The requested part of a data set as a lazy cube."""
+def open_dataset(spark: SparkSession, catalog: Catalog, **request) -> Cube | Dataset:
+    """The requested part of a data set, lazily."""
     wanted = Request(**request)
     return wanted.apply(_open(spark, catalog, wanted))
 
@@ -190,7 +199,8 @@ def subset(
         cube = wanted.apply(_open(spark, catalog, wanted))
         if years is not None:
             cube = take_years(cube, missing)
-        store.write_cube(cube, path, replace_all=years is None, years=missing, request=asked)
+        write = store.write_dataset if isinstance(cube, Dataset) else store.write_cube
+        write(cube, path, replace_all=years is None, years=missing, request=asked)
     except Exception as failure:
         log.error("storing %s failed: %s", wanted.dataset_id, failure)
         raise
@@ -198,11 +208,13 @@ def subset(
     return path
 
 
-def take_years(cube: Cube, years: Iterable[int]) -> Cube:
+def take_years(cube: Cube | Dataset, years: Iterable[int]) -> Cube | Dataset:
     """What one request per calendar year would bring, selected at once."""
     years = sorted(set(years))
     if not years:
         raise ValueError("no years given")
+    if isinstance(cube, Dataset):
+        return cube.each(lambda group: take_years(group, years), along=TIME)
     cube = cube.sel_time(year_bounds(years[0])[0], year_bounds(years[-1])[1])
     chosen = in_year_requests(F.col(TIME), years)
     listed = F.col(cube.year).isin(years) if cube.year else F.lit(True)
@@ -212,4 +224,8 @@ def take_years(cube: Cube, years: Iterable[int]) -> Cube:
 def _stored(spark: SparkSession, path: str) -> Mapping[str, str]:
     """The request for each year that is stored, or under WHOLE for all."""
     kept = snapshot.current(spark, path)
-    return kept.requests if kept else {}
+    if kept:
+        return kept.requests
+    # Groups of a dataset: what all of them have.
+    groups = [set(m.requests.items()) for m in snapshot.stores(spark, path).values()]
+    return dict(set.intersection(*groups)) if groups else {}

@@ -60,6 +60,14 @@ def current(spark: SparkSession, path: str) -> Manifest | None:
     return _read(spark, f"{path}/{FOLDER}/{found[-1]:08d}.json") if found else None
 
 
+def stores(spark: SparkSession, path: str) -> dict[str, Manifest]:
+    """The folders right below `path` that hold a store, with their manifests."""
+    found = _file_system(spark, path).globStatus(_paths(spark)(f"{path}/*/{FOLDER}")) or ()
+    names = [f.getPath().getParent().getName() for f in found]
+    kept = {f"{path}/{n}": current(spark, f"{path}/{n}") for n in names}
+    return {folder: manifest for folder, manifest in kept.items() if manifest}
+
+
 def commit(spark: SparkSession, path: str, manifest: Manifest) -> None:
     """Make a state the current one, if none was made meanwhile; then clear away older ones."""
     target, fs, new_path = f"{path}/{FOLDER}/{manifest.number:08d}.json", _file_system(spark, path), _paths(spark)

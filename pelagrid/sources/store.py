@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..axis import LENGTH, POSITION, Axis, noted
 from ..cube import TIME, Cube
+from ..dataset import Dataset
 from ..ranks import ranked_once
 from . import snapshot
 from .snapshot import Manifest
@@ -188,11 +189,15 @@ def duplicate_cells(cube: Cube) -> DataFrame:
     return cube.frame.groupBy(*cube.dims).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def combine(cubes: Sequence[Cube]) -> Cube:
-    """Cubes of equal dimensions as one; variables line up by name."""
+def combine(cubes: Sequence[Cube]) -> Cube | Dataset:
+    """Cubes as one; variables line up by name. Cubes of unlike dimensions become a
+    dataset with a group for each set of dimensions, their common axes shared."""
     first, *rest = cubes
-    if any(set(c.dims) != set(first.dims) for c in rest):
-        raise ValueError(f"different dimensions: {[c.dims for c in cubes]}")
+    groups: dict[frozenset[str], list[Cube]] = {}
+    for c in cubes:
+        groups.setdefault(frozenset(c.dims), []).append(c)
+    if len(groups) > 1:
+        return Dataset.of([combine(group) for group in groups.values()])
     names = list(dict.fromkeys(v for c in cubes for v in c.data_vars))
     year = YEAR if all(c.year for c in cubes) else None
     frame, axes = None, None
@@ -248,6 +253,25 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     snapshot.commit(spark, path, _with_axes(spark, path, now, axes, timed, version))
 
 
+def write_dataset(data: Dataset, path: str, **options) -> None:
+    """Keep the groups of a dataset, each below `path` in a folder named by its dimensions, as
+    `write_cube` does with the same options. Groups of equal dimensions are joined."""
+    groups: dict[frozenset[str], list[str]] = {}
+    for g in data.groups:
+        groups.setdefault(frozenset(g.dims), []).extend(g.data_vars)
+    for names in groups.values():
+        cube = data.cube(*names)
+        write_cube(cube, f"{path.rstrip('/')}/{'_'.join(cube.dims) or 'point'}", **options)
+
+
+def open_groups(spark: SparkSession, path: str) -> Dataset:
+    """A dataset that `write_dataset` has kept."""
+    found = snapshot.stores(spark, path.rstrip("/"))
+    if not found:
+        raise FileNotFoundError(f"no kept groups below {path}")
+    return Dataset.of([open_cube(spark, folder, tuple(kept.dims)) for folder, kept in sorted(found.items(), key=lambda f: -len(f[1].dims))])
+
+
 def keep_axes(spark: SparkSession, path: str, dims: Sequence[str], descending: Sequence[str] = ()) -> None:
     """Write the axes of a Parquet cube anew from its cells: for one stored by other means."""
     path = path.rstrip("/")
