@@ -93,6 +93,72 @@ def isoline(
     return cells.where("cross_x or cross_y").select(*by, F.inline(F.array_compact(points)))
 
 
+def isoline_segments(
+    cube: Cube,
+    var: str,
+    level: float,
+    by: Sequence[str] = (),
+    x: str = "longitude",
+    y: str = "latitude",
+) -> DataFrame:
+    """The pieces of the isoline inside the grid cells of each facet's raster, each with both ends.
+
+    A grid cell lies between four neighbours on the axes. Where two of its sides are crossed, as
+    `isoline` says, one piece joins the crossings. Where all four are, the corners below the level lie
+    across from each other: they belong together if the mean of the corners is below the level too, and
+    are cut off one by one if not. A cell with a missing corner has no piece; any other crossing is an
+    end of the pieces on both sides of its grid line, so that pieces join at equal ends.
+
+    Rows are (*by, y_from, x_from, y_to, x_to), named after the dimensions. Sides count
+    from the lower y over the lower x and the higher y to the higher x; `from` is on the earlier one. Two
+    windows, along and across, as for the points.
+    """
+    require_dims(cube, x, y, *by)
+    if set(cube.dims) != {x, y, *by}:
+        raise ValueError(f"isoline needs exactly the dimensions {[*by, y, x]}, got {list(cube.dims)}")
+    cells = cube.frame.select(
+        *by, F.col(y).alias("ky"), F.col(x).alias("kx"), F.col(var).cast("double").alias("v")
+    ).where(F.col("v").isNotNull())
+    for dim, key in ((x, "kx"), (y, "ky")):
+        axis = cube.positions(dim).select(F.col(dim).alias(key), F.col("position").alias(f"{key}_at"))
+        cells = cells.join(axis, key)
+
+    along = Window.partitionBy(*by, "ky").orderBy("kx_at")
+    east = F.lead("kx_at").over(along) == F.col("kx_at") + 1
+    cells = cells.select(
+        "*", F.when(east, F.lead("v").over(along)).alias("v_e"), F.when(east, F.lead("kx").over(along)).alias("kx_e"))
+    across = Window.partitionBy(*by, "kx").orderBy("ky_at")
+    north = F.lead("ky_at").over(across) == F.col("ky_at") + 1
+    cells = cells.select("*", *[
+        F.when(north, F.lead(c).over(across)).alias(n) for c, n in (("v", "v_n"), ("v_e", "v_ne"), ("ky", "ky_n"))])
+    below = {c: F.col(c) < level for c in ("v", "v_e", "v_n", "v_ne")}
+    # Few cells are crossed: the rest is gone before anything is built per side.
+    some = (below["v"] != below["v_e"]) | (below["v"] != below["v_n"]) | (below["v"] != below["v_ne"])
+    cells = cells.where(F.col("v_e").isNotNull() & F.col("v_n").isNotNull() & F.col("v_ne").isNotNull()).where(some)
+
+    def at(here: str, there: str, a: str, b: str):
+        part = (F.lit(float(level)) - F.col(a)) / (F.col(b) - F.col(a))
+        low, high = F.col(here).cast("double"), F.col(there).cast("double")
+        return low + part * (high - low)
+
+    def side(a: str, b: str, lat, lon):
+        return F.when(below[a] != below[b], F.struct(lat.alias("lat"), lon.alias("lon")))
+
+    low_y, high_y, low_x, high_x = (F.col(c).cast("double") for c in ("ky", "ky_n", "kx", "kx_e"))
+    s = side("v", "v_e", low_y, at("kx", "kx_e", "v", "v_e"))
+    w = side("v", "v_n", at("ky", "ky_n", "v", "v_n"), low_x)
+    n = side("v_n", "v_ne", high_y, at("kx", "kx_e", "v_n", "v_ne"))
+    e = side("v_e", "v_ne", at("ky", "ky_n", "v_e", "v_ne"), high_x)
+    middle = (F.col("v") + F.col("v_e") + F.col("v_n") + F.col("v_ne")) / 4 < level
+    crossed = F.array_compact(F.array(s, w, n, e))
+    piece = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    cut_off = F.when(below["v"] != middle, F.array(piece(s, w), piece(n, e))).otherwise(F.array(piece(s, e), piece(w, n)))
+    pieces = F.when(F.size(crossed) == 4, cut_off).otherwise(F.array(piece(crossed[0], crossed[1])))
+    return cells.select(*by, F.explode(pieces).alias("p")).select(
+        *by, F.col("p.a.lat").alias(f"{y}_from"), F.col("p.a.lon").alias(f"{x}_from"),
+        F.col("p.b.lat").alias(f"{y}_to"), F.col("p.b.lon").alias(f"{x}_to"))
+
+
 def labelled(points: DataFrame, level: float) -> DataFrame:
     """Isoline points with the level as its contour label, without decimals."""
     return points.withColumn("label", F.format_string("%.0f", F.lit(float(level))))

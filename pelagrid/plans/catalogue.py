@@ -380,6 +380,13 @@ def isoline(spark, folder):
                          F.round("longitude", 6).alias("longitude"))
 
 
+def isoline_segments(spark, folder):
+    surface = season_mean(tables.field(spark, folder).pick("so").isel(depth=0))
+    pieces = plotdata.isoline_segments(surface, "so", LEVEL, by=["season"])
+    ends = [f"{d}_{end}" for d in ("latitude", "longitude") for end in ("from", "to")]
+    return pieces.select("season", *[F.round(c, 6).alias(c) for c in ends])
+
+
 def _month_section(spark, folder) -> Cube:
     """Month by latitude means of the top level."""
     return rounded_climatology(tables.field(spark, folder).isel(depth=0), "so").mean("longitude")
@@ -456,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "q_combine_names": combine_names,
     "q_profile_instant": profile_instant,
     "q_isel_stored": isel_stored,
+    "q_isoline_segments": isoline_segments,
     "q_mixed_dims": mixed_dims,
     "q_mixed_drop": mixed_drop,
     "q_mixed_stored": mixed_stored,

@@ -55,6 +55,32 @@ points AS (
          round(longitude + ({LEVEL} - v0) / (v1 - v0) * (lon1 - longitude), 6) AS longitude
   FROM pairs WHERE (v0 < {LEVEL}) <> (v1 < {LEVEL}))"""
 
+# Corners of a grid cell: a, east b, north c, north-east d; sides in the order south, west, north, east.
+SEGMENTS = f"""{SEASON_TOP}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')},
+cells AS (
+  SELECT season, latitude, longitude, v, ilat.i AS y, ilon.i AS x
+  FROM a2 JOIN ilat USING (latitude) JOIN ilon USING (longitude)),
+squares AS (
+  SELECT a.season, a.v AS va, b.v AS vb, c.v AS vc, d.v AS vd, a.latitude AS y0, c.latitude AS y1, a.longitude AS x0, b.longitude AS x1
+  FROM cells a JOIN cells b ON a.season = b.season AND a.y = b.y AND b.x = a.x + 1
+  JOIN cells c ON a.season = c.season AND a.x = c.x AND c.y = a.y + 1
+  JOIN cells d ON a.season = d.season AND d.x = b.x AND d.y = c.y),
+sides AS (
+  SELECT season, va, vb, vc, vd,
+    CASE WHEN (va < {LEVEL}) <> (vb < {LEVEL}) THEN [y0, x0 + ({LEVEL} - va) / (vb - va) * (x1 - x0)] END AS s,
+    CASE WHEN (va < {LEVEL}) <> (vc < {LEVEL}) THEN [y0 + ({LEVEL} - va) / (vc - va) * (y1 - y0), x0] END AS w,
+    CASE WHEN (vc < {LEVEL}) <> (vd < {LEVEL}) THEN [y1, x0 + ({LEVEL} - vc) / (vd - vc) * (x1 - x0)] END AS n,
+    CASE WHEN (vb < {LEVEL}) <> (vd < {LEVEL}) THEN [y0 + ({LEVEL} - vb) / (vd - vb) * (y1 - y0), x1] END AS e
+  FROM squares),
+pieces AS (
+  SELECT season, coalesce(s, w, n) AS p, coalesce(e, n, w) AS q FROM sides
+  WHERE (s IS NULL)::INT + (w IS NULL)::INT + (n IS NULL)::INT + (e IS NULL)::INT = 2
+  UNION ALL SELECT season, s, CASE WHEN (va < {LEVEL}) <> ((va + vb + vc + vd) / 4 < {LEVEL}) THEN w ELSE e END
+  FROM sides WHERE s IS NOT NULL AND w IS NOT NULL AND n IS NOT NULL AND e IS NOT NULL
+  UNION ALL SELECT season, CASE WHEN (va < {LEVEL}) <> ((va + vb + vc + vd) / 4 < {LEVEL}) THEN n ELSE w END,
+    CASE WHEN (va < {LEVEL}) <> ((va + vb + vc + vd) / 4 < {LEVEL}) THEN e ELSE n END
+  FROM sides WHERE s IS NOT NULL AND w IS NOT NULL AND n IS NOT NULL AND e IS NOT NULL)"""
+
 SECTION = f"""a1 AS (
   SELECT {month()} AS month, latitude, longitude, floor(avg(so) + 0.5) AS so
   FROM field WHERE {TOP} GROUP BY ALL),
@@ -226,6 +252,8 @@ deep AS (SELECT {season('time')} AS season, latitude, longitude, avg(so) AS so F
 top AS (SELECT {season('time')} AS season, latitude, longitude, avg(tx) AS tx FROM flat JOIN ilat USING (latitude)
   WHERE ilat.i >= 5 AND ilat.i < 9 GROUP BY ALL)
 SELECT season, latitude, longitude, so, tx FROM deep FULL JOIN top USING (season, latitude, longitude)""",
+    "q_isoline_segments": f"""WITH {FIELD}, {SEGMENTS} SELECT season, round(p[1], 6) AS latitude_from, round(p[2], 6) AS longitude_from,
+  round(q[1], 6) AS latitude_to, round(q[2], 6) AS longitude_to FROM pieces""",
     "q_isel_stored": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')}
 SELECT time, depth, so, tx FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
 WHERE ilat.i = 10 + 1 AND ilon.i = 4 + 1""",
