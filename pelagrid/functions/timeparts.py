@@ -19,9 +19,14 @@ def month_of(time: Column) -> Column:
 def season_of(time: Column) -> Column:
     """Season label of the month, NULL without a time; December counts with January
     and February whatever their year, so no season spans a year boundary."""
+    return season_of_month(F.month(time))
+
+
+def season_of_month(month: Column) -> Column:
+    """Season label of a month number."""
     label = F.lit(None).cast("string")
     for number, season in enumerate(SEASONS):
-        label = F.when(F.floor(F.month(time) % 12 / 3) == number, F.lit(season)).otherwise(label)
+        label = F.when(F.floor(month % 12 / 3) == number, F.lit(season)).otherwise(label)
     return label
 
 

@@ -315,6 +315,22 @@ def extents(spark, folder):
     return season_mean(tables.field(spark, folder).pick("so")).extents("so", "latitude", "longitude")
 
 
+def clim_incremental(spark, folder):
+    """Monthly means from kept sums, after one year was replaced by a smaller box of it."""
+    path = shared_folder(spark)
+    whole = tables.field(spark, folder)
+    store.write_cube(whole, path, partials=True)
+    store.write_cube(whole.sel_time("1998-01-01", "1998-12-31").sel_range(latitude=(25, None)), path)
+    return store.open_means(spark, path).frame
+
+
+def clim_seasons_kept(spark, folder):
+    """Seasonal means from kept sums, with cells that are missing everywhere."""
+    path = shared_folder(spark)
+    store.write_cube(tables.holed_field(spark, folder), path, partials=True)
+    return store.open_means(spark, path, "season").isel(latitude=slice(0, 4)).frame
+
+
 # -- profiles and overlays -----------------------------------------------------
 
 def _vertical(spark, folder) -> Cube:
@@ -463,6 +479,8 @@ QUERIES: dict[str, Query] = {
     "q_combine_names": combine_names,
     "q_profile_instant": profile_instant,
     "q_isel_stored": isel_stored,
+    "q_clim_incremental": clim_incremental,
+    "q_clim_seasons_kept": clim_seasons_kept,
     "q_isoline_segments": isoline_segments,
     "q_mixed_dims": mixed_dims,
     "q_mixed_drop": mixed_drop,

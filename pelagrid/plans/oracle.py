@@ -254,6 +254,11 @@ top AS (SELECT {season('time')} AS season, latitude, longitude, avg(tx) AS tx FR
 SELECT season, latitude, longitude, so, tx FROM deep FULL JOIN top USING (season, latitude, longitude)""",
     "q_isoline_segments": f"""WITH {FIELD}, {SEGMENTS} SELECT season, round(p[1], 6) AS latitude_from, round(p[2], 6) AS longitude_from,
   round(q[1], 6) AS latitude_to, round(q[2], 6) AS longitude_to FROM pieces""",
+    "q_clim_incremental": f"""WITH {FIELD} SELECT {month()} AS month, depth, latitude, longitude, avg(so) AS so, avg(tx) AS tx
+FROM field WHERE latitude >= 25 OR time NOT BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31' GROUP BY ALL""",
+    "q_clim_seasons_kept": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, holed AS (
+  SELECT time, depth, latitude, longitude, CASE WHEN depth < 7 THEN so END AS so FROM field JOIN ilat USING (latitude) WHERE ilat.i < 4)
+SELECT {season('time')} AS season, depth, latitude, longitude, avg(so) AS so FROM holed GROUP BY ALL""",
     "q_isel_stored": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')}
 SELECT time, depth, so, tx FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
 WHERE ilat.i = 10 + 1 AND ilon.i = 4 + 1""",

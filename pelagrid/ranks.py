@@ -78,3 +78,20 @@ def _before(frame: DataFrame, order: Sequence[Column], weight: Column, name: str
     within = kept.withColumn(name, F.coalesce(F.sum(name).over(earlier), F.lit(0)))
     shifted = within.join(F.broadcast(shifts), PART)
     return shifted.withColumn(name, F.col(name) + F.col(SHIFT)).drop(PART, SHIFT), ends[-1]
+
+
+def furthest_before(frame: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """The rows with the largest value among the rows before them in `order`, as a column `name`.
+
+    As in `before` rows are dealt out by ranges; each looks back within its range, and over the largest
+    values of the ranges before it, one small row a range.
+    """
+    ranges = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cached(frame.withColumn(name, value).repartitionByRange(ranges, *order).withColumn(PART, F.spark_partition_id()))
+    most = dealt.groupBy(PART).agg(F.max(name).alias(SHIFT))
+    listed = most.agg(F.collect_list(F.struct(PART, SHIFT)).alias("all"))
+    reach = most.select(PART).join(F.broadcast(listed)).select(PART, F.array_max(F.transform(
+        F.filter("all", lambda r: r[PART] < F.col(PART)), lambda r: r[SHIFT])).alias(SHIFT))
+    earlier = Window.partitionBy(PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = dealt.withColumn(name, F.max(name).over(earlier)).join(F.broadcast(reach), PART)
+    return within.withColumn(name, F.greatest(name, SHIFT)).drop(PART, SHIFT)

@@ -31,6 +31,7 @@ class Manifest:
     axes      version of the axes likewise
     index     version of the axis positions, which are along all years
     dims      per dimension its field, as JSON, and the number of its positions
+    partials  version of the sums and counts by month, by year; see `store.open_means`
     requests  what was asked for, by year or under WHOLE
     reports   cells, missing values and extents of each version of cells that is there
     """
@@ -41,6 +42,7 @@ class Manifest:
     axes: Mapping[str, str] = field(default_factory=dict)
     index: str | None = None
     dims: Mapping[str, dict] = field(default_factory=dict)
+    partials: Mapping[str, str] = field(default_factory=dict)
     requests: Mapping[str, str] = field(default_factory=dict)
     reports: Mapping[str, dict] = field(default_factory=dict)
 
@@ -108,7 +110,7 @@ def _clear(spark: SparkSession, path: str) -> None:
 def _folders(path: str, m: Manifest) -> list[str]:
     """All folders of a state, those of the axes as patterns."""
     index = [f"{path}/_index/*/{VERSION}={m.index}"] if m.index else []
-    return [*folders(path, m.cells), *folders(f"{path}/_axes/*", m.axes), *index]
+    return [*folders(path, m.cells), *folders(f"{path}/_axes/*", m.axes), *folders(f"{path}/_partials", m.partials), *index]
 
 
 def existing(spark: SparkSession, path: str, versions: Mapping[str, str]) -> list[str]:

@@ -18,14 +18,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from fnmatch import fnmatch
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..axis import LENGTH, POSITION, Axis, noted
 from ..cube import TIME, Cube
 from ..dataset import Dataset
-from ..ranks import ranked_once
+from ..functions.timeparts import TIME_PARTS, month_of, season_of_month
+from ..ranks import furthest_before, ranked_once
 from . import snapshot
 from .snapshot import Manifest
 
@@ -173,8 +174,7 @@ def overlaps(spans: DataFrame, slab: str = "file") -> DataFrame:
         spans = spans.groupBy(folder).agg(F.min("first").alias("first"), F.max("last").alias("last"))
     elif slab != "file":
         raise ValueError(f"slab is 'file' or 'directory', not {slab!r}")
-    earlier = Window.orderBy("first", "last", "slab").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("reached", F.max("last").over(earlier)).where("first <= reached")
+    return furthest_before(spans, [F.col(c) for c in ("first", "last", "slab")], F.col("last"), "reached").where("first <= reached")
 
 
 def check_overlap(spans: DataFrame, along: str, slab: str = "file") -> None:
@@ -209,7 +209,7 @@ def combine(cubes: Sequence[Cube]) -> Cube | Dataset:
 
 
 def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: bool = False,
-               years: Iterable[int] | None = None, request: str | None = None) -> None:
+               years: Iterable[int] | None = None, request: str | None = None, partials: bool | None = None) -> None:
     """Keep a cube by year, with its axes, as the next state of what is kept there.
 
     Only the years present in the cube and those in `years` are replaced unless `replace_all`; of
@@ -222,6 +222,10 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     value ranges over (year, place, time), which takes a sample first: each file then
     covers a small box, and a year or a place with most of the rows is split too. Cells, missing values
     and extents are counted on the way; see `store_report`. `request` is noted with what is replaced.
+
+    With `partials` the sum and count of every variable by year, month and cell are kept beside the cells, for
+    `open_means`; a store that has them goes on with them. They are made from the cells just
+    stored, and those of other years are not read.
     """
     path, spark = path.rstrip("/"), cube.frame.sparkSession
     place = [d for d in ("depth", "latitude", "longitude") if d in cube.dims]
@@ -245,14 +249,59 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     if request:
         asked |= dict.fromkeys([snapshot.WHOLE] if years is None else named, request)
     measured = {"years": found, "request": request, **_report(cube, seen.get)}
+    if partials is None:
+        partials = bool(before.partials)
+    elif partials and timed and (old := sorted(set(cells) - set(found) - set(before.partials))):
+        raise ValueError(f"no partial means are kept of {old}; store these years with them too")
+    sums = {k: v for k, v in before.partials.items() if k in cells and k not in found} if partials else {}
+    if partials and timed and found:
+        stored = _cells(spark, path, replace(before, schema=frame.schema.json()), dict.fromkeys(found, version))
+        _append(_partial_sums(stored, cube), f"{path}/_partials", True, version)
+        sums |= dict.fromkeys(found, version)
     reports = {v: r for v, r in before.reports.items() if v in cells.values()} | {version: measured}
     log.info("stored %s: %s", path, measured)
-    now = replace(before, number=before.number + 1, schema=frame.schema.json(), cells=cells, requests=asked, reports=reports,
+    now = replace(before, number=before.number + 1, schema=frame.schema.json(), cells=cells, partials=sums, requests=asked, reports=reports,
                   axes={} if replace_all else {k: v for k, v in before.axes.items() if k not in (*named, snapshot.WHOLE)})
     axes = {d: a.values.select(noted(d, a.descending)) for d, a in cube.axes.items()}
     snapshot.commit(spark, path, _with_axes(spark, path, now, axes, timed, version))
 
 
+def _partial_sums(cells: DataFrame, cube: Cube) -> DataFrame:
+    """Per year, month and place: sum and count of each variable, missing values left out."""
+    rest = [d for d in cube.dims if d != TIME]
+    sums = [e for i, v in enumerate(cube.data_vars) for e in (
+        F.sum(F.col(v).cast("double")).alias(f"sum{i}"), F.count(v).alias(f"count{i}"))]
+    timed = cells.where(F.col(TIME).isNotNull())
+    return timed.groupBy(YEAR, month_of(F.col(TIME)).alias("month"), *rest).agg(*sums).sortWithinPartitions(YEAR, *rest)
+
+
+def open_means(spark: SparkSession, path: str, part: str = "month", rename: Mapping[str, str] | None = None) -> Cube:
+    """The climatology by month or season of a cube that was kept with `partials`.
+
+    It is what `group_mean` gives, every day counting once, from the kept sums and counts:
+    no cell is read, and a year that was replaced has replaced its sums only. Sums are added in another
+    order than by the cells, which can show in the last digits of values that are not whole.
+    """
+    path = path.rstrip("/")
+    kept = snapshot.current(spark, path)
+    if not kept or not kept.partials:
+        raise FileNotFoundError(f"no partial means are kept in {path}")
+    if part not in ("month", "season"):
+        raise KeyError(f"no kept means by {part!r}; there are month and season")
+    schema = StructType.fromJson(json.loads(kept.schema))
+    rest = [d for d in kept.dims if d != TIME]
+    names = [f.name for f in schema if f.name not in kept.dims and f.name != YEAR]
+    parts = spark.read.option("basePath", f"{path}/_partials").parquet(*snapshot.folders(f"{path}/_partials", kept.partials))
+    key = F.col("month") if part == "month" else season_of_month(F.col("month"))
+    n = [F.sum(f"count{i}") for i, _ in enumerate(names)]
+    means = parts.groupBy(key.alias(part), *rest).agg(*[
+        F.when(n[i] > 0, F.sum(f"sum{i}") / n[i]).alias(v) for i, v in enumerate(names)])
+    axes = _kept_axes(spark, path, kept, [TIME, *rest], None)
+    times = axes.pop(TIME)
+    cube = Cube.of(means, (part, *rest), names, {part: times.derived(TIME_PARTS[part](F.col(TIME)).alias(part)), **axes})
+    return cube.rename({o: n for o, n in (rename or {}).items() if o in (*cube.dims, *names)}) if rename else cube
+
+
 def write_dataset(data: Dataset, path: str, **options) -> None:
     """Keep the groups of a dataset, each below `path` in a folder named by its dimensions, as
     `write_cube` does with the same options. Groups of equal dimensions are joined."""

@@ -2,7 +2,7 @@ import pytest
 from grids import cube, day, found
 from pyspark.sql import functions as F
 
-from pelagrid import combine, duplicate_cells, from_frame, keep_axes, open_cube, open_many, write_cube
+from pelagrid import combine, duplicate_cells, from_frame, keep_axes, open_cube, open_many, open_means, season_mean, seasonality, write_cube
 from plans import scans
 
 DIMS = ("time", "latitude", "longitude")
@@ -201,3 +201,51 @@ def test_storing_moves_no_position(spark, tmp_path):
     assert back.axis("latitude").count() == 4
     for at in range(4):
         assert found(back.isel(latitude=at).frame.select("so")) == found(late.isel(latitude=at).frame.select("so"))
+
+
+def test_kept_means_read_sums_alone(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    whole = combine([days(spark, "2000-01-01", "2000-12-31", so=2.0), days(spark, "2001-01-15", "2001-07-01", so=5.0)])
+    write_cube(whole, path, partials=True)
+    for part, full in (("month", seasonality), ("season", season_mean)):
+        means = open_means(spark, path, part)
+        assert means.dims == (part, "latitude", "longitude")
+        assert found(means.frame) == found(full(whole).frame.select(*means.frame.columns))
+        assert all("/_partials/" in f for f in means.frame.inputFiles())
+    assert [r.season for r in open_means(spark, path, "season").axis("season").collect()] == ["DJF", "JJA"]
+
+
+def test_kept_means_follow_a_replaced_year(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    write_cube(days(spark, "2000-01-01", "2001-01-01", so=1.0), path, partials=True)
+    old = set((tmp_path / "salt" / "_partials" / "year=2000").iterdir())
+    write_cube(days(spark, "2001-01-05", so=4.0), path)
+    means = open_means(spark, path, rename={"latitude": "lat"})
+    assert means.dims == ("month", "lat", "longitude")
+    assert found(means.frame, "month", "so") == [(1, 2.5)] * 4
+    assert set((tmp_path / "salt" / "_partials" / "year=2000").iterdir()) == old
+    write_cube(days(spark, "2002-01-01"), path, years=[2000])
+    assert found(open_means(spark, path).frame, "so") == [(2.5,)] * 4
+
+
+def test_means_are_kept_of_all_years_or_of_none(spark, tmp_path):
+    path = f"{tmp_path}/salt"
+    write_cube(days(spark, "2000-01-01"), path)
+    with pytest.raises(FileNotFoundError):
+        open_means(spark, path)
+    with pytest.raises(ValueError, match="no partial means are kept of"):
+        write_cube(days(spark, "2001-01-01"), path, partials=True)
+    write_cube(days(spark, "2000-01-01", "2001-01-01"), path, partials=True)
+    assert open_means(spark, path).frame.count() == 4
+
+
+def test_overlaps_of_many_files_need_no_single_task(spark, tmp_path):
+    from plans import plan_text
+
+    from pelagrid.sources import store
+
+    spans = spark.sql("select concat('f', id) as slab, id * 10 as first, id * 10 + if(id % 50 = 7, 25, 9) as last from range(400)")
+    clashes = store.overlaps(spans)
+    # One window, within ranges; what is gathered is a row a range.
+    assert plan_text(clashes).count("windowspecdefinition(") == plan_text(clashes).count("windowspecdefinition(__part") > 0
+    assert {r.slab for r in clashes.collect()} == {f"f{i + k}" for i in range(7, 400, 50) for k in (1, 2)}
