@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
-from functools import reduce as fold
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..ranks import before
+from ..ranks import running
 from ..session import written
 
 if TYPE_CHECKING:
@@ -34,24 +33,22 @@ def robust_limits(cube: Cube, var: str, low: float = 0.02, high: float = 0.98) -
     """The `low` and `high` percentiles of a variable over all cells, exact, with
     linear interpolation between ranks, as one row (vmin, vmax); NULL without a value.
 
-    Each percentile is bracketed with percentile_approx, the rows below the bracket
-    are counted, and what is inside is counted by value and ranked by ranges; so no
-    task holds more than a range, however many rows there are or share a value. The values
-    are written once and scanned a few times, as the cube itself may be an expensive
-    aggregation.
+    The values are written once, and counted as they are, for the cube itself may be an expensive
+    aggregation. One pass brackets both percentiles with percentile_approx; a second one counts the
+    rows below, between and above the brackets and, inside, the rows of each value. The values inside
+    both are ranked together, by ranges; so no task holds more than a range, however many rows
+    there are or share a value.
     """
     if not 0 <= low < high <= 1:
         raise ValueError(f"need 0 <= low < high <= 1, got {low}, {high}")
     if var not in cube.data_vars:
         raise KeyError(f"no variable {var!r}; there are {list(cube.data_vars)}")
-    kept = written(cube.frame.select(F.col(var).alias("v")).where(F.col("v").isNotNull()))
-    values = kept.select(F.col("v").cast("double").alias("v"))
-    n = values.count()
-    brackets = _narrow(values, [Bracket.around(q, n) for q in (low, high)]) if n else []
-    parts = [b.ranked(values).select(F.lit(i).alias("i"), "value") for i, b in enumerate(brackets)]
-    found = fold(DataFrame.unionByName, parts) if parts else values.select(F.lit(0).alias("i"), F.col("v").alias("value"))
-    at = [F.max(F.when(F.col("i") == i, F.col("value"))) for i in (0, 1)]
-    return found.agg(at[0].alias("vmin"), at[1].alias("vmax"))
+    seen = Observation()
+    held = cube.frame.select(F.col(var).alias("v")).where(F.col("v").isNotNull())
+    values = written(held.observe(seen, F.count(F.lit(1)).alias("n"))).select(F.col("v").cast("double").alias("v"))
+    n = seen.get["n"]
+    found = _exact(values, [Bracket.around(q, n) for q in (low, high)]) if n else [None, None]
+    return values.sparkSession.range(1).select(*[F.lit(x).cast("double").alias(c) for x, c in zip(found, ("vmin", "vmax"))])
 
 
 @dataclass(frozen=True)
@@ -89,40 +86,52 @@ class Bracket:
         last = (self.next_rank - self.below + 1) / self.inside + self.slack
         return max(first, 0.0), min(last, 1.0)
 
-    def ranked(self, values: DataFrame) -> DataFrame:
-        """The interpolated percentile from the values inside, as one row `value`."""
-        counts = values.where(self.holds(F.col("v"))).groupBy("v").agg(F.count("*").alias("c"))
-        start = F.lit(self.below) + F.col("before")
-        ranks = before(counts, [F.col("v")], F.col("c"), "before").select("v", "c", (start + F.col("c")).alias("end"))
-
-        def at(rank: int) -> Column:
-            here = (F.col("end") > rank) & (F.col("end") - F.col("c") <= rank)
-            return F.max(F.when(here, F.col("v")))
-
-        ends = ranks.agg(at(self.rank).alias("a"), at(self.next_rank).alias("b"))
-        return ends.select((F.col("a") + (F.col("b") - F.col("a")) * F.lit(self.fraction)).alias("value"))
-
-
-def _narrow(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
-    """Each bracket narrowed once, to its rank and a little more on both sides; wider
-    again where the estimate was worse than promised."""
+    def at(self, rank: int, before: int) -> Column:
+        """The value inside with this rank; `before` are the rows of other brackets' values below."""
+        start = F.col("before") + (self.below - before)
+        here = (start <= rank) & (start + F.col("c") > rank)
+        return F.max(F.when(here & self.holds(F.col("v")), F.col("v")))
+
+
+def _exact(values: DataFrame, brackets: list[Bracket]) -> list[float]:
+    """The interpolated percentiles of the brackets."""
+    open_ = brackets
+    while True:
+        tried = _guessed(values, open_)
+        counts = _counts(values, tried)
+        totals = [(r["place"], r["inside"], r["c"]) for r in counts.groupBy(
+            "place", F.col("v").isNotNull().alias("inside")).agg(F.sum("c").alias("c")).collect()]
+        tried = [replace(b, below=sum(c for at, _, c in totals if not at >> 2 * i & 1),
+                         inside=sum(c for at, _, c in totals if at >> 2 * i & 3 == 1)) for i, b in enumerate(tried)]
+        missed = {i for i, b in enumerate(tried) if not (b.below <= b.rank and b.next_rank < b.below + b.inside)}
+        if not missed:
+            break
+        # The estimate was worse than promised: wider again.
+        counts.unpersist()
+        open_ = [replace(b, slack=4 * b.slack) if i in missed else b for i, b in enumerate(open_)]
+    with running(counts.where(F.col("v").isNotNull()).select("v", "c"), [F.col("v")], F.col("c"), "before") as ranks:
+        before = [sum(c for at, inside, c in totals if inside and not at >> 2 * i & 1) for i in range(len(tried))]
+        ends = ranks.agg(*[
+            b.at(rank, before[i]).alias(f"{side}{i}") for i, b in enumerate(tried)
+            for side, rank in (("a", b.rank), ("b", b.next_rank))]).first()
+    counts.unpersist()
+    return [ends[f"a{i}"] + (ends[f"b{i}"] - ends[f"a{i}"]) * b.fraction for i, b in enumerate(tried)]
+
+
+def _guessed(values: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """Each bracket narrowed to its rank and a little more on both sides, in one pass for all."""
+    guesses = values.agg(*[
+        F.percentile_approx("v", F.array(*map(F.lit, b.probes())), F.lit(ACCURACY)).alias(f"g{i}")
+        for i, b in enumerate(brackets)]).first()
+    return [replace(b, low=guesses[f"g{i}"][0], high=guesses[f"g{i}"][1]) for i, b in enumerate(brackets)]
+
+
+def _counts(values: DataFrame, brackets: list[Bracket]) -> DataFrame:
+    """Rows by place and value: place has two bits a bracket, one at or above its
+    low end and one above its high end; v is missing outside of all brackets."""
     v = F.col("v")
-    open_ = set(range(len(brackets)))
-    while open_:
-        guesses = values.agg(*[
-            F.percentile_approx(v, F.array(*map(F.lit, brackets[i].probes())), F.lit(ACCURACY)).alias(f"g{i}")
-            for i in open_
-        ]).first()
-        tried = {i: replace(brackets[i], low=guesses[f"g{i}"][0], high=guesses[f"g{i}"][1]) for i in open_}
-        counted = values.agg(
-            *[F.count_if(v < F.lit(b.low)).alias(f"below{i}") for i, b in tried.items()],
-            *[F.count_if(b.holds(v)).alias(f"inside{i}") for i, b in tried.items()],
-        ).first()
-        for i, b in tried.items():
-            b = replace(b, below=counted[f"below{i}"], inside=counted[f"inside{i}"])
-            if b.below <= b.rank and b.next_rank < b.below + b.inside:
-                brackets[i] = b
-                open_.discard(i)
-            else:
-                brackets[i] = replace(brackets[i], slack=4 * brackets[i].slack)
-    return brackets
+    place, inside = F.lit(0), F.lit(False)
+    for i, b in enumerate(brackets):
+        passed = (v >= F.lit(b.low)).cast("int") + 2 * (v > F.lit(b.high)).cast("int")
+        place, inside = place + passed * 4**i, inside | b.holds(v)
+    return values.groupBy(place.alias("place"), F.when(inside, v).alias("v")).agg(F.count("*").alias("c")).persist()

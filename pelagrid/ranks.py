@@ -46,6 +46,19 @@ def ranked_in_memory(frame: DataFrame, order: Sequence[Column], name: str = "pos
 @contextmanager
 def ranked_once(frame: DataFrame, order: Sequence[Column], name: str = "position") -> Iterator[tuple[DataFrame, int]]:
     """As `ranked_in_memory`, for one use: nothing stays cached afterwards."""
+    with _once(frame, order, F.lit(1), name) as found:
+        yield found
+
+
+@contextmanager
+def running(frame: DataFrame, order: Sequence[Column], weight: Column, name: str) -> Iterator[DataFrame]:
+    """As `before`, for one use and in memory: `frame` must give the same rows each time."""
+    with _once(frame, order, weight, name) as (found, _):
+        yield found
+
+
+@contextmanager
+def _once(frame: DataFrame, order: Sequence[Column], weight: Column, name: str) -> Iterator[tuple[DataFrame, int]]:
     held: list[DataFrame] = []
 
     def hold(dealt: DataFrame) -> DataFrame:
@@ -53,7 +66,7 @@ def ranked_once(frame: DataFrame, order: Sequence[Column], name: str = "position
         return held[0]
 
     try:
-        yield _before(frame, order, F.lit(1), name, hold)
+        yield _before(frame, order, weight, name, hold)
     finally:
         for dealt in held:
             dealt.unpersist()
