@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .common import Docs
+from .common import Docs, small
 from .components import components
 
 SHINGLE = 3
 RADIUS = 3
 HASH_SEED = 42
-# A branch of a tree with no more fingerprints than this is searched one by one.
-LEAF = 32
+# A shard of more fingerprints than this is split, so often at most.
+MOST, LEVELS = 4096, 3
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -66,7 +66,7 @@ def near(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
 
     Fingerprints link at RADIUS or fewer differing bits; equal ones always do.
     Each different fingerprint is one node, whatever the number of its documents.
-    Fingerprints are dealt out to shards, of which any two that link share one, and
+    Fingerprints are dealt out to shards by a quarter of their bits, of which any two that link share one, and
     each shard is searched by a BK-tree. The links of a shard are cut down to
     a tree of each component before they leave it; the rest is `components`.
     Rows that repeat an id are documents of their own. An empty table gives no rows.
@@ -89,29 +89,53 @@ def rooted(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b): pairs of different fingerprints at RADIUS or fewer differing bits, as
-    many as join up what is joined at all.
-
-    RADIUS + 1 parts of the bits: of two such fingerprints one part is equal, and of
-    the RADIUS + 1 parts of the remaining bits again one. A shard is a pair of such
-    parts with their values.
-    """
-    keys = []
-    size = 64 // (RADIUS + 1)
-    for outer in range(RADIUS + 1):
-        rest = [b for b in range(64) if b // size != outer]
-        step = len(rest) // (RADIUS + 1)
-        for inner in range(RADIUS + 1):
-            chosen = [*range(outer * size, (outer + 1) * size), *rest[inner * step:(inner + 1) * step]]
-            mask = sum(1 << b for b in chosen)
-            mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-            keys.append(F.struct(
-                F.lit(outer * (RADIUS + 1) + inner).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(mask)).alias("value")))
-    dealt = nodes.select("fingerprint", F.explode(F.array(*keys)).alias("shard"))
+    many as join up what is joined at all: each shard is searched by its own BK-tree."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("shard.table", "shard.value", "fingerprint").repartition(parts, "table", "value")
+    dealt = shards(nodes).repartition(parts, "table", "value")
     return dealt.sortWithinPartitions("table", "value", "fingerprint").mapInArrow(_linked, "a long, b long")
 
 
+def shards(nodes: DataFrame) -> DataFrame:
+    """table, value, fingerprint: two fingerprints that link are in one shard (table, value).
+
+    Of RADIUS + 1 parts of the bits one is equal in both: a shard is such a part with its
+    value. One of more than MOST fingerprints is split by the same rule for the bits
+    that are left, again and again while there are enough of them; so a tree is no longer than MOST,
+    but for fingerprints that are all alike in most of their bits.
+    """
+    every = list(range(64))
+    tables = {0: []}
+    state = nodes.select(F.lit(0).alias("table"), "fingerprint")
+    done = None
+    for level in range(LEVELS):
+        children: dict[int, list[tuple[int, list[int]]]] = {}
+        for table, fixed in tables.items():
+            rest = [b for b in every if b not in fixed]
+            step = len(rest) // (RADIUS + 1)
+            children[table] = [
+                (table * (RADIUS + 1) + k + 1, fixed + rest[k * step:(k + 1) * step]) for k in range(RADIUS + 1)]
+        tables = dict(c for found in children.values() for c in found)
+        keys = F.lit(None)
+        for table, found in children.items():
+            keys = F.when(F.col("table") == table, F.array(*[F.struct(
+                F.lit(t).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(_mask(bits))).alias("value"))
+                for t, bits in found])).otherwise(keys)
+        dealt = state.select("fingerprint", F.explode(keys).alias("shard")).select("shard.table", "shard.value", "fingerprint")
+        large = written(dealt.groupBy("table", "value").agg(F.count("*").alias("n")).where(F.col("n") > MOST).drop("n"))
+        last = level == LEVELS - 1 or large.isEmpty()
+        fits = dealt if last else dealt.join(small(large), ["table", "value"], "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        if last:
+            return done
+        state = dealt.join(small(large), ["table", "value"], "left_semi").select("table", "fingerprint")
+    return done
+
+
+def _mask(bits: list[int]) -> int:
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << 64) if mask >= 1 << 63 else mask
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Goes through the sorted shards of a task one by one, one at a time in memory."""
     held: list[np.ndarray] = []
@@ -139,28 +163,34 @@ def _tree_of(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree:
-    """A BK-tree: the children of a node are keyed by their distance to it, so what
+    """A BK-tree of fingerprints: one at each node, its children keyed by their distance to it. What
     lies within the radius of a query hangs on edges within the radius of the query's own distance."""
 
     def __init__(self, prints: np.ndarray, at: np.ndarray):
-        self.at = at
-        self.children: dict[int, Tree] = {}
-        if len(at) > LEAF:
-            apart = np.bitwise_count(prints[at[1:]] ^ prints[at[0]])
-            for distance in np.unique(apart).tolist():
-                self.children[distance] = Tree(prints, at[1:][apart == distance])
-            self.at = at[:1]
+        self.followed = 0
+        open_ = [(self, at)]
+        while open_:
+            tree, at = open_.pop()
+            tree.at, tree.children, rest = at[0], {}, at[1:]
+            apart = np.bitwise_count(prints[rest] ^ prints[at[0]])
+            for distance in set(apart.tolist()):
+                tree.children[distance] = child = Tree.__new__(Tree)
+                open_.append((child, rest[apart == distance]))
 
     def search(self, prints: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, found) within the radius, in portions."""
-        apart = np.bitwise_count(prints[queries][:, None] ^ prints[self.at][None])
-        query, found = np.nonzero(apart <= radius)
-        if len(query):
-            yield queries[query], self.at[found]
-        for distance, child in self.children.items():
-            near_ = np.abs(apart[:, 0].astype(int) - distance) <= radius
-            if near_.any():
-                yield from child.search(prints, queries[near_], radius)
+        """Pairs (query, found) within the radius, in portions; `followed` counts the edges gone along."""
+        open_ = [(self, queries)]
+        while open_:
+            tree, some = open_.pop()
+            apart = np.bitwise_count(prints[some] ^ prints[tree.at]).astype(int)
+            hit = some[apart <= radius]
+            if len(hit):
+                yield hit, np.full(len(hit), tree.at)
+            for distance, child in tree.children.items():
+                near_ = some[np.abs(apart - distance) <= radius]
+                if len(near_):
+                    self.followed += 1
+                    open_.append((child, near_))
 
 
 def joined(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:

@@ -302,6 +302,35 @@ def test_trees_find_what_is_near():
     assert found == set(zip(*(x.tolist() for x in np.nonzero(apart <= 3))))
 
 
+def test_the_query_goes_along_edges_of_its_trees(spark, docs):
+    nodes = simhash.fingerprints(docs).select("fingerprint").distinct()
+    held = defaultdict(list)
+    for r in simhash.shards(nodes).collect():
+        held[r["table"], r["value"]].append(r["fingerprint"])
+    followed = 0
+    for shard in held.values():
+        prints = np.array(shard, np.int64).view(np.uint64)
+        tree = simhash.Tree(prints, np.arange(len(prints)))
+        assert sum(len(q) for q, _ in tree.search(prints, np.arange(len(prints)), 3)) >= len(prints)
+        followed += tree.followed
+    assert followed > 0
+
+
+@pytest.mark.parametrize("most", [2, 20])
+def test_large_shards_are_split(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "MOST", most)
+    draw = np.random.default_rng(9)
+    base = int(draw.integers(0, 2**63))
+    prints = {base ^ sum(1 << int(b) for b in draw.integers(0, 64, draw.integers(0, 9))) for _ in range(150)}
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    nodes = spark.createDataFrame([(p,) for p in signed], "fingerprint long")
+    assert len({r["table"] for r in simhash.shards(nodes).select("table").distinct().collect()} - {1, 2, 3, 4}) > 0
+    mask = (1 << 64) - 1
+    expected = slow_components(signed, lambda a, b: ((a ^ b) & mask).bit_count() <= 3)
+    found = {r["node"]: r["root"] for r in components.components(simhash.links(nodes)).collect()}
+    assert {p: found.get(p, p) for p in signed} == expected
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(200, 230)] + [(7, 7), (160, 3)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
