@@ -131,6 +131,17 @@ def store_counts(spark, folder):
     return store.store_report(spark, path).drop("request", "years")
 
 
+def box_day_layout(spark, folder):
+    """A box and a day of a store in interleaved order."""
+    path = shared_folder(spark)
+    whole = tables.field(spark, folder)
+    store.write_cube(whole, path, files=32, layout="interleaved")
+    back = store.open_cube(spark, path, whole.dims)
+    box = back.sel_range(latitude=(10, 14), longitude=(0.02, 0.04)).frame.withColumn("part", F.lit("box"))
+    day = back.sel_time("1997-03-05", "1997-03-05").frame.withColumn("part", F.lit("day"))
+    return box.unionByName(day).drop("year")
+
+
 def isel_stored(spark, folder):
     """Positions of a kept cube, from those that were stored with it."""
     path = shared_folder(spark)
@@ -479,6 +490,7 @@ QUERIES: dict[str, Query] = {
     "q_combine_names": combine_names,
     "q_profile_instant": profile_instant,
     "q_isel_stored": isel_stored,
+    "q_box_day_layout": box_day_layout,
     "q_clim_incremental": clim_incremental,
     "q_clim_seasons_kept": clim_seasons_kept,
     "q_isoline_segments": isoline_segments,

@@ -259,6 +259,9 @@ FROM field WHERE latitude >= 25 OR time NOT BETWEEN TIMESTAMP '1998-01-01' AND T
     "q_clim_seasons_kept": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, holed AS (
   SELECT time, depth, latitude, longitude, CASE WHEN depth < 7 THEN so END AS so FROM field JOIN ilat USING (latitude) WHERE ilat.i < 4)
 SELECT {season('time')} AS season, depth, latitude, longitude, avg(so) AS so FROM holed GROUP BY ALL""",
+    "q_box_day_layout": f"""WITH {FIELD} SELECT *, 'box' AS part FROM field
+WHERE latitude BETWEEN 10 AND 14 AND longitude BETWEEN 0.02 AND 0.04
+UNION ALL SELECT *, 'day' FROM field WHERE time = TIMESTAMP '1997-03-05'""",
     "q_isel_stored": f"""WITH {FIELD}, {axis('ilat', 'latitude')}, {axis('ilon', 'longitude')}
 SELECT time, depth, so, tx FROM field JOIN ilat USING (latitude) JOIN ilon USING (longitude)
 WHERE ilat.i = 10 + 1 AND ilon.i = 4 + 1""",

@@ -20,12 +20,13 @@ from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, NumericType, StructField, StructType
 
 from ..axis import LENGTH, POSITION, Axis, noted
 from ..cube import TIME, Cube
 from ..dataset import Dataset
 from ..functions.timeparts import TIME_PARTS, month_of, season_of_month
+from ..operators.select import one_row_each
 from ..ranks import furthest_before, ranked_once
 from . import snapshot
 from .snapshot import Manifest
@@ -209,7 +210,7 @@ def combine(cubes: Sequence[Cube]) -> Cube | Dataset:
 
 
 def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: bool = False,
-               years: Iterable[int] | None = None, request: str | None = None, partials: bool | None = None) -> None:
+               years: Iterable[int] | None = None, request: str | None = None, partials: bool | None = None, layout: str = "place") -> None:
     """Keep a cube by year, with its axes, as the next state of what is kept there.
 
     Only the years present in the cube and those in `years` are replaced unless `replace_all`; of
@@ -223,6 +224,11 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     covers a small box, and a year or a place with most of the rows is split too. Cells, missing values
     and extents are counted on the way; see `store_report`. `request` is noted with what is replaced.
 
+    The cells of a year are sorted by place and then by time, for means along time; with
+    layout="interleaved" by the interleaved bits of all their coordinates, so that each stretch of
+    a file is small along every dimension: a single day prunes as a box does. Filters on the
+    coordinates are the key ranges; statistics do the rest. Ask for as many `files` as the box is to be cut into.
+
     With `partials` the sum and count of every variable by year, month and cell are kept beside the cells, for
     `open_means`; a store that has them goes on with them. They are made from the cells just
     stored, and those of other years are not read.
@@ -235,9 +241,13 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     if timed:
         frame = frame.withColumn(YEAR, F.year(TIME))
     order = [*([YEAR] if timed else []), *place, *others, *([TIME] if timed else [])]
+    if layout == "interleaved":
+        order = [*([YEAR] if timed else []), interleaved(cube)]
+    elif layout != "place":
+        raise ValueError(f"layout is 'place' or 'interleaved', not {layout!r}")
     # Rows that share even their coordinates still split, by what they hold.
     spread = [*order, *([F.xxhash64(*cube.data_vars)] if cube.data_vars else [])]
-    laid_out = frame.repartitionByRange(files, *spread) if files else frame.hint("rebalance", F.col(order[0]))
+    laid_out = frame.repartitionByRange(files, *spread) if files else frame.hint("rebalance", F.col(YEAR) if timed else order[0])
     before = snapshot.current(spark, path) or Manifest()
     version, seen = snapshot.new_version(), Observation()
     _append(laid_out.sortWithinPartitions(*order).observe(seen, *_measures(cube)), path, timed, version)
@@ -321,6 +331,37 @@ def open_groups(spark: SparkSession, path: str) -> Dataset:
     return Dataset.of([open_cube(spark, folder, tuple(kept.dims)) for folder, kept in sorted(found.items(), key=lambda f: -len(f[1].dims))])
 
 
+# Bits of a coordinate in an interleaved key.
+BITS = 12
+
+
+def interleaved(cube: Cube) -> Column:
+    """A key of a cell whose bits are taken in turn from all its numeric coordinates, highest first, time before
+    the last dimension and so on to the first: cells near
+    in key are near along each dimension. Coordinates count in steps of their axis' extent, time in
+    steps of a year; a missing one counts as the least."""
+    scaled = []
+    axes = {d: cube.axes[d] for d in cube.dims if d != TIME and isinstance(cube.dtype(d), NumericType)}
+    ends = one_row_each({d: a.values.agg(
+        F.min(d).cast("double").alias("low"), F.max(d).cast("double").alias("high")) for d, a in axes.items()}) if axes else {}
+    if TIME in cube.dims:
+        at = F.col(TIME)
+        scaled.append((F.dayofyear(at) * 24 + F.hour(at)) / (367.0 * 24))
+    for d in reversed(axes):
+        low, high = ends[d]["low"], ends[d]["high"]
+        if low is not None and high > low:
+            scaled.append((F.col(d).cast("double") - low) / (high - low))
+    if not scaled:
+        return F.lit(0).cast("bigint")
+    bits = min(BITS, 62 // len(scaled))
+    steps = [F.coalesce(F.floor(s * (2**bits - 1)), F.lit(0)).cast("bigint") for s in scaled]
+    key = F.lit(0).cast("bigint")
+    for bit in reversed(range(bits)):
+        for step in steps:
+            key = F.shiftleft(key, 1).bitwiseOR(F.shiftright(step, bit).bitwiseAND(F.lit(1)))
+    return key
+
+
 def keep_axes(spark: SparkSession, path: str, dims: Sequence[str], descending: Sequence[str] = ()) -> None:
     """Write the axes of a Parquet cube anew from its cells: for one stored by other means."""
     path = path.rstrip("/")

@@ -249,3 +249,46 @@ def test_overlaps_of_many_files_need_no_single_task(spark, tmp_path):
     # One window, within ranges; what is gathered is a row a range.
     assert plan_text(clashes).count("windowspecdefinition(") == plan_text(clashes).count("windowspecdefinition(__part") > 0
     assert {r.slab for r in clashes.collect()} == {f"f{i + k}" for i in range(7, 400, 50) for k in (1, 2)}
+
+
+def row_groups(path, **bounds):
+    """Row groups that the statistics leave for closed bounds, and all."""
+    import pyarrow.parquet as pq
+
+    left = total = 0
+    for file in path.rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for g in range(meta.num_row_groups):
+            stats = {n: meta.row_group(g).column(i).statistics for i, n in enumerate(names)}
+            total += 1
+            left += all(stats[d].min <= high and stats[d].max >= low for d, (low, high) in bounds.items())
+    return left, total
+
+
+def test_interleaved_order_prunes_a_box_and_a_day(spark, tmp_path):
+    frame = spark.sql("""select timestamp_ntz'2000-01-01' + make_dt_interval(t) as time, double(z) as depth, double(y) as latitude,
+        double(x) as longitude, double(t + z + y + x) as so from (select explode(sequence(0, 360, 12)) as t)
+        cross join (select explode(sequence(0, 7)) as z) cross join (select explode(sequence(0, 19)) as y)
+        cross join (select explode(sequence(0, 19)) as x)""")
+    whole = from_frame(frame, ("time", "depth", "latitude", "longitude"))
+    box, when = dict(latitude=(2.0, 4.0), longitude=(2.0, 4.0)), dict(time=(day("2000-03-01"), day("2000-03-01")))
+    read = {}
+    for layout in ("place", "interleaved"):
+        write_cube(whole, f"{tmp_path}/{layout}", files=64, layout=layout)
+        read[layout] = {k: row_groups(tmp_path / layout / "year=2000", **b) for k, b in (("box", box), ("day", when))}
+        back = open_cube(spark, f"{tmp_path}/{layout}", whole.dims)
+        assert back.frame.count() == 31 * 8 * 400
+        assert back.sel_range(**box).frame.count() == 31 * 8 * 9
+        assert back.isel(time=5, depth=0).frame.count() == 400
+    groups, of = read["interleaved"]["box"][0], read["interleaved"]["day"][0]
+    assert groups < read["place"]["box"][0] and of < read["place"]["day"][0] / 2, read
+    with pytest.raises(ValueError, match="layout"):
+        write_cube(whole, f"{tmp_path}/other", layout="else")
+
+
+def test_interleaved_order_of_odd_coordinates(spark, tmp_path):
+    cells = [(None, 1.0, "a", 1.0), (day("2000-01-01"), None, None, 2.0), (day("2000-12-31"), 1.0, "b", 3.0)]
+    odd = cube(spark, "time timestamp_ntz, depth double, name string, so double", cells, ("time", "depth", "name"))
+    write_cube(odd, f"{tmp_path}/odd", layout="interleaved")
+    assert found(open_cube(spark, f"{tmp_path}/odd", odd.dims).frame, "so") == [(1.0,), (2.0,), (3.0,)]
