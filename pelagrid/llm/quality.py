@@ -22,13 +22,26 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # quantile is right to one part in a hundred. Counts of buckets add up, in any order.
 GROWTH = 1.02
 ZERO = -1_000_000
-# Groups of fewer documents take the sketch of their language, or of all.
-LEAST_GROUP = 200
-# A value is out if it lies beyond the quartiles by more than FENCE times their
-# distance, which counts as no less than the spread given here.
-FENCE = 4.0
-SPREADS = {"word_length": 0.5, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.05}
-LOWER = ("word_length",)
+# A group's sketch is added to so many documents spread as those of its language, and
+# a language's to as many spread as all: the fewer a group has, the more it borrows.
+PRIOR = 100
+UNIT = 1 << 20
+# A value is out if it lies beyond the outer deciles by more than REACH times their
+# distance from the median, so up to a tenth of a group may be bad without moving its bounds.
+REACH = 3.0
+# Each value is a count by a number of words or lines, and out only if it is surely so: by more
+# than SURE times the square root of the count. What counts together, as the words of a
+# window and of its repeat do, is one event of CLUMP.
+SURE = 3.0
+SHARES = {
+    "symbol_share": ("n_symbols", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+}
+MEAN = "word_length"
+RATIOS = {MEAN: ("word_chars", "n_words"), **SHARES}
+CLUMP = {"repeat_share": 2 * WINDOW}
+TENTHS = {"q1": 1, "q5": 5, "q9": 9}
 
 
 def measured(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -99,27 +112,23 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     base_failed: fewer than 10 words, or over 20% of them in repeated windows. All
     other rows are sketched: for each language and source, null being one of its
     own, each share has the counts of its buckets, which merge into those of the
-    language and of all. Groups of under LEAST_GROUP documents take the merged ones.
-    A row is kept unless base_failed or a share lies outside the bounds
-    of its group. An empty table gives no rows; repeated rows all count.
+    language and of all. Every bound comes from the deciles of a group's own sketch, smoothed by
+    the merged ones; none is a constant, and the rule is the same for groups of all sizes.
+    A row is kept unless base_failed, its words are surely longer or shorter
+    than the bounds, or a share is surely over its bound. An empty table gives no rows; repeated rows all count.
     """
     rows = written(measured(docs, id, text, lang, source).withColumn(
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))))
-    shares = {
-        "word_length": F.col("word_chars") / F.col("n_words"),
-        "symbol_share": F.col("n_symbols") / F.col("n_words"),
-        "dup_line_share": F.col("n_dup_lines") / F.col("n_lines"),
-        "repeat_share": F.col("n_repeat_words") / F.col("n_words"),
-    }
-    rows = rows.withColumns({n: F.when(F.col("n_words") > 0, c) for n, c in shares.items()})
+    rows = rows.withColumns({n: F.when(F.col("n_words") > 0, F.col(a) / F.col(b)) for n, (a, b) in RATIOS.items()})
     limits = bounds(sketched(rows.where(~F.col("base_failed"))))
     same = F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     found = rows.join(small(limits.withColumnsRenamed({"lang": "l", "source": "s"})), same, "left").drop("l", "s")
     inside = F.lit(True)
-    for name in shares:
-        inside &= F.coalesce(F.col(name) <= F.col(f"{name}_high"), F.lit(True))
-    for name in LOWER:
-        inside &= F.coalesce(F.col(name) >= F.col(f"{name}_low"), F.lit(True))
+    for name, (count, of) in RATIOS.items():
+        chance = SURE * F.sqrt(F.lit(float(CLUMP.get(name, 1))) * F.col(count))
+        inside &= F.coalesce(F.col(count) - chance <= F.col(f"{name}_high") * F.col(of), F.lit(True))
+        if name == MEAN:
+            inside &= F.coalesce(F.col(count) + chance >= F.col(f"{name}_low") * F.col(of), F.lit(True))
     return found.withColumn("kept", ~F.col("base_failed") & inside)
 
 
@@ -127,44 +136,48 @@ def sketched(rows: DataFrame) -> DataFrame:
     """The sketches, as rows lang, source, share, bucket, n: a bucket b holds values
     up to GROWTH to the power b, and over GROWTH to the power b - 1."""
     each = rows.select("lang", "source", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("share"), F.col(n).alias("value")) for n in SPREADS])).alias("x"))
+        F.struct(F.lit(n).alias("share"), F.col(n).alias("value")) for n in RATIOS])).alias("x"))
     bucket = F.when(F.col("x.value") > 0, F.ceil(F.log("x.value") / F.lit(float(np.log(GROWTH))))).otherwise(ZERO)
     return each.groupBy("lang", "source", F.col("x.share").alias("share"), bucket.cast("int").alias("bucket")).agg(
         F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, *of: str) -> DataFrame:
-    """The quartiles q1 and q3 of each share in the sketches merged by `of`, and the
-    documents behind them. A window holds the buckets of one group: some thousand."""
-    merged = sketch.groupBy(*of, "share", "bucket").agg(F.sum("n").alias("n"))
+def smoothed(sketch: DataFrame, keys: list[str], parent: DataFrame | None = None) -> DataFrame:
+    """The sketches merged by `keys`, in UNITs of a document and with PRIOR documents spread as in
+    the parent, which is keyed by the first of the keys, or by none: keys, share, bucket, w, and part, the
+    portion of the group's documents. All are whole numbers, so sums do not depend on the order."""
+    own = sketch.groupBy(*keys, "share", "bucket").agg((F.sum("n") * UNIT).alias("w"))
+    if parent is not None:
+        shared = keys[:-1]
+        above = small(parent.drop("w").withColumnsRenamed({k: f"of_{k}" for k in [*shared, "share"]}))
+        same = F.col("share") == F.col("of_share")
+        for k in shared:
+            same &= F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        lent = own.select(*keys, "share").distinct().join(above, same).select(
+            *keys, "share", "bucket", F.floor(F.lit(float(PRIOR * UNIT)) * F.col("part")).alias("w"))
+        own = own.unionByName(lent).groupBy(*keys, "share", "bucket").agg(F.sum("w").alias("w"))
+    return own.withColumn("part", F.col("w") / F.sum("w").over(Window.partitionBy(*keys, "share")))
+
+
+def deciles(merged: DataFrame, *of: str) -> DataFrame:
+    """The deciles TENTHS of each share in merged sketches. A window holds the buckets of
+    one group: some thousand, as a share lies between 1e-10 and 1e10."""
     group = Window.partitionBy(*of, "share")
-    upto = F.sum("n").over(group.orderBy("bucket"))
-    ranked = merged.withColumns({"upto": upto, "docs": F.sum("n").over(group)})
+    ranked = merged.withColumns({"upto": F.sum("w").over(group.orderBy("bucket")), "total": F.sum("w").over(group)})
     value = F.when(F.col("bucket") == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), F.col("bucket")))
-    return ranked.groupBy(*of, "share").agg(
-        *[F.min(F.when(F.col("upto") >= q * F.col("docs"), value)).alias(name) for name, q in (("q1", 0.25), ("q3", 0.75))],
-        F.max("docs").alias("docs"))
+    return ranked.groupBy(*of, "share").agg(*[
+        F.min(F.when(10 * F.col("upto") >= tenths * F.col("total"), value)).alias(name) for name, tenths in TENTHS.items()])
 
 
 def bounds(sketch: DataFrame) -> DataFrame:
     """Per language and source, a row with the bounds NAME_low and NAME_high of each share."""
     sketch = written(sketch)
-    own = quartiles(sketch, "lang", "source").withColumnsRenamed({"q1": "q1_0", "q3": "q3_0", "docs": "docs_0"})
-    by_lang = quartiles(sketch, "lang").withColumnsRenamed({"lang": "l", "share": "h", "q1": "q1_1", "q3": "q3_1", "docs": "docs_1"})
-    all_ = quartiles(sketch).withColumnsRenamed({"share": "h", "q1": "q1_2", "q3": "q3_2", "docs": "docs_2"})
-    joined = own.join(small(by_lang), F.col("lang").eqNullSafe(F.col("l")) & (F.col("share") == F.col("h"))).drop("l", "h")
-    joined = joined.join(small(all_), F.col("share") == F.col("h")).drop("h")
-
-    def chosen(q: str):
-        pick = F.when(F.col("docs_0") >= LEAST_GROUP, F.col(f"{q}_0"))
-        return pick.when(F.col("docs_1") >= LEAST_GROUP, F.col(f"{q}_1")).otherwise(F.col(f"{q}_2"))
-
-    spread = F.create_map(*[F.lit(x) for pair in SPREADS.items() for x in pair])[F.col("share")]
-    ranged = joined.select("lang", "source", "share", chosen("q1").alias("q1"), chosen("q3").alias("q3"))
-    reach = FENCE * F.greatest(F.col("q3") - F.col("q1"), spread)
-    ends = {"low": F.col("q1") - reach, "high": F.col("q3") + reach}
-    return ranged.groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("share") == n, c)).alias(f"{n}_{end}") for n in SPREADS for end, c in ends.items()])
+    by_lang = smoothed(sketch, ["lang"], smoothed(sketch, []))
+    found = deciles(smoothed(sketch, ["lang", "source"], by_lang), "lang", "source")
+    # A decile is the upper end of its bucket; the lower one is a GROWTH below.
+    ends = {"low": F.col("q1") / GROWTH - REACH * (F.col("q5") - F.col("q1")), "high": F.col("q9") + REACH * (F.col("q9") - F.col("q5"))}
+    return found.groupBy("lang", "source").agg(*[
+        F.max(F.when(F.col("share") == n, c)).alias(f"{n}_{end}") for n in RATIOS for end, c in ends.items()])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -173,20 +186,28 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    shares = "\n    UNION ALL ".join(f"SELECT lang, source, '{n}' AS share, {n} AS value FROM fine WHERE NOT base_failed" for n in SPREADS)
-
-    def quarts(keys: str) -> str:
-        on = f"{keys}, share" if keys else "share"
-        return f"""SELECT {on}, max(docs) AS docs,
-      min(CASE WHEN upto >= 0.25 * docs THEN v END) AS q1, min(CASE WHEN upto >= 0.75 * docs THEN v END) AS q3
-    FROM (SELECT *, CASE WHEN bucket = {ZERO} THEN 0 ELSE pow({GROWTH}::DOUBLE, bucket) END AS v,
-            sum(n) OVER (PARTITION BY {on} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {on}) AS docs
-          FROM (SELECT {on}, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
-
-    spread = "CASE share " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in SPREADS.items()) + " END"
-    inside = " AND ".join(
-        [f"coalesce({n} <= (SELECT max(high) FROM b WHERE b.share = '{n}' AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source), true)" for n in SPREADS]
-        + [f"coalesce({n} >= (SELECT max(low) FROM b WHERE b.share = '{n}' AND b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source), true)" for n in LOWER])
+    shares = "\n    UNION ALL ".join(
+        f"SELECT lang, source, '{n}' AS share, {n} AS value FROM fine WHERE NOT base_failed" for n in RATIOS)
+
+    def smooth(keys: str, name: str, parent: str, same: str) -> str:
+        return f"""{name} AS (SELECT *, w / sum(w) OVER (PARTITION BY {keys}, share) AS part FROM (
+    SELECT {keys}, share, bucket, sum(w)::BIGINT AS w FROM (
+      SELECT {keys}, share, bucket, n * {UNIT} AS w FROM sketch
+      UNION ALL SELECT {', '.join('g.' + k for k in keys.split(', '))}, g.share, p.bucket, floor({PRIOR * UNIT}::DOUBLE * p.part)::BIGINT
+        FROM (SELECT DISTINCT {keys}, share FROM sketch) g JOIN {parent} p ON g.share = p.share{same}) GROUP BY ALL))"""
+
+    tenths = ", ".join(f"min(CASE WHEN 10 * upto >= {t} * total THEN v END) AS {q}" for q, t in TENTHS.items())
+
+    def end(name: str, which: str) -> str:
+        return (f"(SELECT max({which}) FROM b WHERE b.share = '{name}' AND b.lang IS NOT DISTINCT FROM f.lang"
+                " AND b.source IS NOT DISTINCT FROM f.source)")
+
+    def chance(name: str) -> str:
+        return f"{SURE}::DOUBLE * sqrt({float(CLUMP.get(name, 1))}::DOUBLE * {RATIOS[name][0]})"
+
+    inside = " AND ".join([
+        f"coalesce(word_chars + {chance(MEAN)} >= {end(MEAN, 'low')} * n_words, true)",
+        *[f"coalesce({c} - {chance(n)} <= {end(n, 'high')} * {of}, true)" for n, (c, of) in RATIOS.items()]])
     return f"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 listed AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, string_split(t, chr(10)) AS lines FROM texts),
@@ -209,14 +230,15 @@ fine AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_f
 sketch AS (SELECT lang, source, share,
     CASE WHEN value > 0 THEN ceil(ln(value) / {float(np.log(GROWTH))!r}::DOUBLE)::INTEGER ELSE {ZERO} END AS bucket, count(*) AS n
   FROM ({shares}) GROUP BY ALL),
-own AS ({quarts('lang, source')}),
-by_lang AS ({quarts('lang')}),
-whole AS ({quarts('')}),
-chosen AS (SELECT o.lang, o.source, o.share,
-    CASE WHEN o.docs >= {LEAST_GROUP} THEN o.q1 WHEN l.docs >= {LEAST_GROUP} THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN o.docs >= {LEAST_GROUP} THEN o.q3 WHEN l.docs >= {LEAST_GROUP} THEN l.q3 ELSE a.q3 END AS q3
-  FROM own o JOIN by_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.share = l.share JOIN whole a ON o.share = a.share),
-b AS (SELECT lang, source, share, q1 - {FENCE} * greatest(q3 - q1, {spread}) AS low, q3 + {FENCE} * greatest(q3 - q1, {spread}) AS high FROM chosen)
+whole AS (SELECT share, bucket, w / sum(w) OVER (PARTITION BY share) AS part
+  FROM (SELECT share, bucket, (sum(n) * {UNIT})::BIGINT AS w FROM sketch GROUP BY ALL)),
+{smooth('lang', 'by_lang', 'whole', '')},
+{smooth('lang, source', 'own', 'by_lang', ' AND g.lang IS NOT DISTINCT FROM p.lang')},
+deciles AS (SELECT lang, source, share, {tenths}
+  FROM (SELECT *, CASE WHEN bucket = {ZERO} THEN 0 ELSE pow({GROWTH}::DOUBLE, bucket) END AS v,
+          sum(w) OVER (PARTITION BY lang, source, share ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, share) AS total
+        FROM own) GROUP BY ALL),
+b AS (SELECT lang, source, share, q1 / {GROWTH}::DOUBLE - {REACH} * (q5 - q1) AS low, q9 + {REACH} * (q9 - q5) AS high FROM deciles)
 SELECT doc_id, {', '.join(COUNTS)}, base_failed, NOT base_failed AND {inside} AS kept FROM fine f"""
 
 
