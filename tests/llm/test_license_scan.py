@@ -1,0 +1,91 @@
+"""Licence scans against brute force, and on the forms in which licences come."""
+
+import random
+import re
+import textwrap
+from collections import Counter, defaultdict
+
+import pytest
+
+from pelagrid.llm import license_scan
+from pelagrid.llm.license_scan import TEMPLATES
+
+CODE = "\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(30))
+
+
+def pairs(text):
+    words = re.findall("[a-z0-9]+", text.translate(str.maketrans(license_scan.UPPER, license_scan.LOWER)))
+    return [" ".join(words[i:i + 2]) for i in range(len(words) - 1)]
+
+
+def slow(texts, templates, similar=0.8):
+    """All windows as the docstring has them, position by position."""
+    all_ = {i: pairs(t) for i, t in texts.items()}
+    counts = Counter(x for found in all_.values() for x in found)
+    out = set()
+    for name, template in templates.items():
+        own = pairs(template)
+        b, n = len(set(own)), len(own)
+        if not b:
+            continue
+        need = min(c for c in range(b + 1) if 2 * c >= similar * (c + b) - 1e-9)
+        rare = set(sorted(set(own), key=lambda x: (counts[x], x))[:b - need + 1])
+        offsets = defaultdict(list)
+        for o, x in enumerate(own):
+            if x in rare:
+                offsets[x].append(o)
+        for i, found in all_.items():
+            for start in {p - o for p, x in enumerate(found) for o in offsets.get(x, ())}:
+                hits = [p for p in range(max(start, 0), min(start + n, len(found))) if found[p] in own]
+                window = set(found[hits[0]:hits[-1] + 1])
+                dice = 2 * len(window & set(own)) / (len(window) + b)
+                if dice >= similar:
+                    out.add((i, name, hits[0] + 1, hits[-1] + 2, dice))
+    return out
+
+
+def scanned(spark, texts, *templates):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    return {tuple(r) for r in license_scan.scanned(docs, *templates).select("kid", "template", "first", "last", "dice").collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_as_by_brute_force(spark, seed):
+    draw = random.Random(seed)
+    names = ["mit", "zlib", "gpl-3.0-notice", "agpl-3.0-notice", "mit-line", "bsl-1.0-notice"]
+    templates = {n: TEMPLATES[n] for n in names} | {"echo": "a b a b a c a b", "word": "alone"}
+    texts = {}
+    for i in range(40):
+        words = [f"w{draw.randrange(50)}" for _ in range(draw.randrange(60))]
+        for name in draw.sample(list(templates), draw.randrange(3)):
+            part = [w for w in templates[name].split() if draw.random() > draw.choice([0, 0.02, 0.1, 0.3])]
+            at = draw.randrange(len(words) + 1)
+            words = [*words[:at], *part * draw.randrange(1, 3), *words[at:]]
+        texts[i] = draw.choice([" ", "\n"]).join(words)
+    expected = slow(texts, templates)
+    assert len(expected) > 10
+    assert scanned(spark, texts, templates) == expected
+
+
+def test_no_two_templates_are_the_same():
+    assert len({" ".join(pairs(t)) for t in TEMPLATES.values()}) == len(TEMPLATES)
+
+
+def test_wrapped_in_comments_and_code(spark):
+    names = list(TEMPLATES)
+    texts = {i: "# " + "\n# ".join(textwrap.wrap(TEMPLATES[n], 72)) + "\n" + CODE for i, n in enumerate(names)}
+    texts[100] = f"As said before. {TEMPLATES['mit-line']} And so on, " + "word " * 40
+    texts[101] = TEMPLATES["mit"].upper()
+    texts[102] = TEMPLATES["mit"][:300]
+    texts[103] = CODE
+    found = {(i, n): dice for i, n, _, _, dice in scanned(spark, texts)}
+    assert all(found[i, n] == 1 for i, n in enumerate(names))
+    assert found[100, "mit-line"] == 1 and found[101, "mit"] == 1
+    assert not [k for k in found if k[0] in (102, 103)]
+
+
+def test_a_long_text_of_licences(spark):
+    """Each of many copies is found in its place."""
+    text = (" lorem ipsum " + TEMPLATES["isc"]) * 300
+    found = [r for r in scanned(spark, {1: text}, {"isc": TEMPLATES["isc"]}) if r[-1] == 1]
+    assert len(found) == 300
