@@ -1,0 +1,88 @@
+"""The parts of the language model against plain Python, number by number."""
+
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pelagrid.llm import language
+from pelagrid.llm.language import FEATURES, Settings
+
+MASK = 2**32 - 1
+TEXTS = ["Das ist ein Haus", "ein Hund und ein Haus", "this is a house", "a dog and a house", "漢字 🙂", "x", "der Hund", "the dog"]
+
+
+def slow_grams(text):
+    points = [ord(c) for c in text.lower()]
+    found = Counter()
+    for order in (1, 2, 3):
+        for i in range(len(points) - order + 1):
+            h = 0
+            for p in points[i:i + order]:
+                h = ((h ^ p) * 0x9E3779B1) & MASK
+                h ^= h >> 15
+            found[((h * 0x85EBCA77) & MASK) >> 17] += 1
+    return found
+
+
+def slow_tfidf(counts, idf):
+    x = {f: (1 + math.log(n)) * idf[f] for f, n in counts.items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    return {f: v / length for f, v in x.items()}
+
+
+def slow_ftrl(rows, languages, s):
+    """Logits of a document after learning (features, language) in the order given; bias without l1."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key, l1):
+        v = z[key]
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((s.beta + math.sqrt(n[key])) / s.alpha + s.l2)
+
+    for x, y in rows:
+        x = {**x, "bias": 1.0}
+        w = {(f, k): weight((f, k), s.l1) for f in x for k in range(languages)}
+        logits = [sum(v * w[f, k] for f, v in x.items()) for k in range(languages)]
+        top = max(logits)
+        p = [math.exp(v - top) for v in logits]
+        for k in range(languages):
+            slope = p[k] / sum(p) - (k == y)
+            for f, v in x.items():
+                g = slope * v
+                before = n[f, k]
+                n[f, k] = before + g * g
+                z[f, k] += g - (math.sqrt(n[f, k]) - math.sqrt(before)) / s.alpha * w[f, k]
+    return lambda x: [weight(("bias", k), 0.0) + sum(v * weight((f, k), s.l1) for f, v in x.items()) for k in range(languages)]
+
+
+@pytest.mark.parametrize("text", [*TEXTS, "", "aa", "ab" * 500])
+def test_features(text):
+    at, counts = language.grams(text)
+    assert dict(zip(at.tolist(), counts.tolist())) == slow_grams(text)
+
+
+def test_idf_counts_all_usable_rows(spark):
+    rows = [(i, t, ("de", "en")[i % 2]) for i, t in enumerate(TEXTS * 3)] + [(90, "nicht", None), (91, None, "de"), (92, "12", "en"), (93, "out", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, F.col("doc_id") != 93)
+    having = Counter(f for t in TEXTS * 3 for f in slow_grams(t))
+    assert model.languages == ["de", "en"]
+    assert np.allclose(model.idf, [math.log((1 + 24) / (1 + having[f])) + 1 for f in range(FEATURES)])
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.05])
+def test_learning_step_by_step(l1):
+    s = Settings(l1=l1, passes=3)
+    idf = np.linspace(1, 2, FEATURES)
+    # Under five examples none is held back for the temperature.
+    examples = [(*language.grams(t), y) for t, y in zip(TEXTS[:4], (0, 0, 1, 1))]
+    model = language.trained(examples, ["de", "en"], idf, s)
+    draw, rows = np.random.default_rng(7), [(slow_tfidf(slow_grams(t), idf), y) for t, y in zip(TEXTS[:4], (0, 0, 1, 1))]
+    expected = slow_ftrl([rows[i] for _ in range(s.passes) for i in draw.permutation(4)], 2, s)
+    for text in TEXTS:
+        at, counts = language.grams(text)
+        found = model.logits(at, language.tfidf(at, counts, idf))
+        assert found == pytest.approx(expected(slow_tfidf(slow_grams(text), idf)), abs=1e-5)
+    assert model.temperature == 1.0
