@@ -20,7 +20,7 @@ from . import (
     sharding,
     simhash,
     substring_dedup,
-    suffix_tree,
+    suffix_tables,
 )
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -54,7 +54,7 @@ QUERIES = {name: _over("documents", digest) for name, digest in {
     "op8_substring_dedup": substring_dedup.digest,
     "op9_simhash": simhash.digest,
     "op10_license_scan": license_scan.digest,
-    "op11_lm_scoring": suffix_tree.digest,
+    "op11_lm_scoring": suffix_tables.digest,
 }.items()} | {
     "op12_centroid_clustering": _over("embeddings", centroids.digest),
     "op13_conversation_repair": _over("conversations", conversations.digest),
