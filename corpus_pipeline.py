@@ -44,7 +44,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: 5-word shingles, Jaccard similarity of 0.8 or more. Texts without
+    """One document of each group stays: 5-word shingles, Jaccard similarity of 0.8 or more; SimHash fingerprints
+    in BK-trees find what is near, MinHash the rest, and each link is verified. Texts without
     a word, null and empty ones, are one group; so are repeated rows."""
     return simhash.one_of_each(docs, near=near_copies.near)
 

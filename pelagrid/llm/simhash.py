@@ -87,12 +87,13 @@ def rooted(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(known, "fingerprint").select("kid", "kt", "id", "fingerprint", "root", "component_id")
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): pairs of different fingerprints at RADIUS or fewer differing bits, as
-    many as join up what is joined at all: each shard is searched by its own BK-tree."""
+    many as join up what is joined at all: each shard is searched by its own BK-tree. With a wider
+    radius also those up to it that are in one shard."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = shards(nodes).repartition(parts, "table", "value")
-    return dealt.sortWithinPartitions("table", "value", "fingerprint").mapInArrow(_linked, "a long, b long")
+    return dealt.sortWithinPartitions("table", "value", "fingerprint").mapInArrow(lambda b: _linked(b, radius), "a long, b long")
 
 
 def shards(nodes: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def _mask(bits: list[int]) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Goes through the sorted shards of a task one by one, one at a time in memory."""
     held: list[np.ndarray] = []
     key = None
@@ -147,16 +148,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if at == end:
                 continue
             if (table[at], value[at]) != key:
-                yield from _tree_of(held)
+                yield from _tree_of(held, radius)
                 held, key = [], (table[at], value[at])
             held.append(prints[at:end])
-    yield from _tree_of(held)
+    yield from _tree_of(held, radius)
 
 
-def _tree_of(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _tree_of(held: list[np.ndarray], radius: int) -> Iterator[pa.RecordBatch]:
     if sum(map(len, held)) > 1:
         shard = np.concatenate(held)
-        pairs = joined(shard.view(np.uint64))
+        pairs = joined(shard.view(np.uint64), radius)
         if pairs:
             a, b = np.array(pairs).T
             yield pa.RecordBatch.from_arrays([pa.array(shard[a]), pa.array(shard[b])], names=["a", "b"])

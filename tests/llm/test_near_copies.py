@@ -65,3 +65,35 @@ def test_repeated_rows_and_none(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, "q")], "doc_id long, text string")
     assert sorted(map(repr, (r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()))) == ["1", "None"]
     assert corpus_pipeline.drop_near_copies(spark, docs.where(F.lit(False)), "").count() == 0
+
+
+def test_close_copies_are_linked_by_fingerprints_in_trees(spark):
+    """SimHash and BK-trees alone find the closest copies; each of their links is a near copy."""
+    draw = np.random.default_rng(8)
+    texts = {}
+    for g in range(30):
+        words = [f"w{x}" for x in draw.integers(0, 5000, 600)]
+        texts[3 * g] = " ".join(words)
+        texts[3 * g + 1] = " ".join([*words, "more"])
+        words[300:500] = [f"x{x}" for x in draw.integers(0, 5000, 200)]
+        texts[3 * g + 2] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_copies.sketched(docs).cache()
+    number = {r["fingerprint"]: r["id"] for r in rows.collect()}
+    nodes = rows.select("fingerprint", F.struct("kid", "kt").alias("place"), "bands", "prints")
+    found = {tuple(sorted((number[r["a"]], number[r["b"]]))) for r in near_copies.by_fingerprint(near_copies.Docs(docs).slim("text"), nodes).collect()}
+    assert found == {(3 * g, 3 * g + 1) for g in range(30)}
+
+
+def test_what_is_joined_already_is_not_paired():
+    sets = [np.arange(k, k + 100, dtype=np.uint64) for k in range(4)]
+    assert near_copies.joined(sets, [7, 7, 7, 7]) == []
+    assert len(near_copies.joined(sets, [7, 7, 9, 9])) == 1
+
+
+def test_fingerprints_take_the_majority_of_each_bit():
+    for n in (1, 2, 255, 256, 3000):
+        found = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+        for k, print_ in enumerate(near_copies.prints(found).tolist()):
+            mixed = near_copies._mixed(found * near_copies.FACTORS[k]).tolist()
+            assert print_ == sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > n)
