@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -18,11 +19,15 @@ from pyspark.sql import types as T
 from .common import hex_sha256
 
 # Entries a worker remembers before it starts afresh: bounds its memory.
-MOST_WORDS = 80_000
+MOST_WORDS = 300_000
+MOST_PIECES = 80_000
 MOST_STATES = 50_000
 MOST_PAIRS = 300_000
 # Characters up to which a piece is remembered.
 LONG = 64
+# Patterns of which no match goes on from another character into a space, and none looks back: what lies
+# between a space after another character and the next such one is cut into pieces by itself.
+BY_WORD = {r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""}
 # Rows of which a worker holds the tokens at once.
 ROWS = 256
 
@@ -100,7 +105,7 @@ class State(dict):
     """A state of the transducer: what is growing, and the steps known so far.
 
     grown  places in the token tree of all that is growing, the longest first
-    ends   the tokens that end here, longest first: id, length, and what fits before it
+    ends   the tokens that end here, longest first: id, length below zero, and what fits before it
     """
 
     __slots__ = ("grown", "ends", "owner")
@@ -151,7 +156,7 @@ class Transducer:
             state = self.states[grown] = State()
             state.grown, state.owner = grown, self
             tokens = [t for place in grown if (t := self.vocabulary.token[place]) >= 0]
-            state.ends = [(t, self.length[t], self._befores(t)) for t in tokens]
+            state.ends = [(t, -self.length[t], self._befores(t)) for t in tokens]
         return self.states[grown]
 
     def _befores(self, token: int) -> Befores:
@@ -169,17 +174,18 @@ class Transducer:
         if len(self.states) > MOST_STATES or self.pairs > MOST_PAIRS:
             self._afresh()
         # last[n] is the last token of the first n bytes; -1 fits before any other.
-        state, last, out, end = self.begin, [-1], [], 0
-        for byte in piece:
-            state = state[byte]
-            end += 1
-            for token, length, befores in state.ends:
-                if befores[last[end - length]]:
-                    break
-            last.append(token)
-            if end == self.LOOK:
-                end = end - self._settle(state, last, out)
-        return out + self._back(last, end)
+        state, last, out = self.begin, [-1], []
+        for at in range(0, len(piece), self.LOOK):
+            if at:
+                self._settle(state, last, out)
+            for byte in piece[at:at + self.LOOK]:
+                state = state[byte]
+                # What the token goes back from here: its length from the end of `last`.
+                for token, back, befores in state.ends:
+                    if befores[last[back]]:
+                        break
+                last.append(token)
+        return out + self._back(last, len(last) - 1)
 
     def _settle(self, state: State, last: list[int], out: list[int]) -> int:
         """Emits the tokens that all growing starts agree on; returns their bytes."""
@@ -214,7 +220,7 @@ class Memory(dict):
         self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= MOST_WORDS:
+        if len(self) >= MOST_PIECES:
             self.older = dict(self)
             self.clear()
         found = self.older.get(piece)
@@ -225,15 +231,54 @@ class Memory(dict):
         return found
 
 
+class Words(dict):
+    """The encodings of words seen lately, each with the space before it; None for what a space does not end."""
+
+    MARKS = frozenset(".,;:!?")
+
+    def __init__(self, pieces, memory: Memory):
+        super().__init__()
+        self.pieces, self.memory = pieces, memory
+        self.older: dict[str, tuple[int, ...] | None] = {}
+
+    def __missing__(self, word: str) -> tuple[int, ...] | None:
+        if len(self) >= MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word, ())
+        if found == ():
+            # Letters are one piece, and a mark after them another one.
+            if word.isalpha():
+                found = tuple(self.memory.transducer.encode((" " + word).encode()))
+            elif word[-1:] in self.MARKS and word[:-1].isalpha():
+                found = self[word[:-1]] + self.memory[word[-1]]
+            else:
+                found = None if not word or word[-1].isspace() else self.encode(" " + word)
+        if len(word) <= LONG:
+            self[word] = found
+        return found
+
+    def encode(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.memory.__getitem__, self.pieces.findall(text))))
+
+
 class Encoder:
+    # A space after anything else. What `re` takes for white space is all that `regex` does, and four more.
+    SPACE = re.compile(r"(?<=\S) ")
+
     def __init__(self, path: str, pattern: str):
-        self.pieces = regex.compile(pattern)
-        self.memory = Memory(Transducer(Vocabulary(path)))
+        self.words = Words(regex.compile(pattern), Memory(Transducer(Vocabulary(path))))
+        self.by_word = pattern in BY_WORD
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a whole text, without special tokens."""
-        return np.fromiter(
-            chain.from_iterable(map(self.memory.__getitem__, self.pieces.findall(text))), np.int32)
+        first, *rest = text.split(" ") if self.by_word else [text]
+        found = list(map(self.words.__getitem__, rest))
+        # The last one ends with the text, not with a space.
+        if not first or first[-1].isspace() or None in found:
+            first, *rest = self.SPACE.split(text) if self.by_word else [text]
+            found = [self.words.encode(" " + w) if not w or w[-1].isspace() else self.words[w] for w in rest]
+        return np.fromiter(chain(self.words.encode(first), chain.from_iterable(found)), np.int32)
 
 
 # Bytes that follow a first byte of UTF-8, by its value; 0 where none can.
