@@ -241,8 +241,12 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     if timed:
         frame = frame.withColumn(YEAR, F.year(TIME))
     order = [*([YEAR] if timed else []), *place, *others, *([TIME] if timed else [])]
+    names, schema = frame.columns, frame.schema.json()
     if layout == "interleaved":
-        order = [*([YEAR] if timed else []), interleaved(cube)]
+        # As a column: an expression in the order would be computed again for every two rows compared.
+        key = _unused("key", names)
+        frame = interleaved(cube, frame, key)
+        order = [*([YEAR] if timed else []), key]
     elif layout != "place":
         raise ValueError(f"layout is 'place' or 'interleaved', not {layout!r}")
     # Rows that share even their coordinates still split, by what they hold.
@@ -250,7 +254,7 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
     laid_out = frame.repartitionByRange(files, *spread) if files else frame.hint("rebalance", F.col(YEAR) if timed else order[0])
     before = snapshot.current(spark, path) or Manifest()
     version, seen = snapshot.new_version(), Observation()
-    _append(laid_out.sortWithinPartitions(*order).observe(seen, *_measures(cube)), path, timed, version)
+    _append(laid_out.sortWithinPartitions(*order).select(*names).observe(seen, *_measures(cube)), path, timed, version)
     found = snapshot.written_keys(spark, path, version)
     named = [str(y) for y in years or ()]
     gone = {*before.cells} if replace_all else {*found, *named, snapshot.WHOLE}
@@ -265,12 +269,12 @@ def write_cube(cube: Cube, path: str, files: int | None = None, replace_all: boo
         raise ValueError(f"no partial means are kept of {old}; store these years with them too")
     sums = {k: v for k, v in before.partials.items() if k in cells and k not in found} if partials else {}
     if partials and timed and found:
-        stored = _cells(spark, path, replace(before, schema=frame.schema.json()), dict.fromkeys(found, version))
+        stored = _cells(spark, path, replace(before, schema=schema), dict.fromkeys(found, version))
         _append(_partial_sums(stored, cube), f"{path}/_partials", True, version)
         sums |= dict.fromkeys(found, version)
     reports = {v: r for v, r in before.reports.items() if v in cells.values()} | {version: measured}
     log.info("stored %s: %s", path, measured)
-    now = replace(before, number=before.number + 1, schema=frame.schema.json(), cells=cells, partials=sums, requests=asked, reports=reports,
+    now = replace(before, number=before.number + 1, schema=schema, cells=cells, partials=sums, requests=asked, reports=reports,
                   axes={} if replace_all else {k: v for k, v in before.axes.items() if k not in (*named, snapshot.WHOLE)})
     axes = {d: a.values.select(noted(d, a.descending)) for d, a in cube.axes.items()}
     snapshot.commit(spark, path, _with_axes(spark, path, now, axes, timed, version))
@@ -335,8 +339,15 @@ def open_groups(spark: SparkSession, path: str) -> Dataset:
 BITS = 12
 
 
-def interleaved(cube: Cube) -> Column:
-    """A key of a cell whose bits are taken in turn from all its numeric coordinates, highest first, time before
+def _unused(name: str, names: Sequence[str]) -> str:
+    while name in names:
+        name += "_"
+    return name
+
+
+def interleaved(cube: Cube, frame: DataFrame, name: str) -> DataFrame:
+    """The frame with a key of each cell, a bigint column `name`, whose bits are taken in turn from all its numeric coordinates,
+    highest first, time before
     the last dimension and so on to the first: cells near
     in key are near along each dimension. Coordinates count in steps of their axis' extent, time in
     steps of a year; a missing one counts as the least."""
@@ -352,14 +363,19 @@ def interleaved(cube: Cube) -> Column:
         if low is not None and high > low:
             scaled.append((F.col(d).cast("double") - low) / (high - low))
     if not scaled:
-        return F.lit(0).cast("bigint")
-    bits = min(BITS, 62 // len(scaled))
-    steps = [F.coalesce(F.floor(s * (2**bits - 1)), F.lit(0)).cast("bigint") for s in scaled]
-    key = F.lit(0).cast("bigint")
-    for bit in reversed(range(bits)):
-        for step in steps:
-            key = F.shiftleft(key, 1).bitwiseOR(F.shiftright(step, bit).bitwiseAND(F.lit(1)))
-    return key
+        return frame.withColumn(name, F.lit(0).cast("bigint"))
+    bits, names = min(BITS, 62 // len(scaled)), list(frame.columns)
+    steps = []
+    for s in scaled:
+        steps.append(_unused("step", [*names, *steps]))
+        frame = frame.withColumn(steps[-1], F.coalesce(F.floor(s * (2**bits - 1)), F.lit(0)).cast("bigint"))
+    # Each bit of a step goes to its place in the key.
+    placed = [F.shiftleft(F.shiftright(F.col(step), bit).bitwiseAND(F.lit(1)), bit * len(steps) + len(steps) - 1 - k)
+              for k, step in enumerate(steps) for bit in range(bits)]
+    key = placed[0]
+    for part in placed[1:]:
+        key = key.bitwiseOR(part)
+    return frame.withColumn(name, key).select(*names, name)
 
 
 def keep_axes(spark: SparkSession, path: str, dims: Sequence[str], descending: Sequence[str] = ()) -> None:

@@ -3,6 +3,7 @@ from grids import cube, day, found
 from pyspark.sql import functions as F
 
 from pelagrid import combine, duplicate_cells, from_frame, keep_axes, open_cube, open_many, open_means, season_mean, seasonality, write_cube
+from pelagrid.sources import store
 from plans import scans
 
 DIMS = ("time", "latitude", "longitude")
@@ -292,3 +293,21 @@ def test_interleaved_order_of_odd_coordinates(spark, tmp_path):
     odd = cube(spark, "time timestamp_ntz, depth double, name string, so double", cells, ("time", "depth", "name"))
     write_cube(odd, f"{tmp_path}/odd", layout="interleaved")
     assert found(open_cube(spark, f"{tmp_path}/odd", odd.dims).frame, "so") == [(1.0,), (2.0,), (3.0,)]
+
+
+def test_interleaved_key_is_computed_once_a_row(spark, tmp_path, monkeypatch):
+    """Rows are sorted by a column, not by an expression that each comparison computes again."""
+    cells = [(day("2000-01-01"), float(z), float(y), float(y)) for z in range(3) for y in range(4)]
+    small = cube(spark, "time timestamp_ntz, depth double, latitude double, key double", cells, ("time", "depth", "latitude"))
+    seen, append = [], store._append
+    monkeypatch.setattr(store, "_append", lambda frame, *rest: (seen.append(frame), append(frame, *rest)))
+    write_cube(small, f"{tmp_path}/small", files=2, layout="interleaved")
+    assert seen[0].columns == ["time", "depth", "latitude", "key", "year"]
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Sort [" in line or "RepartitionByExpression" in line]
+    assert len(moved) == 2 and not any("shift" in line for line in moved), plan
+    # The bits of latitude, depth and time in turn, highest first.
+    steps = [(int((y / 3) * 4095), int((z / 2) * 4095), int(24 / (367 * 24) * 4095)) for _, z, y, _ in cells]
+    wanted = [sum((s >> b & 1) << (3 * b + k) for k, s in zip((1, 0, 2), step) for b in range(12)) for step in steps]
+    found_ = store.interleaved(small, small.frame, "place").orderBy("depth", "latitude")
+    assert [r["place"] for r in found_.collect()] == wanted
