@@ -48,9 +48,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(frame: DataFrame) -> DataFrame:
-    """The frame computed once into the shared folder and read back. It cuts the
+def written(frame: DataFrame, path: str | None = None) -> DataFrame:
+    """The frame computed once into the shared folder, a new one below it unless named, and read back. It cuts the
     lineage, survives the loss of executors, and scans by column afterwards."""
-    path = shared_folder(frame.sparkSession)
+    path = path or shared_folder(frame.sparkSession)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder of tables that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

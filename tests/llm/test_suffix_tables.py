@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_suffix_tree import Slow, checked, out
 
+from pelagrid import session
 from pelagrid.llm import suffix_tables, suffix_tree
 from pelagrid.llm.catalogue import QUERIES
 
@@ -50,3 +51,32 @@ def test_keys_are_those_of_spark(spark):
     a, b = np.random.default_rng(1).integers(-2**63, 2**63, (2, 50))
     frame = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long")
     assert [r[0] for r in frame.select(F.xxhash64("a", "b")).collect()] == suffix_tables.paired(a, b).tolist()
+
+
+def test_tables_hold_what_can_be_worth_its_entries_and_go(spark, monkeypatch):
+    """Contexts seen less than WORTH times are in no table, and tables of counts and levels do not stay."""
+    made = []
+
+    def noted(frame, path=None):
+        table = session.written(frame, path)
+        made.append((table.columns, table.agg(F.min("occurs")).first()[0] if "occurs" in table.columns else None, table))
+        return table
+
+    monkeypatch.setattr(suffix_tables, "written", noted)
+    frame = spark.createDataFrame(ROWS, "doc_id bigint, text string")
+    checked(suffix_tables.digest(frame).collect(), ROWS, Slow([t for i, t in ROWS if not out(i)]))
+    assert min(least for _, least, _ in made if least is not None) >= 4
+    levels = [table.inputFiles for columns, _, table in made if columns[:3] == ["context", "shorter", "n"]]
+    assert len(levels) == 6
+    for files in levels:
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+            spark.read.parquet(files()[0]).count()
+
+
+def test_sequences_that_share_half_their_bits_are_counted_apart():
+    """Two contexts with the same upper bits before the same word, and one before two words."""
+    context = np.array([5 << 32, (5 << 32) + 1, 5 << 32, 5 << 32])
+    shorter = np.array([77, 77, 77, 78])
+    packed = suffix_tables._packed(*suffix_tables._summed([(context, shorter, np.full(4, 2))]), 12)
+    found = [row for batch in suffix_tables._twice(packed) for row in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(found) == [(5 << 32, 77, 4), (5 << 32, 78, 2), ((5 << 32) + 1, 77, 2)]
